@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rookery.functions.digest import counted_digest
 from rookery.operators import feed
 from rookery.operators import rules as R
 
@@ -92,28 +91,27 @@ def refresh_summary(members: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def signature(
-    rules: Sequence[dict[str, Any]],
-    membership_signature: str | None,
-    cleaner_version: str,
-    fence: tuple[int | None, int | None] = (None, None),
-) -> str:
-    """What a projection depends on. Rule names do not count, rule order neither.
+def signatures(
+    rules: DataFrame, membership_signatures: DataFrame, cleaner_version: str
+) -> DataFrame:
+    """(viewer_id, signature): what the projection of each viewer depends on.
 
-    ``rules``: one viewer's live rules as {rule_id, rule_text}.
+    Valid live rules by id and canonical text, the member set and the cleaner
+    version. Rule names and rule order do not count. ``membership_signatures``:
+    (viewer_id, signature).
     """
-    valid = [
-        {"id": r["rule_id"], "rule": json.loads(r["rule_text"])}
-        for r in rules
-        if R.parse_rule(r["rule_text"]) is not None
-    ]
-    return json.dumps(
-        {
-            "clearFence": list(fence),
-            "cleanerVersion": cleaner_version,
-            "membership": membership_signature,
-            "rules": sorted(valid, key=lambda r: r["id"]),
-        },
-        sort_keys=True,
-        separators=(",", ":"),
+    live = R.with_canonical_text(R.live(rules)).filter(F.col("canonical").isNotNull())
+    line = F.concat_ws(":", "rule_id", "canonical")
+    held = live.groupBy("viewer_id").agg(counted_digest(line).alias("_rules"))
+    return membership_signatures.join(held, "viewer_id", "full").select(
+        "viewer_id",
+        F.sha2(
+            F.concat_ws(
+                "|",
+                F.coalesce("_rules", F.lit("none")),
+                F.coalesce("signature", F.lit("none")),
+                F.lit(cleaner_version),
+            ),
+            256,
+        ).alias("signature"),
     )

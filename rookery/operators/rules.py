@@ -280,11 +280,18 @@ def rule_is_true(rule_text: Column, fields: Mapping[str, Column]) -> Column:
     return run(rule_text, *[fields[f] for f in _FIELD_ORDER])
 
 
-def rule_table_check(rules: DataFrame) -> DataFrame:
-    """Add ``is_valid`` to a rule table; texts are checked per Arrow batch."""
+def canonical_text(text: str | None) -> str | None:
+    """Rule text with sorted keys and no blanks; NULL for an invalid rule."""
+    if parse_rule(text) is None:
+        return None
+    return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-    @F.pandas_udf("boolean")
-    def valid(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: parse_rule(t) is not None)
 
-    return rules.withColumn("is_valid", valid("rule_text"))
+def with_canonical_text(rules: DataFrame) -> DataFrame:
+    """Add ``canonical`` to a rule table; texts are checked per Arrow batch."""
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(canonical_text)
+
+    return rules.withColumn("canonical", canonical("rule_text"))

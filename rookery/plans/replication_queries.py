@@ -1 +1,176 @@
+"""History, delta, gap recovery, coverage and scope transitions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rookery.operators import identity
+from rookery.operators import replication as P
+from rookery.plans.catalog import query
+from rookery.plans.identity_queries import positions
+from rookery.sources import tables as T
+
+
+def _keys(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
+    members = T.members(spark, sf_dir).filter(F.col("revision") == revision)
+    return identity.scope_keys(members).drop("revision")
+
+
+def _viewer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keys(spark, sf_dir, T.ACTIVE).filter(F.col("viewer_id") == T.VIEWER)
+
+
+T.VIEW_SQL["logged"] = """
+ select c.seq, c.source, c.activity_id, c.actor_key as change_key, a.actor_key, a.hidden, a.published_ms, a.type
+ from activity_change c join activity a on a.source = c.source and a.activity_id = c.activity_id"""
+_SCOPE = "(select key from membership where revision = 'r2' and viewer_id = 3)"
+
+
+@query("select seq, activity_id, change_key, actor_key, published_ms from logged")
+def changes_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.changes_with_rows(T.activity_change(spark, sf_dir), T.activity(spark, sf_dir))
+    return rows.select("seq", "activity_id", "change_key", "actor_key", "published_ms")
+
+
+_HISTORY = f"select seq, activity_id, published_ms from logged where not hidden and seq <= 8000 and actor_key in {_SCOPE} order by published_ms desc, activity_id desc limit 51"
+
+
+@query(_HISTORY)
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = P.history_page(
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), 8000, 50
+    )
+    return page.select("seq", "activity_id", "published_ms")
+
+
+@query(
+    f"""select seq, activity_id, published_ms from logged where not hidden and seq <= 8000 and actor_key in {_SCOPE}
+    and (published_ms < 1705276800000 or (published_ms = 1705276800000 and activity_id < 'tag:feed,2024:m'))
+    order by published_ms desc, activity_id desc limit 51"""
+)
+def history_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = P.history_page(
+        T.activity_change(spark, sf_dir),
+        T.activity(spark, sf_dir),
+        _viewer_keys(spark, sf_dir),
+        8000,
+        50,
+        after=(1705276800000, "tag:feed,2024:m"),
+    )
+    return page.select("seq", "activity_id", "published_ms")
+
+
+@query(
+    f"""select seq, activity_id, published_ms from logged where not hidden and seq > 4000 and seq <= 8000 and change_key in {_SCOPE}
+    order by seq, activity_id limit 51"""
+)
+def delta_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = P.delta_page(
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), 4000, 8000, 50
+    )
+    return page.select("seq", "activity_id", "published_ms")
+
+
+@query(
+    f"""select seq, activity_id, published_ms from logged where not hidden and (seq > 4100 or (seq = 4100 and activity_id > 'tag'))
+    and seq <= 8000 and change_key in {_SCOPE} order by seq, activity_id limit 51"""
+)
+def delta_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = P.delta_page(
+        T.activity_change(spark, sf_dir),
+        T.activity(spark, sf_dir),
+        _viewer_keys(spark, sf_dir),
+        4000,
+        8000,
+        50,
+        after=(4100, "tag"),
+    )
+    return page.select("seq", "activity_id", "published_ms")
+
+
+@query(
+    """select p.viewer_id, count(*) as n, min(l.seq) as first_seq, max(l.seq) as last_seq from logged l
+    join membership m on m.key = l.change_key and m.revision = 'r2'
+    join (select n_nationkey as viewer_id, cast(n_nationkey % 7 as bigint) * 700 as from_seq from nation) p on p.viewer_id = m.viewer_id
+    where not l.hidden and l.seq > p.from_seq group by p.viewer_id"""
+)
+def delta_all_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every viewer's replica is missing, each from its own position."""
+    bounds = _keys(spark, sf_dir, T.ACTIVE).join(positions(spark, sf_dir, 700), "viewer_id")
+    rows = P.scoped_changes(T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), bounds)
+    return rows.groupBy("viewer_id").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    )
+
+
+T.VIEW_SQL["gap_plan"] = """
+ select v.viewer_id, case when count(r.actor_key) > 0 then 'history' else 'delta' end as action,
+  case when count(r.actor_key) > 0 then 0 else v.from_seq end as from_seq
+ from (select n_nationkey as viewer_id, cast(n_nationkey % 7 as bigint) * 40 as from_seq from nation) v
+ left join membership s on s.viewer_id = v.viewer_id and s.revision = 'r2'
+ left join retention r on r.actor_key = s.key and r.compacted_through_seq > v.from_seq
+ group by v.viewer_id, v.from_seq"""
+
+
+@query(
+    """select g.viewer_id, g.action, count(l.seq) as n_rows, cast(9000 as bigint) as checkpoint_seq from gap_plan g
+    left join membership m on m.viewer_id = g.viewer_id and m.revision = 'r2'
+    left join logged l on l.change_key = m.key and not l.hidden and l.seq > g.from_seq and l.seq <= 9000
+    group by g.viewer_id, g.action"""
+)
+def recover_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a gap: replay history, then the checkpoint is whole again."""
+    keys = _keys(spark, sf_dir, T.ACTIVE)
+    gaps = identity.gap_floor(positions(spark, sf_dir), keys, T.retention(spark, sf_dir))
+    return P.recover_gap(
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), keys, gaps, 9000
+    )
+
+
+@query(
+    """select n.viewer_id, l.activity_id, l.seq, o.key is not null as held from membership n
+    join (select n_nationkey as viewer_id, cast(n_nationkey % 7 as bigint) * 700 as from_seq from nation) p on p.viewer_id = n.viewer_id
+    left join membership o on o.viewer_id = n.viewer_id and o.revision = 'r1' and o.key = n.key
+    join logged l on l.change_key = n.key and not l.hidden and l.seq <= 9000
+     and l.seq > case when o.key is null then 0 else p.from_seq end
+    where n.revision = 'r2'"""
+)
+def scope_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Move of every viewer from revision r1 to r2: drain kept keys, backfill added ones."""
+    return P.scope_transition(
+        T.activity_change(spark, sf_dir),
+        T.activity(spark, sf_dir),
+        _keys(spark, sf_dir, T.PREVIOUS),
+        _keys(spark, sf_dir, T.ACTIVE),
+        positions(spark, sf_dir, 700),
+        9000,
+    )
+
+
+T.VIEW_SQL["page_event"] = """
+ select user_id as scope, event_id as pos, case event_type when 'error' then 'gap' when 'view' then 'history' when 'click' then 'history' else 'delta' end as kind,
+  event_id % 3 = 0 as is_end from events where event_id % 5 = 0"""
+
+
+@query(
+    """select scope,
+     case when max(pos) filter (kind <> 'delta') is null then 'unchecked'
+      when max(pos) filter (kind = 'history' and is_end) = max(pos) filter (kind <> 'delta') then 'exhausted' else 'may-have-more' end as remote_window,
+     case when coalesce(max(pos) filter (kind = 'gap'), -1) > coalesce(max(pos) filter (kind = 'history' and is_end), -1) then 'gap-detected' else 'continuous' end as integrity
+    from page_event group by scope"""
+)
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    outcome = (
+        F.when(kind == "error", "gap").when(kind.isin("view", "click"), "history").otherwise("delta")
+    )
+    events = T.read(spark, sf_dir, "events").filter(F.col("event_id") % 5 == 0)
+    return P.coverage(
+        events.select(
+            F.col("user_id").alias("scope"),
+            F.col("event_id").alias("at"),
+            outcome.alias("kind"),
+            (F.col("event_id") % 3 == 0).alias("is_end"),
+        )
+    )

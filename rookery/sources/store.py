@@ -7,7 +7,7 @@ writer that dies before the pointer row leaves the old version in force.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,27 +62,29 @@ class Store:
         pointer.write.mode("append").parquet(f"{self.root}/_pointer")
 
 
-def maintain_projection(
-    store: Store, sig: str, through: int, build, extend_rows, merge
+def maintain_generation(
+    store: Store,
+    name: str,
+    signature: str,
+    through: int,
+    build: Callable[[int], DataFrame],
+    extend: Callable[[int, int], DataFrame],
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> str:
-    """Extend the generation when its signature still holds, else rebuild.
+    """Extend the current generation while its signature holds, else rebuild it.
 
-    ``build()`` gives the full aggregates; ``extend_rows(low, high)`` those of the
-    rows with ``low < revision <= high``; ``merge(old, delta)`` adds them up. The
-    covered revision travels in the signature column next to the signature.
+    ``build(high)`` gives the aggregates of all revisions up to ``high``,
+    ``extend(low, high)`` those above ``low``, ``merge`` adds two of them up. The
+    covered revision is part of the pointer row, so rows and revision move as one.
     """
-    found = store.current("projection")
-    covered = store.current("projection_through")
-    if found is not None and found[1] == sig and covered is not None:
-        done = int(covered[1])
-        if done >= through:
-            return "unchanged"
-        old = store.read("projection")
-        store.publish({"projection": merge(old, extend_rows(done, through))}, sig)
-        action = "extended"
-    else:
-        store.publish({"projection": build()}, sig)
-        action = "rebuilt"
-    marker = store.spark.createDataFrame([(through,)], "through long")
-    store.publish({"projection_through": marker}, str(through))
-    return action
+    found = store.current(name)
+    held, _, covered = (found[1] or "").rpartition("@") if found else ("", "", "")
+    stamp = f"{signature}@{through}"
+    if not found or held != signature:
+        store.publish({name: build(through)}, stamp)
+        return "rebuilt"
+    done = int(covered)
+    if done >= through:
+        return "unchanged"
+    store.publish({name: merge(store.read(name), extend(done, through))}, stamp)
+    return "extended"

@@ -155,9 +155,14 @@ def feed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations_of(read(spark, sf_dir, "conversations"))
+
+
+def mutations_of(conversations: DataFrame) -> DataFrame:
+    """Turns as user-state mutations; also usable on a streaming source."""
     conv, turn = F.col("conv_id"), F.col("turn")
     attempt = F.when(turn % 4 == 3, turn - 1).otherwise(turn)
-    return read(spark, sf_dir, "conversations").select(
+    return conversations.select(
         conv.alias("entity_id"),
         turn.alias("arrival"),
         F.concat(F.lit("m"), conv, F.lit("-"), turn).alias("mutation_id"),

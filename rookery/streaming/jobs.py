@@ -49,17 +49,23 @@ def run_available(source: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def stream_ingest(source: DataFrame, store: str, checkpoint: str) -> None:
+def stream_ingest(
+    source: DataFrame, store: str, checkpoint: str, known: str | None = None
+) -> None:
     """Append activities whose id was never stored, over any number of deliveries.
 
     The dedupe is an anti-join against the store, not stream state, so it has no
-    horizon and no growing state store.
+    horizon and no growing state store. ``known`` names a finished store of
+    another consumer, whose rows count as stored.
     """
     schema = source.schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = _read_before(batch.sparkSession, store, schema, batch_id)
-        _write(ingest.ingest_activity(known, batch), store, batch_id)
+        spark = batch.sparkSession
+        known_rows = _read_before(spark, store, schema, batch_id)
+        if known:
+            known_rows = known_rows.unionByName(read_all(spark, known, schema))
+        _write(ingest.ingest_activity(known_rows, batch), store, batch_id)
 
     run_available(source, checkpoint, each)
 
