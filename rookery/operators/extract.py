@@ -18,12 +18,14 @@ def extract_entries(raw: DataFrame, ingest_ms: int) -> DataFrame:
     ``raw``: (login, feed_xml). ``bad_date`` marks a present but unreadable
     publication time; such rows belong to a rejects table.
     """
-    login = X.normalize_login(F.col("login"))
+    xml = F.col("feed_xml")
+    # Everything taken from the document is taken before the explode, so that the
+    # document itself does not travel with each of its entries.
     found = raw.select(
-        login.alias("login"),
-        X.author_id(F.col("feed_xml")).alias("feed_id"),
-        F.explode(X.entries(F.col("feed_xml"))).alias("entry"),
-    )
+        X.normalize_login(F.col("login")).alias("login"),
+        X.author_id(xml).alias("feed_id"),
+        X.entries(xml).alias("entries"),
+    ).select("login", "feed_id", F.explode("entries").alias("entry"))
     e = F.col("entry")
     tags = found.select(
         "login",
