@@ -1,90 +1,14 @@
-"""Versioned user state: compare-and-set fold, overlay, merge, change capture."""
+"""Versioned user state: watermarks, pulls, overlay, merge, change capture."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery import schemas
 from rookery.functions.values import clamp
 
-_FOLD_COLUMNS = ["entity_id", "arrival", "mutation_id", "attempt_id", "base_version", "kind"]
-
-
-class _Entity:
-    """Version, tombstone and applied attempts of the entity being read."""
-
-    def __init__(self, entity_id: int) -> None:
-        self.entity_id, self.version, self.deleted = entity_id, 0, False
-        self.applied: set[str] = set()
-
-    def step(self, kind: str, base: int, attempt: str) -> str:
-        if attempt in self.applied:
-            return "already-applied"
-        exists = self.version > 0
-        if self.deleted or base != self.version or (kind == "delete" and not exists):
-            return "conflict"
-        self.version, self.deleted = self.version + 1, kind == "delete"
-        self.applied.add(attempt)
-        return "applied"
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by entity and arrival; only the current entity is held."""
-    now: _Entity | None = None
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if now is None or now.entity_id != row.entity_id:
-                now = _Entity(row.entity_id)
-            if row.kind == "state":
-                now.version, now.deleted = row.base_version, row.deleted
-                continue
-            if row.kind == "receipt":
-                now.applied.add(row.attempt_id)
-                continue
-            outcome = now.step(row.kind, row.base_version, row.attempt_id)
-            out.append(
-                (row.entity_id, row.arrival, row.mutation_id, row.attempt_id, outcome,
-                 now.version, now.deleted)
-            )
-        yield pd.DataFrame(out, columns=schemas.MUTATION_RESULT.names)
-
-
-def apply_mutations(
-    log: DataFrame, state: DataFrame | None = None, receipts: DataFrame | None = None
-) -> DataFrame:
-    """Outcome of every mutation: applied / already-applied / conflict.
-
-    Mutations of one entity take effect in arrival order. ``state``: (entity_id,
-    version, deleted); ``receipts``: (entity_id, attempt_id) applied earlier; they
-    join the stream as leading rows. Rows are hash-partitioned and sorted by
-    entity, and stream through the fold: nothing is grouped in memory but the
-    attempts of the entity at hand.
-    """
-    rows = log.select(*_FOLD_COLUMNS).withColumn("deleted", F.lit(False))
-    none = F.lit(None).cast("string")
-    if state is not None:
-        lead = state.select(
-            "entity_id", F.lit(-2).cast("long").alias("arrival"), none.alias("mutation_id"),
-            none.alias("attempt_id"), F.col("version").alias("base_version"),
-            F.lit("state").alias("kind"), "deleted",
-        )
-        rows = rows.unionByName(lead)
-    if receipts is not None:
-        lead = receipts.select(
-            "entity_id", F.lit(-1).cast("long").alias("arrival"), none.alias("mutation_id"),
-            "attempt_id", F.lit(0).cast("long").alias("base_version"),
-            F.lit("receipt").alias("kind"), F.lit(False).alias("deleted"),
-        )
-        rows = rows.unionByName(lead)
-    ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", "arrival")
-    return ordered.mapInPandas(_fold, schemas.MUTATION_RESULT)
-
-
 def entity_state(results: DataFrame, log: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """Current (entity_id, version, deleted, name, value) after the fold.
 

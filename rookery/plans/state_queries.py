@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators import projection, state
+from rookery.operators import fold, projection, state
 from rookery.operators import rules as R
 from rookery.plans.catalog import query
 from rookery.plans.retention_queries import state_log
@@ -31,7 +31,7 @@ _FOLD = """with recursive fold as (
     f"{_FOLD} select entity_id, arrival, mutation_id, attempt_id, outcome, version, deleted from fold where step > 0"
 )
 def apply_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.apply_mutations(T.mutations(spark, sf_dir))
+    return fold.apply_mutations(T.mutations(spark, sf_dir))
 
 
 # The same log with bases that often match, so that chains, deletes and retries occur.
@@ -57,7 +57,7 @@ def apply_dense_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (again % 7 % 4).alias("base_version"),
         F.when(n % 31 == 3, "delete").otherwise("put").alias("kind"),
     )
-    return state.apply_mutations(log).drop("mutation_id")
+    return fold.apply_mutations(log).drop("mutation_id")
 
 
 @query(
@@ -69,7 +69,7 @@ def apply_dense_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = T.mutations(spark, sf_dir)
-    now = state.entity_state(state.apply_mutations(log), log)
+    now = state.entity_state(fold.apply_mutations(log), log)
     return now.select("entity_id", "version", "deleted", "name", F.md5("value").alias("value_md5"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rookery import schemas
-from rookery.operators import feed, ingest, state
+from rookery.operators import feed, fold, ingest
 
 
 def _read_before(
@@ -137,7 +137,7 @@ def stream_mutations(source: DataFrame, root: str, checkpoint: str) -> None:
         used = _read_before(spark, f"{root}/receipts", RECEIPT, batch_id).join(
             batch.select("entity_id", "attempt_id").distinct(), ["entity_id", "attempt_id"], "left_semi"
         )
-        _write(state.apply_mutations(batch, current, used), f"{root}/results", batch_id)
+        _write(fold.apply_mutations(batch, current, used), f"{root}/results", batch_id)
         # The written outcomes feed both follow-ups: the fold runs once.
         done = spark.read.schema(schemas.MUTATION_RESULT).parquet(
             f"{root}/results/batch_id={batch_id}"
