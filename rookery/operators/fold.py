@@ -36,22 +36,26 @@ class _Entity:
         missing = kind == "delete" and self.version == 0
         return not self.deleted and base == self.version and not missing
 
-    def step(self, kind: str, base: int, attempt: str) -> str:
-        if attempt in self.applied:
-            return "already-applied"
+    def swap(self, kind: str, base: int) -> str:
+        """Compare and set by version alone."""
         if not self.applies(kind, base):
             return "conflict"
         self.version, self.deleted = self.version + 1, kind == "delete"
-        self.applied.add(attempt)
         return "applied"
 
+    def step(self, kind: str, base: int, attempt: str) -> str:
+        """Compare and set; an attempt that took effect before is not applied again."""
+        if attempt in self.applied:
+            return "already-applied"
+        outcome = self.swap(kind, base)
+        if outcome == "applied":
+            self.applied.add(attempt)
+        return outcome
 
-def _results(entity: _Entity, rows: Iterator) -> Iterator[tuple]:
-    for row in rows:
-        outcome = entity.step(row.kind, row.base_version, row.attempt_id)
-        yield (
+    def result(self, row: tuple, outcome: str) -> tuple:
+        return (
             row.entity_id, row.arrival, row.mutation_id, row.attempt_id, outcome,
-            entity.version, entity.deleted,
+            self.version, self.deleted,
         )
 
 
@@ -68,7 +72,8 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif row.kind == "receipt":
                 now.applied.add(row.attempt_id)
             else:
-                out.extend(_results(now, iter([row])))
+                outcome = now.step(row.kind, row.base_version, row.attempt_id)
+                out.append(now.result(row, outcome))
         yield pd.DataFrame(out, columns=schemas.MUTATION_RESULT.names)
 
 
@@ -120,7 +125,8 @@ def _fold_block(block: pd.DataFrame) -> pd.DataFrame:
     first = block.iloc[0]
     entity = _Entity(first["entity_id"], first["entry_v"], first["entry_deleted"])
     rows = block.sort_values("arrival").itertuples(index=False)
-    return pd.DataFrame(_results(entity, rows), columns=schemas.MUTATION_RESULT.names)
+    out = [entity.result(row, entity.swap(row.kind, row.base_version)) for row in rows]
+    return pd.DataFrame(out, columns=schemas.MUTATION_RESULT.names)
 
 
 def _next_nodes(edges: DataFrame) -> DataFrame:
