@@ -127,12 +127,21 @@ def following_stats_all(
     return with_stats(following_list(users, subscriptions), stats, "login")
 
 
-def _classes(activity: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Activity with rule hits, and rule positions by viewer; NULL when too many rules."""
+def _classes(
+    activity: DataFrame, membership: DataFrame, rules: DataFrame
+) -> tuple[DataFrame, DataFrame] | None:
+    """Activity with rule hits, and follow edges with the rules of their viewer.
+
+    NULL when there are too many distinct rules for one plan. The rules join the
+    edges, not the fan-out, so no fanned-out row is exchanged for them.
+    """
     texts = R.distinct_rules(rules)
     if texts is None:
         return None
-    return R.with_hits(base(activity), texts), R.viewer_positions(rules, texts)
+    edges = membership.select("viewer_id", F.col("key").alias("actor_key")).join(
+        R.viewer_positions(rules, texts), "viewer_id", "left"
+    )
+    return R.with_hits(base(activity), texts), edges
 
 
 def _unhidden(joined: DataFrame) -> DataFrame:
@@ -170,17 +179,13 @@ def visible_counts_all(activity: DataFrame, membership: DataFrame, rules: DataFr
     Rows are first reduced to (actor, type, set of rules hit); only these
     classes meet the follow lists, so the fan-out carries no single activities.
     """
-    prepared = _classes(activity, rules)
+    prepared = _classes(activity, membership, rules)
     if prepared is None:
         return stats_by(_pairs_by_text(activity, membership, rules), "viewer_id", "type")
-    rows, mine = prepared
+    rows, edges = prepared
     classes = stats_by(rows, "actor_key", "type", "hits")
-    joined = (
-        classes.join(membership.select("viewer_id", F.col("key").alias("actor_key")), "actor_key")
-        .join(mine, "viewer_id", "left")
-    )
     return (
-        _unhidden(joined)
+        _unhidden(classes.join(edges, "actor_key"))
         .groupBy("viewer_id", "type")
         .agg(F.sum("n").alias("n"), F.max("latest_ms").alias("latest_ms"))
     )
@@ -194,20 +199,15 @@ def visible_newest_all(
     Any viewer sees all or none of a class (actor, set of rules hit), so only the
     newest ``n`` of each class can reach a page; the rest stays out of the join.
     """
-    prepared = _classes(activity, rules)
+    prepared = _classes(activity, membership, rules)
     if prepared is None:
         return top_n(
             _pairs_by_text(activity, membership, rules), ["viewer_id"], newest_first(), n, "position"
         )
-    rows, mine = prepared
+    rows, edges = prepared
     narrow = rows.select("activity_id", "actor_key", "type", "published_ms", "hits")
     candidates = top_n(narrow, ["actor_key", "hits"], newest_first(), n)
-    joined = (
-        candidates.join(
-            membership.select("viewer_id", F.col("key").alias("actor_key")), "actor_key"
-        )
-        .join(mine, "viewer_id", "left")
-    )
+    joined = candidates.join(edges, "actor_key")
     return top_n(_unhidden(joined), ["viewer_id"], newest_first(), n, "position")
 
 

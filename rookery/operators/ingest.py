@@ -17,13 +17,24 @@ class RejectedLoad(ValueError):
     pass
 
 
+def unseen(batch: DataFrame, store: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a delivery whose key is not stored.
+
+    The store is first narrowed to the keys of the delivery. Its side of that
+    join only streams when the delivery is small, so the whole store is not
+    exchanged for every small delivery.
+    """
+    held = store.select(*key).join(batch.select(*key).distinct(), key, "left_semi")
+    return batch.join(held, key, "left_anti")
+
+
 def ingest_activity(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of ``batch`` whose id is not stored yet, one per id.
 
     Stored rows are never replaced, and ids absent from a batch are not deleted.
     Inside a batch the earliest created row of an id wins.
     """
-    fresh = batch.join(store.select("activity_id"), "activity_id", "left_anti")
+    fresh = unseen(batch, store, ["activity_id"])
     return first_by(fresh, ["activity_id"], [F.asc("created_ms"), F.asc("published_ms")])
 
 
@@ -40,7 +51,7 @@ def append_changes(changes: DataFrame, rows: DataFrame, stored_head: int = 0) ->
     """
     key = ["source", "activity_id"]
     columns = [*key, "actor_key", "actor_id", "created_ms"]
-    missing = rows.select(*columns).join(changes.select(*key), key, "left_anti")
+    missing = unseen(rows.select(*columns), changes, key)
     fresh = first_by(missing, key, [F.asc("created_ms")])
     ranked = numbered(fresh, [F.col("created_ms"), F.col("activity_id"), F.col("source")])
     start = head_seq(changes, stored_head) + 1

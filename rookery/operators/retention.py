@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators.ingest import append_changes
 from rookery.operators.ranking import top_n
+from rookery.session import materialise
 
 MAX_PER_ACTOR = 200
 MAX_CHANGES_PER_USER = MAX_RECEIPTS_PER_USER = 2_000
@@ -46,20 +47,21 @@ def cut_points(activity: DataFrame, n: int) -> DataFrame:
     )
 
 
-def split_retained(activity: DataFrame, n: int = MAX_PER_ACTOR) -> DataFrame:
-    """Add ``removed``: true below the newest ``n`` rows of the actor."""
+def split_retained(activity: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add ``removed``: true below the cut point of the actor."""
     below = (F.col("published_ms") < F.col("cut_ms")) | (
         (F.col("published_ms") == F.col("cut_ms")) & (F.col("activity_id") < F.col("cut_id"))
     )
     return (
-        activity.join(cut_points(activity, n), "actor_key", "left")
+        activity.join(cuts, "actor_key", "left")
         .withColumn("removed", F.coalesce(below, F.lit(False)))
         .drop("cut_ms", "cut_id")
     )
 
 
 def retain_newest(activity: DataFrame, n: int = MAX_PER_ACTOR) -> DataFrame:
-    return split_retained(activity, n).filter(~F.col("removed")).drop("removed")
+    marked = split_retained(activity, cut_points(activity, n))
+    return marked.filter(~F.col("removed")).drop("removed")
 
 
 def oldest_by_actor(activity: DataFrame) -> DataFrame:
@@ -189,9 +191,9 @@ def upsert_retention(retention: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-def _raise_floors(retention: DataFrame, floors: DataFrame, left: DataFrame) -> DataFrame:
+def _raise_floors(retention: DataFrame, floors: DataFrame, oldest: DataFrame) -> DataFrame:
     """Floor = max, generation + 1 and fresh oldest marks for the actors in ``floors``."""
-    marks = oldest_by_actor(left).withColumnsRenamed({"oldest_ms": "_ms", "oldest_id": "_id"})
+    marks = oldest.withColumnsRenamed({"oldest_ms": "_ms", "oldest_id": "_id"})
     touched = floors.join(marks, "actor_key", "left").withColumn("_hit", F.lit(True)).alias("t")
     both = retention.alias("r").join(touched, "actor_key", "full")
     hit = F.coalesce("t._hit", F.lit(False))
@@ -221,24 +223,29 @@ def drop_orphans(
     blank = changes.filter(F.col("actor_key") == "").join(
         activity.select(*_KEY), _KEY, "left_anti"
     )
-    return known.unionByName(blank), _raise_floors(retention, floors, activity)
+    return known.unionByName(blank), _raise_floors(retention, floors, oldest_by_actor(activity))
 
 
 def retention_run(
     activity: DataFrame, changes: DataFrame, retention: DataFrame, n: int = MAX_PER_ACTOR
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(activity, log, retention) after keeping the newest ``n`` rows of every actor."""
-    marked = split_retained(activity, n)
+    """(activity, log, retention) after keeping the newest ``n`` rows of every actor.
+
+    The cut points and the keys of removed rows are written once and used for all
+    three results. A cut row is the oldest one its actor keeps.
+    """
+    cuts = materialise(cut_points(activity, n), "cuts")
+    marked = split_retained(activity, cuts)
     kept = marked.filter(~F.col("removed")).drop("removed")
-    gone = marked.filter("removed").select("actor_key", *_KEY)
-    seqs = changes.select(*_KEY, "seq")
+    gone = materialise(marked.filter("removed").select("actor_key", *_KEY), "removed")
     floors = (
-        gone.join(seqs, _KEY, "left")
+        gone.join(changes.select(*_KEY, "seq"), _KEY, "left")
         .groupBy("actor_key")
         .agg(F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("floor_seq"))
     )
     log = changes.join(gone.select(*_KEY), _KEY, "left_anti")
-    return kept, log, _raise_floors(retention, floors, kept)
+    oldest = cuts.withColumnsRenamed({"cut_ms": "oldest_ms", "cut_id": "oldest_id"})
+    return kept, log, _raise_floors(retention, floors, oldest)
 
 
 # User-state log ----------------------------------------------------------------

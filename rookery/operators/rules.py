@@ -295,3 +295,10 @@ def with_canonical_text(rules: DataFrame) -> DataFrame:
         return texts.map(canonical_text)
 
     return rules.withColumn("canonical", canonical("rule_text"))
+
+
+def list_rules(rules: DataFrame, by_name: bool = True) -> DataFrame:
+    """Live rules with ``is_valid``, by name or by age; invalid ones are listed too."""
+    checked = with_canonical_text(live(rules))
+    listed = checked.withColumn("is_valid", F.col("canonical").isNotNull()).drop("canonical")
+    return listed.orderBy("viewer_id", "name" if by_name else "created_ms", "rule_id")

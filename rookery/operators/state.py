@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.values import clamp
+from rookery.operators.rules import with_canonical_text
 
 def entity_state(results: DataFrame, log: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """Current (entity_id, version, deleted, name, value) after the fold.
@@ -214,6 +215,20 @@ def split_conflicts(outbox: DataFrame, conflicts: DataFrame) -> DataFrame:
     )
 
 
+def mark_blocked(outbox: DataFrame) -> DataFrame:
+    """Puts whose merged rule is not valid are blocked and become conflict copies.
+
+    ``outbox``: (.., kind, rule_text, conflict_copy).
+    """
+    blocked = (F.col("kind") == "put") & F.col("canonical").isNull()
+    return (
+        with_canonical_text(outbox)
+        .withColumn("status", F.when(blocked, F.lit("blocked")).otherwise(F.lit("pending")))
+        .withColumn("conflict_copy", F.col("conflict_copy") | blocked)
+        .drop("canonical")
+    )
+
+
 def derive_changes(
     before: DataFrame, after: DataFrame, key: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:

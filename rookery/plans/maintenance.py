@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.operators import extract, ingest, replication, retention
+from rookery.session import materialise
 from rookery.sources.store import Store
 
 
@@ -67,48 +68,126 @@ def sync_following(store: Store, raw: DataFrame, now_ms: int) -> int:
     return store.read("subscription").count()
 
 
+def _head(store: Store) -> int:
+    """Highest sequence ever used. Kept apart from the log, which retention shortens."""
+    kept = store.read("head")
+    stored = kept.first()["head_seq"] if kept is not None else 0
+    return ingest.head_seq(store.read("change"), stored)
+
+
+def _head_row(store: Store, head: int) -> DataFrame:
+    return store.spark.createDataFrame([(head,)], "head_seq long")
+
+
+def _gate_row(store: Store, proved_ms: int | None) -> DataFrame:
+    epoch = _epoch(store)
+    proof = (epoch, epoch if proved_ms is not None else None, proved_ms, proved_ms)
+    return store.spark.createDataFrame([proof], schemas.GATE)
+
+
+def _epoch(store: Store) -> str:
+    gate = store.read("gate")
+    return gate.first()["data_epoch"] if gate is not None else "epoch-1"
+
+
+def gate_open(store: Store, now_ms: int) -> bool:
+    """A fresh proof of a clean audit exists."""
+    gate = store.read("gate")
+    return gate is not None and bool(retention.gate(gate, now_ms).first()["open"])
+
+
+def reconcile_if_needed(store: Store, users: DataFrame, now_ms: int) -> bool:
+    """Reuse a fresh proof; else close the gate, repair, and open it after a clean audit."""
+    if gate_open(store, now_ms):
+        return True
+    store.publish({"gate": _gate_row(store, None)})
+    clean = reconcile(store, users)
+    if clean:
+        store.publish({"gate": _gate_row(store, now_ms)})
+    return clean
+
+
 def reconcile(store: Store, users: DataFrame) -> bool:
-    """Repairs in order, each published before the next; then the audit decides."""
-    activity = retention.normalise_keys(store.read("activity"), users)
-    changes = retention.repair_changes(store.read("change"), store.read("activity"))
-    store.publish({"activity": activity, "change": changes.drop("repaired")})
-    activity, changes = store.read("activity"), store.read("change")
-    more = retention.sequence_missing(activity, changes)
-    store.publish({"change": changes.unionByName(more.select(*changes.columns))})
-    changes = store.read("change")
-    marks = retention.upsert_retention(store.read("retention"), activity)
-    log, floors = retention.drop_orphans(changes, activity, marks)
-    store.publish({"change": log, "retention": floors})
-    verdict = retention.audit(activity, store.read("change"), store.read("retention"))
-    return bool(verdict.first()["ready"])
+    """Audit, repair what the audit found, audit again; true when clean.
+
+    A repair rewrites or extends a table only when its count is not zero, so a
+    clean store costs one audit and the per-actor marks.
+    """
+    head = _head(store)
+    found = _audit(store)
+    blank = found["unnormalised"]
+    if blank:
+        store.publish({"activity": retention.normalise_keys(store.read("activity"), users)})
+    if blank or found["mismatched"]:
+        fixed = retention.repair_changes(store.read("change"), store.read("activity"))
+        store.publish({"change": fixed.drop("repaired")})
+    if blank or found["without_change"]:
+        log = store.read("change")
+        more = retention.sequence_missing(store.read("activity"), log, head)
+        store.publish(append={"change": more.select(*log.columns)})
+        head = _head(store)
+    store.publish({"head": _head_row(store, head)})
+    marks = retention.upsert_retention(store.read("retention"), store.read("activity"))
+    if found["orphans"]:
+        log, marks = retention.drop_orphans(store.read("change"), store.read("activity"), marks)
+        store.publish({"change": log, "retention": marks})
+    else:
+        store.publish({"retention": marks})
+    repaired = any(found[c] for c in found.asDict() if c != "ready")
+    return bool(_audit(store)["ready"]) if repaired else True
+
+
+def _audit(store: Store) -> Row:
+    tables = (store.read(name) for name in ("activity", "change", "retention"))
+    return retention.audit(*tables).first()
 
 
 def refresh(store: Store, raw_feed: DataFrame, users: DataFrame, source: str, now_ms: int) -> int:
-    """Extract raw documents, append unseen activities and their log rows."""
+    """Extract raw documents, append unseen activities, their bodies and log rows."""
     entries = extract.extract_entries(raw_feed, now_ms)
-    batch = extract.to_activities(entries, users, source, now_ms)
-    stored, changes = store.read("activity"), store.read("change")
-    narrow = ingest.ingest_activity(stored, batch).select(*stored.columns)
-    store.publish({"fresh": narrow})
-    fresh = store.read("fresh")
-    log = ingest.append_changes(changes, fresh)
+    # Extraction is the costly part: written once, read for keys, rows and bodies.
+    batch = materialise(extract.to_activities(entries, users, source, now_ms), "extracted")
+    fresh = materialise(ingest.ingest_activity(store.read("activity"), batch), "fresh")
+    head = _head(store)
+    log = materialise(ingest.append_changes(store.read("change"), fresh, head), "sequenced")
+    cleaner = extract.HTML_CLEANER
+    bodies = fresh.select(
+        "activity_id",
+        "summary",
+        cleaner.clean(F.col("content")).alias("content"),
+        F.lit(cleaner.version).alias("version"),
+    )
     store.publish(
-        {
-            "activity": stored.unionByName(fresh),
-            "change": changes.unionByName(log.select(*changes.columns)),
+        {"head": _head_row(store, ingest.head_seq(log, head))},
+        append={
+            "activity": fresh.select(*store.read("activity").columns),
+            "change": log.select(*store.read("change").columns),
+            "body": bodies,
         }
     )
     return fresh.count()
 
 
-def cleanup(store: Store, n: int) -> int:
+def cleanup(store: Store, n: int, now_ms: int) -> int:
+    """Keep the newest ``n`` rows per actor; rewrites nothing when none has more."""
+    if not gate_open(store, now_ms):
+        return 0
     before = store.read("activity")
+    if retention.over_limit(before, n).isEmpty():
+        return 0
     kept, log, floors = retention.retention_run(
         before, store.read("change"), store.read("retention"), n
     )
-    removed = before.count()
-    store.publish({"activity": kept, "change": log, "retention": floors})
-    return removed - store.read("activity").count()
+    had = before.count()
+    store.publish(
+        {
+            "activity": kept,
+            "change": log,
+            "retention": floors,
+            "head": _head_row(store, _head(store)),
+        }
+    )
+    return had - store.read("activity").count()
 
 
 def run_maintenance(

@@ -197,11 +197,9 @@ def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = spark.createDataFrame(list(enumerate(texts)), "ix int, rule_text string")
     hits = index.join(counts, "ix", "left").select("rule_text", "n")
     return (
-        R.with_canonical_text(R.live(table))
-        .withColumn("is_valid", F.col("canonical").isNotNull())
+        R.list_rules(table)
         .join(hits, "rule_text", "left")
         .select("viewer_id", "rule_id", "name", "is_valid", F.coalesce("n", F.lit(0)).alias("n_rows"))
-        .orderBy("viewer_id", "name")
     )
 
 

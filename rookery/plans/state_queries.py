@@ -9,7 +9,7 @@ from rookery.operators import fold, projection, state
 from rookery.operators import rules as R
 from rookery.plans.catalog import query
 from rookery.plans.retention_queries import state_log
-from rookery.plans.rule_queries import membership, user_filter
+from rookery.plans.rule_queries import SAMPLE_RULES, membership, user_filter
 from rookery.sources import tables as T
 
 # The fold as a recursion over arrivals, one step per turn.
@@ -267,6 +267,26 @@ def split_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.split_conflicts(outbox, conflicts)
 
 
+_N_RULES = len(SAMPLE_RULES)
+_INVALID = ", ".join(str(i) for i, (_, sql) in enumerate(SAMPLE_RULES) if sql is None)
+
+
+@query(
+    f"""select event_id as local_sequence, case when event_id % {_N_RULES} in ({_INVALID}) and event_id % 4 <> 3 then 'blocked' else 'pending' end as status,
+     event_id % 10 = 0 or (event_id % {_N_RULES} in ({_INVALID}) and event_id % 4 <> 3) as conflict_copy from events"""
+)
+def blocked_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending operations whose rule does not validate."""
+    texts, n = F.array(*[F.lit(text) for text, _ in SAMPLE_RULES]), F.col("event_id")
+    outbox = T.read(spark, sf_dir, "events").select(
+        n.alias("local_sequence"),
+        F.when(n % 4 == 3, "delete").otherwise("put").alias("kind"),
+        F.element_at(texts, (n % _N_RULES + 1).cast("int")).alias("rule_text"),
+        (n % 10 == 0).alias("conflict_copy"),
+    )
+    return state.mark_blocked(outbox).select("local_sequence", "status", "conflict_copy")
+
+
 @query(
     """select p.mutation_id, case when r.outcome = 'conflict' then sha256(concat('retry:', p.mutation_id, ':', p.attempt_id)) else p.attempt_id end as attempt_id
     from mutation p left join (select mutation_id, case when arrival % 3 = 0 then 'applied' when arrival % 3 = 1 then 'conflict' else 'already-applied' end as outcome

@@ -223,11 +223,11 @@ def maintenance_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         {
             "following": lambda: maintenance.sync_following(store, raw_following(spark, sf_dir), T.NOW_MS),
-            "reconcile": lambda: maintenance.reconcile(store, users),
+            "reconcile": lambda: maintenance.reconcile_if_needed(store, users, T.NOW_MS),
             "refresh": lambda: maintenance.refresh(
                 store, T.raw_feed(spark, sf_dir), users, "feed-v1", T.NOW_MS
             ),
-            "cleanup": lambda: maintenance.cleanup(store, _KEEP),
+            "cleanup": lambda: maintenance.cleanup(store, _KEEP, T.NOW_MS),
             "compact": compact,
         },
     )

@@ -20,6 +20,7 @@ ACTIVITY_CHANGE = _struct(seq=_L, source=_S, activity_id=_S, actor_key=_S, actor
 RETENTION = _struct(
     actor_key=_S, compacted_through_seq=_L, retention_generation=_L, oldest_ms=_L, oldest_id=_S
 )
+GATE = _struct(data_epoch=_S, proof_epoch=_S, reconciled_ms=_L, cleanup_enabled_ms=_L)
 MEMBER = _struct(
     viewer_id=_I, revision=_S, actor_key=_S, login=_S, legacy_keys=T.ArrayType(_S), position=_L
 )

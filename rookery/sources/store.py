@@ -1,65 +1,76 @@
 """Versioned Parquet tables: data first, pointer last, readers resolve once.
 
-A table is a folder of immutable versions plus an append-only pointer table. A
-writer that dies before the pointer row leaves the old version in force.
+A version of a table is a list of immutable folders. Replacing writes one new
+folder; appending writes a folder of the new rows and keeps the others, so a
+small delivery does not rewrite a large table. A writer that dies before its
+pointer row leaves the old version in force.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_POINTER = "name string, version long, signature string, path string"
+_POINTER = "name string, version long, signature string, paths array<string>"
 
 
 class Store:
+    """One writer at a time. Pointers are resolved once; ``refresh`` looks again."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._found: dict[str, tuple[int, str | None, list[str]]] = {}
+        self._schemas: dict[str, T.StructType] = {}
+        self.refresh()
 
-    def _pointers(self) -> DataFrame | None:
+    def refresh(self) -> None:
+        """Resolve the newest version of every table, one row per table."""
         try:
-            return self.spark.read.schema(_POINTER).parquet(f"{self.root}/_pointer")
+            pointers = self.spark.read.schema(_POINTER).parquet(f"{self.root}/_pointer")
         except AnalysisException:
-            return None
-
-    def current(self, name: str) -> tuple[int, str | None, str] | None:
-        """(version, signature, path) in force."""
-        pointers = self._pointers()
-        if pointers is None:
-            return None
-        row = (
-            pointers.filter(F.col("name") == name)
-            .agg(F.max_by(F.struct("version", "signature", "path"), "version").alias("p"))
-            .first()["p"]
+            return  # nothing published yet
+        newest = pointers.groupBy("name").agg(
+            F.max_by(F.struct("version", "signature", "paths"), "version").alias("p")
         )
-        return None if row is None else (row["version"], row["signature"], row["path"])
+        self._found = {r["name"]: tuple(r["p"]) for r in newest.collect()}
+        self._schemas.clear()
+
+    def current(self, name: str) -> tuple[int, str | None, list[str]] | None:
+        """(version, signature, folders) in force."""
+        return self._found.get(name)
 
     def read(self, name: str) -> DataFrame | None:
         found = self.current(name)
-        return None if found is None else self.spark.read.parquet(found[2])
+        if found is None:
+            return None
+        schema = self._schemas.get(name)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*found[2])
 
     def publish(
         self,
-        tables: Mapping[str, DataFrame],
+        replace: Mapping[str, DataFrame] | None = None,
+        append: Mapping[str, DataFrame] | None = None,
         signature: str | None = None,
-        partition_by: Mapping[str, Sequence[str]] | None = None,
     ) -> None:
         """Write all tables to new folders, then move all pointers in one append."""
-        rows = []
-        for name, df in tables.items():
-            found = self.current(name)
-            version = 1 if found is None else found[0] + 1
-            path = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex[:8]}"
-            writer = df.write
-            by = (partition_by or {}).get(name)
-            (writer.partitionBy(*by) if by else writer).parquet(path)
-            rows.append((name, version, signature, path))
+        rows, schemas = [], {}
+        for tables, keep in ((replace or {}, False), (append or {}, True)):
+            for name, df in tables.items():
+                version, _, paths = self.current(name) or (0, None, [])
+                path = f"{self.root}/{name}/v{version + 1}-{uuid.uuid4().hex[:8]}"
+                df.write.parquet(path)
+                rows.append((name, version + 1, signature, [*paths, path] if keep else [path]))
+                schemas[name] = df.schema
         pointer = self.spark.createDataFrame(rows, _POINTER).coalesce(1)
         pointer.write.mode("append").parquet(f"{self.root}/_pointer")
+        self._found |= {name: (version, stamp, paths) for name, version, stamp, paths in rows}
+        self._schemas |= schemas
 
 
 def maintain_generation(
@@ -81,10 +92,10 @@ def maintain_generation(
     held, _, covered = (found[1] or "").rpartition("@") if found else ("", "", "")
     stamp = f"{signature}@{through}"
     if not found or held != signature:
-        store.publish({name: build(through)}, stamp)
+        store.publish({name: build(through)}, signature=stamp)
         return "rebuilt"
     done = int(covered)
     if done >= through:
         return "unchanged"
-    store.publish({name: merge(store.read(name), extend(done, through))}, stamp)
+    store.publish({name: merge(store.read(name), extend(done, through))}, signature=stamp)
     return "extended"

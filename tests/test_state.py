@@ -242,13 +242,16 @@ def test_store_publishes_all_or_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     one = spark.createDataFrame([(1,)], "x int")
     assert store.read("a") is None
-    store.publish({"a": one, "b": one}, "s1")
+    store.publish({"a": one, "b": one}, signature="s1")
     broken = one.select(F.raise_error(F.lit("boom")).alias("x"))
     with pytest.raises(Exception, match="boom"):
         store.publish({"a": one.union(one), "b": broken})
     assert rows(store.read("a")) == [(1,)] and store.current("a")[:2] == (1, "s1")
-    store.publish({"a": one.union(one)}, "s2")
-    assert store.read("a").count() == 2 and store.current("b")[0] == 1
+    store.publish({"a": one.union(one)}, append={"b": one})
+    assert store.read("a").count() == 2 and store.read("b").count() == 2
+    again = Store(spark, str(tmp_path))
+    assert again.current("a")[0] == 2 and len(again.current("b")[2]) == 2
+    assert again.read("b").count() == 2
 
 
 def test_generation_extends_and_rebuilds(spark, tmp_path):
@@ -325,3 +328,21 @@ def test_failed_reconcile_skips_only_the_clean_up(spark):
     plan, order = steps(following=fail)
     assert rows(maintenance.run_maintenance(spark, plan), "ok").count((False,)) == 1
     assert order == ["reconcile", "refresh", "cleanup", "compact"]
+
+
+def test_sequences_are_never_reused_after_the_log_shrinks(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    act = activity(spark, ("a", "github:1", 1), ("b", "github:1", 2))
+    log = changes(spark, (1, "a", "github:1"), (2, "b", "github:1"), (9, "gone", "github:1"))
+    store.publish({"activity": act, "change": log, "retention": no_marks(spark)})
+    users = spark.createDataFrame([("user1", "1")], "login string, id string")
+    assert maintenance.reconcile_if_needed(store, users, 1000)
+    assert rows(store.read("change"), "seq") == [(1,), (2,)]
+    later = activity(spark, ("c", "github:1", 3))
+    store.publish(append={"activity": later})
+    assert maintenance.reconcile(store, users)
+    assert (10, "c") in rows(store.read("change"), "seq", "activity_id")
+    assert maintenance.cleanup(store, 1, 1000 + 2 * retention.PROOF_MAX_AGE_MS) == 0  # proof too old
+    assert maintenance.cleanup(store, 1, 1001) == 2
+    assert rows(store.read("activity"), "activity_id") == [("c",)]
+    assert store.read("head").first()["head_seq"] == 10
