@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.operators import rules as R
+from rookery.operators.joins import split_join
 from rookery.operators.ranking import numbered_within, top_n
 
 PAGE_SIZE = 20
@@ -46,7 +47,7 @@ def followed(activity: DataFrame, users: DataFrame, subscriptions: DataFrame, vi
     """Activity of known accounts that ``viewer`` follows, matched by login."""
     mine = subscriptions.filter(F.col("viewer_id") == viewer).select("login")
     known = users.select("login").join(mine, "login", "left_semi")
-    return activity.join(known, activity["actor_login"] == known["login"], "left_semi")
+    return split_join(activity, known.withColumnRenamed("login", "actor_login"), ["actor_login"], "left_semi")
 
 
 def visible_feed(
@@ -113,7 +114,7 @@ def following_list(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def with_stats(following: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Left merge of per-account stats: 0 and NULL where there is no activity."""
-    return following.join(stats, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return split_join(following, stats, [key], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def following_stats_all(
@@ -249,9 +250,11 @@ def summary_by_member(
     Rows of non-members are dropped, or kept under their own key. ``stats``:
     (actor_key, n, latest_ms); ``membership``: (viewer_id, key, actor_key).
     """
-    alias = membership.select("viewer_id", F.col("key").alias("_key"), F.col("actor_key").alias("_to"))
-    how = "left" if keep_strangers else "inner"
-    joined = stats.join(alias, stats["actor_key"] == alias["_key"], how)
+    alias = membership.select(
+        "viewer_id", F.col("key").alias("actor_key"), F.col("actor_key").alias("_to")
+    )
+    # The edges may be hot: a popular account has very many followers.
+    joined = split_join(stats, alias, ["actor_key"], "left" if keep_strangers else "inner")
     return (
         joined.groupBy("viewer_id", F.coalesce("_to", "actor_key").alias("member_key"))
         .agg(F.sum("n").alias("n"), F.max("latest_ms").alias("latest_ms"))
@@ -295,7 +298,7 @@ def is_due(now_ms: int) -> Column:
 def active_targets(users: DataFrame, subscriptions: DataFrame, viewers: DataFrame) -> DataFrame:
     """Accounts followed by at least one registered viewer."""
     live = subscriptions.join(viewers.select("viewer_id"), "viewer_id", "left_semi")
-    return users.join(live, "login", "left_semi")
+    return users.join(live.select("login").distinct(), "login", "left_semi")
 
 
 def refresh_queue(targets: DataFrame, now_ms: int, limit: int = QUEUE_LIMIT) -> DataFrame:

@@ -99,8 +99,10 @@ def canonicalise_selection(requests: DataFrame, members: DataFrame, complete: bo
     by_login = members.select(
         "viewer_id", F.lower(F.trim("login")).alias("folded"), F.col("actor_key").alias("login_key")
     )
+    # First places before the joins: a value asked for very often is one row then.
+    asked = requests.groupBy("viewer_id", "value").agg(F.min("pos").alias("pos"))
     resolved = (
-        requests.withColumn("folded", F.lower(F.trim("value")))
+        asked.withColumn("folded", F.lower(F.trim("value")))
         .join(by_key, ["viewer_id", "value"], "left")
         .join(by_login, ["viewer_id", "folded"], "left")
         .withColumn("key", F.coalesce("actor_key", "login_key"))

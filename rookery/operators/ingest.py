@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.operators.identity import member_keys
+from rookery.operators.joins import split_join
 from rookery.operators.ranking import first_by, last_by, numbered
 
 # Account names and the largest exact integer of the wire format.
@@ -34,8 +35,9 @@ def ingest_activity(store: DataFrame, batch: DataFrame) -> DataFrame:
     Stored rows are never replaced, and ids absent from a batch are not deleted.
     Inside a batch the earliest created row of an id wins.
     """
-    fresh = unseen(batch, store, ["activity_id"])
-    return first_by(fresh, ["activity_id"], [F.asc("created_ms"), F.asc("published_ms")])
+    # Copies go first: the map side keeps one row per id, so no id is hot below.
+    single = first_by(batch, ["activity_id"], [F.asc("created_ms"), F.asc("published_ms")])
+    return unseen(single, store, ["activity_id"])
 
 
 def head_seq(changes: DataFrame, stored_head: int = 0) -> int:
@@ -51,8 +53,8 @@ def append_changes(changes: DataFrame, rows: DataFrame, stored_head: int = 0) ->
     """
     key = ["source", "activity_id"]
     columns = [*key, "actor_key", "actor_id", "created_ms"]
-    missing = unseen(rows.select(*columns), changes, key)
-    fresh = first_by(missing, key, [F.asc("created_ms")])
+    single = first_by(rows.select(*columns), key, [F.asc("created_ms")])
+    fresh = unseen(single, changes, key)
     ranked = numbered(fresh, [F.col("created_ms"), F.col("activity_id"), F.col("source")])
     start = head_seq(changes, stored_head) + 1
     return ranked.select((F.lit(start) + F.col("rank")).alias("seq"), *columns)
@@ -76,7 +78,8 @@ def accepted_following(raw: DataFrame) -> DataFrame:
     """
     checked = check_following(raw)
     refused = checked.filter("bad").select("viewer_id").distinct()
-    rows = checked.join(refused, "viewer_id", "left_anti").withColumn("login", F.lower("login"))
+    rows = split_join(checked, refused, ["viewer_id"], "left_anti")
+    rows = rows.withColumn("login", F.lower("login"))
     kept = last_by(rows.drop("bad"), ["viewer_id", "login"], ["load_order"])
     return kept.select("viewer_id", "id", "login")
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.operators.joins import split_join
 from rookery.session import materialise
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row index below
@@ -44,19 +45,18 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Data
 def numbered_within(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank"
 ) -> DataFrame:
-    """0-based position inside each group; a group may exceed any one task."""
+    """0-based position inside each group; a group may exceed any one task.
+
+    Group columns are not null.
+    """
     ranked = numbered(df, [*[F.col(g) for g in group], *order], "_global")
     # ``numbered`` already wrote its rows, so both uses read the same table.
     first = ranked.groupBy(*group).agg(F.min("_global").alias("_first"))
-    keys = [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
-    on = keys[0]
-    for key in keys[1:]:
-        on = on & key
     return (
-        ranked.alias("r")
-        .join(first.alias("f"), on)
-        .select("r.*", (F.col("_global") - F.col("_first")).alias(name))
-        .drop("_global")
+        split_join(ranked, first, group)
+        .withColumn(name, F.col("_global") - F.col("_first"))
+        .drop("_global", "_first")
+        .select(*df.columns, name)
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.operators.ingest import append_changes
+from rookery.operators.joins import split_join
 from rookery.operators.ranking import top_n
 from rookery.session import materialise
 
@@ -53,7 +54,7 @@ def split_retained(activity: DataFrame, cuts: DataFrame) -> DataFrame:
         (F.col("published_ms") == F.col("cut_ms")) & (F.col("activity_id") < F.col("cut_id"))
     )
     return (
-        activity.join(cuts, "actor_key", "left")
+        split_join(activity, cuts, ["actor_key"], "left")
         .withColumn("removed", F.coalesce(below, F.lit(False)))
         .drop("cut_ms", "cut_id")
     )
@@ -276,7 +277,7 @@ def compact(
         F.greatest("floor_seq", F.coalesce("_new", "floor_seq")).alias("floor_seq"),
     )
     kept = (
-        log.join(raised, "user_id", "left")
+        split_join(log, raised, ["user_id"], "left")
         .filter(F.col("seq") > F.coalesce("floor_seq", F.lit(0)))
         .drop("floor_seq")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.values import clamp
+from rookery.operators.joins import split_join
 from rookery.operators.rules import with_canonical_text
 
 def entity_state(results: DataFrame, log: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def pull_state(requests: DataFrame, log: DataFrame, states: DataFrame, entities:
         )
     )
     changed = (
-        log.join(modes.filter(F.col("mode") == "delta"), "user_id")
+        split_join(log, modes.filter(F.col("mode") == "delta"), ["user_id"])
         .filter((F.col("seq") > F.col("after_seq")) & (F.col("seq") <= F.col("head_seq")))
         .select("user_id", "mode", "entity_id")
         .distinct()
@@ -206,7 +207,7 @@ def split_conflicts(outbox: DataFrame, conflicts: DataFrame) -> DataFrame:
     here = F.col("local_sequence") == F.col("at_sequence")
     fresh = F.sha2(F.concat_ws(":", F.lit("copy"), "entity_id", "at_sequence"), 256)
     attempt = F.sha2(F.concat_ws(":", F.lit("attempt"), "attempt_id", "local_sequence"), 256)
-    return outbox.join(conflicts, "entity_id", "left").select(
+    return split_join(outbox, conflicts, ["entity_id"], "left").select(
         F.when(hit, fresh).otherwise(F.col("entity_id").cast("string")).alias("entity_id"),
         "local_sequence",
         F.when(hit, attempt).otherwise(F.col("attempt_id")).alias("attempt_id"),

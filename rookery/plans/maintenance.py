@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.operators import extract, ingest, replication, retention
+from rookery.operators.joins import split_join
 from rookery.session import materialise
 from rookery.sources.store import Store
 
@@ -62,7 +63,7 @@ def sync_following(store: Store, raw: DataFrame, now_ms: int) -> int:
         new = fresh.withColumn("created_ms", F.lit(now_ms).cast("long"))
     else:
         loaded = ingest.load_summary(raw).filter("accepted").select("viewer_id")
-        kept = old.join(loaded, "viewer_id", "left_anti")
+        kept = split_join(old, loaded, ["viewer_id"], "left_anti")
         new = replication.replace_snapshot(old, fresh, now_ms).unionByName(kept)
     store.publish({"subscription": new})
     return store.read("subscription").count()
