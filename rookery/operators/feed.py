@@ -109,7 +109,7 @@ def stats_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def following_list(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Followed accounts of every viewer with their account facts."""
-    return subscriptions.join(users, "login")
+    return split_join(subscriptions, users, ["login"])
 
 
 def with_stats(following: DataFrame, stats: DataFrame, key: str) -> DataFrame:
@@ -139,9 +139,8 @@ def _classes(
     texts = R.distinct_rules(rules)
     if texts is None:
         return None
-    edges = membership.select("viewer_id", F.col("key").alias("actor_key")).join(
-        R.viewer_positions(rules, texts), "viewer_id", "left"
-    )
+    followed_keys = membership.select("viewer_id", F.col("key").alias("actor_key"))
+    edges = split_join(followed_keys, R.viewer_positions(rules, texts), ["viewer_id"], "left")
     return R.with_hits(base(activity), texts), edges
 
 
@@ -159,7 +158,7 @@ def _pairs_by_text(activity: DataFrame, membership: DataFrame, rules: DataFrame)
     rows = base(activity)
     scope = membership.select("viewer_id", "key", F.col("actor_key").alias("member_key"))
     mine = R.live(rules).select("viewer_id", "rule_text")
-    per_rule = scope.join(mine, "viewer_id").select("key", "rule_text").distinct()
+    per_rule = split_join(scope, mine, ["viewer_id"]).select("key", "rule_text").distinct()
     hit = R.rule_is_true(F.col("rule_text"), R.activity_fields(rows))
     hidden = (
         rows.join(per_rule, rows["actor_key"] == per_rule["key"])

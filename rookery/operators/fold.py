@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery import schemas
+from rookery.operators.joins import split_join
 from rookery.session import materialise
 
 HOT_ROWS = 1_000_000
@@ -241,7 +242,7 @@ def _label_retries(results: DataFrame, receipts: DataFrame) -> DataFrame:
     )
     repeat = (F.col("outcome") == "conflict") & (F.col("at") < F.col("arrival"))
     return (
-        results.join(first, ["entity_id", "attempt_id"], "left")
+        split_join(results, first, ["entity_id", "attempt_id"], "left")
         .withColumn(
             "outcome",
             F.when(F.coalesce(repeat, F.lit(False)), F.lit("already-applied")).otherwise(F.col("outcome")),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.digest import counted_digest
+from rookery.operators.joins import split_join
 
 MAX_KEY_LENGTH, MAX_ACTORS, MAX_TYPES = 256, 250, 64
 INVALID_KEY = "invalid-selection"
@@ -173,15 +174,16 @@ def retention_fingerprint(scope: DataFrame, retention: DataFrame, by: Sequence[s
 def gap_floor(requests: DataFrame, scope: DataFrame, retention: DataFrame) -> DataFrame:
     """Highest compacted sequence of the scope above ``from_seq``; NULL means no gap."""
     floors = retention.select(F.col("actor_key").alias("key"), "compacted_through_seq")
-    above = F.when(
-        F.col("compacted_through_seq") > F.col("from_seq"), F.col("compacted_through_seq")
-    )
-    return (
-        requests.join(scope, "viewer_id", "left")
-        .join(floors, "key", "left")
-        .groupBy("viewer_id", "from_seq")
-        .agg(F.max(above).alias("gap_through_seq"))
-    )
+    asked = ["viewer_id", "from_seq"]
+    # The scope leads, so that the keys of one huge follow list can be split.
+    above = (
+        split_join(scope.select("viewer_id", "key"), requests.select(*asked), ["viewer_id"])
+        .join(floors, "key")
+        .filter(F.col("compacted_through_seq") > F.col("from_seq"))
+        .groupBy(*asked)
+        .agg(F.max("compacted_through_seq").alias("gap_through_seq"))
+    )
+    return requests.select(*asked).distinct().join(above, asked, "left")
 
 
 def resolve_scope(requests: DataFrame, members: DataFrame) -> DataFrame:

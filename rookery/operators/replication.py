@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.operators.feed import newest_first
+from rookery.operators.joins import split_join
+from rookery.operators.ranking import top_n
 
 _KEY = ["source", "activity_id"]
 
@@ -179,7 +181,11 @@ def snapshot_members(snapshots: DataFrame, members: DataFrame) -> DataFrame:
 
     A snapshot that does not exist has no row, so empty and missing differ.
     """
-    return snapshots.join(members, ["viewer_id", "revision"], "left")
+    key = ["viewer_id", "revision"]
+    # Not a left join from the snapshots: one huge snapshot could not be split then.
+    filled = split_join(members, snapshots, key)
+    empty = snapshots.join(members.select(*key).distinct(), key, "left_anti")
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def snapshot_page(members: DataFrame, after_position: int, n: int) -> DataFrame:
@@ -189,8 +195,6 @@ def snapshot_page(members: DataFrame, after_position: int, n: int) -> DataFrame:
 
 def prune_revisions(snapshots: DataFrame, members: DataFrame, keep: int = 2) -> DataFrame:
     """Members of the newest ``keep`` snapshots of each viewer."""
-    from rookery.operators.ranking import top_n
-
     kept = top_n(snapshots, ["viewer_id"], [F.desc("completed_ms"), F.desc("revision")], keep)
     return members.join(kept.select("viewer_id", "revision"), ["viewer_id", "revision"], "left_semi")
 

@@ -99,7 +99,9 @@ def pull_state(requests: DataFrame, log: DataFrame, states: DataFrame, entities:
         .distinct()
     )
     delta = changed.join(entities, ["user_id", "entity_id"])
-    full = modes.filter(F.col("mode") == "snapshot").select("user_id", "mode").join(entities, "user_id")
+    full = split_join(
+        entities, modes.filter(F.col("mode") == "snapshot").select("user_id", "mode"), ["user_id"]
+    )
     return full.select("user_id", "mode", "entity_id", "version").unionByName(
         delta.select("user_id", "mode", "entity_id", "version")
     )
