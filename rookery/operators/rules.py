@@ -292,7 +292,9 @@ def with_canonical_text(rules: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(canonical_text)
+        codes, distinct = pd.factorize(texts, use_na_sentinel=False)
+        found = pd.Series([canonical_text(None if pd.isna(t) else t) for t in distinct], dtype=object)
+        return found.take(codes).reset_index(drop=True)
 
     return rules.withColumn("canonical", canonical("rule_text"))
 

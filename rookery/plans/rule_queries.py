@@ -230,7 +230,8 @@ def visible_pages_all_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = feed.visible_newest_all(
         T.activity(spark, sf_dir), membership(spark, sf_dir), user_filter(spark, sf_dir), 20
     )
-    return newest.select("viewer_id", "activity_id", "type", "published_ms", "position")
+    position = F.col("position").cast("long").alias("position")
+    return newest.select("viewer_id", "activity_id", "type", "published_ms", position)
 
 
 @query(

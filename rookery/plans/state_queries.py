@@ -75,7 +75,7 @@ def entity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select coalesce(s.viewer_id, c.user_id) as user_id, greatest(s.cleared_ms, c.best) as cleared_ms,
-     case when s.viewer_id is null then 0 else 1 end + case when c.best > coalesce(s.cleared_ms, -1) then 1 else 0 end as version
+     cast(case when s.viewer_id is null then 0 else 1 end + case when c.best > coalesce(s.cleared_ms, -1) then 1 else 0 end as bigint) as version
     from feed_state s full join (
      select cast((seq - 1) % 25 as integer) as user_id,
       max(case when seq % 500 = 0 then 1706659200000 else least(1706659200000, greatest(published_ms - 86400000, created_ms + (seq % 9) * 86400000)) end) as best
