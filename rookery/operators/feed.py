@@ -152,24 +152,24 @@ def _unhidden(joined: DataFrame) -> DataFrame:
 def _pairs_by_text(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
     """(viewer, activity) pairs for rule sets too large to compile.
 
-    Each distinct rule meets each activity its viewers can see once; a pair is
-    dropped when any of the viewer's rules is TRUE.
+    A rule meets the activity of an account once, however many followers hold
+    it; a pair is dropped when any rule of the viewer is TRUE. Hits go back only
+    to viewers who follow the account and hold the rule.
     """
     rows = base(activity)
-    scope = membership.select("viewer_id", "key", F.col("actor_key").alias("member_key"))
-    mine = R.live(rules).select("viewer_id", "rule_text")
-    per_rule = split_join(scope, mine, ["viewer_id"]).select("key", "rule_text").distinct()
-    hit = R.rule_is_true(F.col("rule_text"), R.activity_fields(rows))
+    scope = membership.select("viewer_id", F.col("key").alias("actor_key"))
+    held = split_join(scope, R.live(rules).select("viewer_id", "rule_text").distinct(), ["viewer_id"])
+    tried = rows.join(held.select("actor_key", "rule_text").distinct(), "actor_key")
+    hit = R.rule_is_true(F.col("rule_text"), R.activity_fields(tried))
     hidden = (
-        rows.join(per_rule, rows["actor_key"] == per_rule["key"])
-        .withColumn("_hit", hit)
+        tried.withColumn("_hit", hit)
         .filter("_hit")
-        .select("activity_id", "rule_text")
-        .join(mine, "rule_text")
+        .select("activity_id", "actor_key", "rule_text")
+        .join(held, ["actor_key", "rule_text"])
         .select("viewer_id", "activity_id")
         .distinct()
     )
-    pairs = rows.join(scope, rows["actor_key"] == scope["key"])
+    pairs = rows.join(scope, "actor_key")
     return pairs.join(hidden, ["viewer_id", "activity_id"], "left_anti")
 
 

@@ -198,6 +198,23 @@ def merge_lists(merged: DataFrame, parent: Column) -> DataFrame:
     )
 
 
+def rule_conditions(rules: DataFrame) -> DataFrame:
+    """(rule_id, item, condition): the top-level conditions of rule texts by condition id."""
+    parts = F.from_json(F.get_json_object("rule_text", "$.conditions"), "array<string>")
+    return rules.select("rule_id", F.explode(parts).alias("condition")).select(
+        "rule_id",
+        F.to_json(F.struct("rule_id", F.get_json_object("condition", "$.id").alias("id"))).alias("item"),
+        "condition",
+    )
+
+
+def merge_rules(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Verdict per rule when its conditions are merged by id: (parent, status, n_items)."""
+    sides = [rule_conditions(df).select("item", "condition") for df in (base, local, remote)]
+    merged = three_way_merge(*sides, "item", ["condition"])
+    return merge_lists(merged, F.get_json_object("item", "$.rule_id"))
+
+
 def split_conflicts(outbox: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Move a conflicting operation and all later ones of its chain to a new id.
 

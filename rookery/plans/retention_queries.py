@@ -201,20 +201,20 @@ def retention_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select n_nationkey as viewer_id, coalesce(n_nationkey % 4 <> 3 and n_nationkey % 3 <> 2 and n_nationkey % 2 = 0 and n_nationkey < 20, false) as open from nation"""
+    """select event_id as shard, event_id % 4 <> 3 and event_id % 3 <> 2 and event_id % 2 = 0 and event_id % 20 < 12 as open from events"""
 )
 def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("n_nationkey")
-    state = T.read(spark, sf_dir, "nation").select(
-        v.alias("viewer_id"),
+    """Clean-up gate of many shards: proof present, fresh, and of the same epoch."""
+    n = F.col("event_id")
+    age = F.when(n % 20 < 12, F.lit(1000)).otherwise(F.lit(2 * T.DAY_MS))
+    state = T.read(spark, sf_dir, "events").select(
+        n.alias("shard"),
         F.lit("e1").alias("data_epoch"),
-        F.when(v % 3 == 2, "e0").otherwise("e1").alias("proof_epoch"),
-        F.when(v % 4 != 3, F.lit(T.NOW_MS) - F.when(v < 20, 1000).otherwise(2 * T.DAY_MS)).alias(
-            "reconciled_ms"
-        ),
-        F.when(v % 2 == 0, F.lit(T.NOW_MS)).alias("cleanup_enabled_ms"),
+        F.when(n % 3 == 2, "e0").otherwise("e1").alias("proof_epoch"),
+        F.when(n % 4 != 3, F.lit(T.NOW_MS) - age).alias("reconciled_ms"),
+        F.when(n % 2 == 0, F.lit(T.NOW_MS)).alias("cleanup_enabled_ms"),
     )
-    return K.gate(state, T.NOW_MS).select("viewer_id", "open")
+    return K.gate(state, T.NOW_MS).select("shard", "open")
 
 
 # User-state log: one user per login, entities by type.

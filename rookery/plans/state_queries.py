@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.operators import fold, projection, state
@@ -244,6 +244,32 @@ def merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.merge_lists(merged, F.floor(F.col("id") / 4))
 
 
+@query(
+    """select concat('r', event_id) as parent, case when event_id % 3 <> 0 and event_id % 2 <> 0 then 'conflict' else 'merged' end as status,
+     cast(case when event_id % 3 <> 0 and event_id % 2 <> 0 then 0 else 1 end + case when event_id % 5 <> 0 then 1 else 0 end
+      + case when event_id % 4 = 1 then 1 else 0 end as bigint) as n_items from events"""
+)
+def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of every rule, merged condition by condition."""
+    events, n = T.read(spark, sf_dir, "events"), F.col("event_id")
+
+    def side(*conditions) -> DataFrame:
+        made = F.concat(F.lit('{"conditions":['), F.concat_ws(",", *conditions), F.lit("]}"))
+        return events.select(F.concat(F.lit("r"), n).alias("rule_id"), made.alias("rule_text"))
+
+    def condition(name: str, value) -> Column:
+        return F.concat(F.lit(f'{{"id":"{name}","args":['), value.cast("string"), F.lit("]}"))
+
+    zero = F.lit(0)
+    return state.merge_rules(
+        side(condition("c1", zero), condition("c2", zero)),
+        side(
+            condition("c1", n % 3), condition("c2", zero), F.when(n % 4 == 1, condition("c3", zero))
+        ),
+        side(condition("c1", n % 2 * 5), F.when(n % 5 != 0, condition("c2", zero))),
+    )
+
+
 T.VIEW_SQL["outbox"] = "select user_id as entity_id, event_id as local_sequence, concat('t', event_id) as attempt_id, event_id % 9 as base_version from events"
 T.VIEW_SQL["conflict_at"] = "select user_id as entity_id, max(event_id) as at_sequence from events where event_id % 4 = 0 and user_id % 3 = 0 group by user_id"
 

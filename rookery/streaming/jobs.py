@@ -150,3 +150,17 @@ def stream_mutations(source: DataFrame, root: str, checkpoint: str) -> None:
         _write(newest, f"{root}/entities", batch_id)
 
     run_available(source, checkpoint, each)
+
+
+def compact_mutation_state(spark: SparkSession, old: str, new: str) -> None:
+    """Carry the state of a stopped mutation stream to a new folder, one row per entity.
+
+    The stream goes on there with its old checkpoint; later batches then read
+    this snapshot and what followed, not the whole history.
+    """
+    versions = read_all(spark, f"{old}/entities", ENTITY)
+    newest = versions.groupBy("entity_id").agg(
+        F.max("version").alias("version"), F.max_by("deleted", "version").alias("deleted")
+    )
+    _write(newest, f"{new}/entities", -1)
+    _write(read_all(spark, f"{old}/receipts", RECEIPT).distinct(), f"{new}/receipts", -1)

@@ -290,17 +290,20 @@ def test_stream_ingest_is_exactly_once_over_restarts(spark, tmp_path):
 
 
 def test_mutation_stream_carries_state_between_runs(spark, tmp_path):
-    inbox, root = str(tmp_path / "in"), str(tmp_path / "root")
+    inbox, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
 
-    def deliver(*steps):
+    def deliver(root, *steps):
         data = [(1, t, f"m{t}", a, b, "put", "n", "v") for t, a, b in steps]
         spark.createDataFrame(data, schemas.MUTATION).coalesce(1).write.mode("append").parquet(inbox)
-        jobs.stream_mutations(spark.readStream.schema(schemas.MUTATION).parquet(inbox), root, f"{root}/mark")
+        jobs.stream_mutations(spark.readStream.schema(schemas.MUTATION).parquet(inbox), root, mark)
+        return rows(jobs.read_all(spark, f"{root}/results", schemas.MUTATION_RESULT), "arrival", "outcome", "version")
 
-    deliver((0, "a", 0), (1, "b", 1))
-    deliver((2, "b", 1), (3, "c", 1), (4, "d", 2))
-    got = rows(jobs.read_all(spark, f"{root}/results", schemas.MUTATION_RESULT), "arrival", "outcome", "version")
+    deliver(one, (0, "a", 0), (1, "b", 1))
+    got = deliver(one, (2, "b", 1), (3, "c", 1), (4, "d", 2))
     assert got == [(0, "applied", 1), (1, "applied", 2), (2, "already-applied", 2), (3, "conflict", 2), (4, "applied", 3)]
+    jobs.compact_mutation_state(spark, one, two)
+    assert deliver(two, (5, "a", 0), (6, "e", 3)) == [(5, "already-applied", 3), (6, "applied", 4)]
 
 
 def steps(**changed):
