@@ -60,6 +60,11 @@ def extract_entries(raw: DataFrame, ingest_ms: int) -> DataFrame:
     )
 
 
+def rejects(entries: DataFrame) -> DataFrame:
+    """Entries with a publication time that cannot be read."""
+    return entries.filter("bad_date")
+
+
 def to_activities(entries: DataFrame, users: DataFrame, source: str, ingest_ms: int) -> DataFrame:
     """Extracted entries as storable activities with their canonical actor key."""
     stored = users.select("login", F.col("id").alias("stored_id"))

@@ -74,6 +74,31 @@ def entry_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """select concat('d', doc_id) as activity_id, case doc_id % 4 when 0 then 1704067200000 + (doc_id % 28) * 86400000 when 1 then 1706918645000 else 1706659200000 end as published_ms,
+     doc_id % 4 = 3 as bad_date, md5(text) as content_md5 from documents where doc_id % 7 <> 0"""
+)
+def publication_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published, else updated, else ingestion time; unreadable times are flagged."""
+    doc, text = F.col("doc_id"), F.col("text")
+    day = F.lpad((doc % 28 + 1).cast("string"), 2, "0")
+    time = (
+        F.when(doc % 4 == 0, F.concat(F.lit("<published>2024-01-"), day, F.lit("T00:00:00Z</published>")))
+        .when(doc % 4 == 1, F.lit("<updated> 2024-02-03T01:04:05+01:00 </updated>"))
+        .when(doc % 4 == 2, F.lit("<published></published>"))
+        .otherwise(F.lit("<published>31/31/2024</published>"))
+    )
+    title = F.when(doc % 7 != 0, F.lit("<title>t</title>")).otherwise(F.lit("<title> </title>"))
+    safe = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(
+        F.lit("<entry a='1'><id>d"), doc, F.lit("</id>"), title, time,
+        F.lit("<content>"), safe, F.lit("</content></entry>"),
+    )
+    raw = T.read(spark, sf_dir, "documents").select(F.lit("x").alias("login"), xml.alias("feed_xml"))
+    rows = extract.extract_entries(raw, T.NOW_MS)
+    return rows.select("activity_id", "published_ms", "bad_date", F.md5("content").alias("content_md5"))
+
+
 _NAMED = """replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"""
 
 

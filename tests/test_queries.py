@@ -44,12 +44,9 @@ def test_plan_has_no_pairwise_join_and_no_single_task_window(spark, name):
     for window in re.findall(r"Window \[[^\n]*", physical):
         assert "windowspecdefinition(" in window
         assert not re.search(r"windowspecdefinition\([^,]* (?:ASC|DESC)", window), window
-    assert "Exchange SinglePartition" not in physical or "Aggregate" in physical or "TakeOrdered" in physical
 
 
 def test_time_bound_of_a_rule_and_of_a_page_reaches_the_scan(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     from rookery.operators import feed
     from rookery.operators import rules as R
     from rookery.plans.rule_queries import day, leaf, rule
@@ -68,7 +65,6 @@ def test_time_bound_of_a_rule_and_of_a_page_reaches_the_scan(spark, tmp_path):
         schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
         assert schema == "activity_id:string,published_ms:bigint"
     assert "TakeOrderedAndProject" in page._jdf.queryExecution().toString()
-    assert F is not None
 
 
 @pytest.mark.parametrize("name", ["retain_newest", "receipts_newest", "nth_newest", "visible_pages_all_viewers"])
