@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rookery.functions import values as V
 
@@ -17,8 +18,15 @@ NOW_MS = 1706659200000  # 2024-01-31T00:00:00Z, end of the event range
 DAY_MS = 86_400_000
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table. Its schema is read from the file once per process."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
