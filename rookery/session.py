@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +25,37 @@ _RUNTIME_CONF = {
 }
 
 _local_scratch: str | None = None
+_shipped_to: str | None = None
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Apply the runtime settings to a session somebody else built, and send the
+    package to its executors."""
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: functions that run in
+    Python workers import it there, wherever the job was started."""
+    global _shipped_to
+    if _shipped_to == spark.sparkContext.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    parent, name = os.path.split(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in sorted(os.walk(package)):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.relpath(path, parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped_to = spark.sparkContext.applicationId
+
+
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and the bench."""
     builder = (
