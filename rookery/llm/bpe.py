@@ -30,6 +30,7 @@ _WORD_PATTERN = (
 _LONG_BYTES = 64
 _KEPT_WORDS = 400_000
 _WORDS_AT_ONCE = 16_384
+_ENCODED_NAMES = ["doc_id", "tokens", "decoded"]
 _NO_RANK = np.iinfo(np.int32).max
 
 
@@ -268,5 +269,18 @@ def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     other columns are not looked at. Every row is handled alone: no shuffle.
     """
     vocabulary = share(docs.sparkSession, vocabulary_path)
-    tokens = docs.select("doc_id", encode(F.col("text"), vocabulary).alias("tokens"))
-    return tokens.withColumn("decoded", decode(F.col("tokens"), vocabulary))
+
+    def both(batches):
+        coder = _coder(vocabulary)
+        for batch in batches:
+            flat, ends = coder.encode_flat([t or "" for t in batch.column(1).to_pylist()])
+            parts = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            back = [coder.decode(flat[a:b].tolist()) for a, b in parts]
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), tokens, pa.array(back, pa.string())], _ENCODED_NAMES
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, tokens array<int>, decoded string"
+    return docs.select("doc_id", "text").mapInArrow(both, schema)
