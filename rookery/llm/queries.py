@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, media
-from rookery.llm.common import documents
+from rookery.llm import bpe, chat, media, mixing
+from rookery.llm.common import documents, prepared
+from rookery.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +63,97 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+_MIX_SQL = """
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+         md5('0:' || coalesce(cast(doc_id as varchar), '')) as key
+  from documents),
+each as (
+  select source, sum(size) as s, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
+  from sized group by source),
+-- Sources in the order in which they stop: with the first k stopped, the share of a unit of weight.
+stops as (
+  select source, s, w, row_number() over (order by 3.0 * s / w, source nulls last) as k,
+         sum(s) over () as total,
+         coalesce(sum(s) over (order by 3.0 * s / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as s_before,
+         coalesce(sum(w) over (order by 3.0 * s / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as w_before,
+         sum(w) over () as w_all
+  from each),
+share as (
+  select (cast(total - 3 * s_before as bigint)::double / cast(w_all - w_before as bigint)::double) as share
+  from stops
+  where cast(total - 3 * s_before as double) / (w_all - w_before) * w <= 3.0 * s
+  order by k limit 1),
+goal as (
+  select source, cast(s as bigint) as source_size, least((select share from share) * w, cast(3 * s as double)) as target
+  from each),
+run as (
+  select d.doc_id, d.size, g.source_size, g.target,
+         coalesce(sum(d.size) over (partition by d.source order by key, doc_id, size
+                  rows between unbounded preceding and 1 preceding), 0) as start,
+         floor(g.target)::bigint as budget
+  from sized d join goal g on d.source is not distinct from g.source),
+cut as (select *, case when source_size > 0 then budget // source_size else 0 end as epochs from run)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) as bigint) as taken
+from cut
+"""
+
+
+@query(_MIX_SQL)
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: words taken of each."""
+    return mixing.mixed(read(prepared(spark), sf_dir, "documents")).drop("copies")
+
+
+_CHAT_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (
+  select *, len(regexp_extract_all(role || chr(0) || text,
+    '<\\*\|im_start\|>|<\\*\|im_sep\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]')) as marks
+  from turns),
+whole as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn, role nulls first, text nulls first) as lines,
+    coalesce(string_agg(text, '' order by turn, role nulls first, text nulls first) filter (where role = 'assistant'), '') as loss,
+    sum(length(role) + length(text) + marks + 12 + 10 + 10 + 1) as formatted_chars
+  from marked group by conv_id)
+select conv_id, n_turns, sha256(lines) as turns_sha256, length(loss) as loss_chars,
+  sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+from whole
+"""
+
+
+@query(_CHAT_SQL)
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    given = read(prepared(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(-7).cast("long").alias("conv_id"),
+                        F.lit(k).cast("long").alias("turn"),
+                        F.lit(role).alias("role"),
+                        F.lit(control).alias("text"),
+                    )
+                    for k, role in enumerate(("user", "assistant"))
+                )
+            )
+        )
+    )
+    return chat.read_turns(chat.formatted(given.unionByName(more))).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(chat.turn_lines(), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
