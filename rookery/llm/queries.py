@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, chat, media, mixing
+from rookery.llm import bpe, chat, media, mixing, warc
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
 
@@ -157,3 +157,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("""
+with sized as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest
+  from pages),
+firsts as (select digest, min(page_id) as first_id from sized where n >= 100 group by digest)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when first_id is null or first_id = page_id then 'response' else 'revisit' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from sized left join firsts using (digest)
+""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page converted from ARC, written as WARC and read back."""
+    return warc.archived(read(prepared(spark), sf_dir, "pages"))
