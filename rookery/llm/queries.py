@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, chat, media, mixing, warc
+from rookery.llm import bpe, chat, media, mixing, simhash, warc
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
 
@@ -172,3 +172,9 @@ from sized left join firsts using (digest)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page converted from ARC, written as WARC and read back."""
     return warc.archived(read(prepared(spark), sf_dir, "pages"))
+
+
+@query()
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, of their edited texts, and how alike they are."""
+    return simhash.edited_fingerprints(documents(spark, sf_dir))
