@@ -24,6 +24,9 @@ def prepared(spark: SparkSession) -> SparkSession:
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
+    # Look-ups of few texts: filter the scan by the wanted keys before the shuffle. Spark
+    # checks the size of the wanted side and of the filter itself.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     return spark
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, chat, media, mixing, simhash, warc
+from rookery.llm import bpe, chat, jaccard, media, mixing, simhash, warc
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
 
@@ -178,3 +178,40 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and how alike they are."""
     return simhash.edited_fingerprints(documents(spark, sf_dir))
+
+
+_JACCARD_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingled as (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end) as s
+  from worded),
+sets as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as k from shingled group by doc_id),
+reps as (select k, min(doc_id) as rep, any_value(n) as n from sets group by k),
+small as (select rep, n, s from shingled join reps on doc_id = rep),
+rare as (select s from small group by s having count(*) > 1),
+counted as (
+  select a.rep as a, b.rep as b, a.n as m, b.n as n, count(*) as common
+  from (select * from small semi join rare using (s)) a
+  join (select * from small semi join rare using (s)) b
+    on a.s = b.s and a.rep < b.rep and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+  group by all),
+links as (select a, b from counted where 100 * common >= 85 * (m + n - common)),
+edges as (select a, b from links union select b, a from links),
+reach(node, other) as (
+  select rep, rep from reps
+  union
+  select reach.node, edges.b from reach join edges on reach.other = edges.a),
+named as (select node, min(other) as component_id from reach group by node)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id
+from documents d left join sets s using (doc_id) left join reps r on s.k = r.k left join named c on r.rep = c.node
+"""
+
+
+@query(_JACCARD_SQL)
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of four-word shingles."""
+    return jaccard.similar(documents(spark, sf_dir), 4, 85)
