@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, chat, jaccard, lines, media, mixing, simhash, warc
+from rookery.llm import bpe, chat, jaccard, lines, media, mixing, quality, simhash, warc
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
 
@@ -273,3 +273,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier document's template."""
     cleaned = lines.kept_lines(read(prepared(spark), sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents from two co-trained views."""
+    docs = read(prepared(spark), sf_dir, "documents")
+    return quality.scored(docs, quality.trained(docs, read(spark, sf_dir, "labels")))
