@@ -26,15 +26,19 @@ from rookery.llm.shingles import word_hashes
 LABELLED = 8000
 POOL = 8000
 ROUNDS = 4
-#: Pseudo-labels that a view gives in a round, as a share of the pool, and how sure it must be.
+#: Pseudo-labels that a view gives in a round, as a share of the pool, and the precision
+#: that it must reach for them on documents kept aside.
 GIVEN = 0.05
-CERTAIN = 0.95
+CERTAIN = 0.99
 #: Every so-manieth labelled document is kept aside for calibration.
 ASIDE = 4
 ACCEPT = 0.5
 WORD_CELLS = 256
 NAME_CELLS = 64
-_PENALTY = 1e-3
+# Added to counts before shares are taken, so that a short text says little.
+_FEW_BYTES, _FEW_WORDS = 120, 40
+_PENALTY = 2e-4
+_FARTHEST = 12.0  # standard deviations that a feature counts at most
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -64,7 +68,7 @@ def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.n
     counts = np.diff(borders)
     cells = np.repeat(np.arange(n) * WORD_CELLS, counts) + (words % np.uint64(WORD_CELLS)).astype(np.int64)
     hashed = np.bincount(cells, minlength=n * WORD_CELLS).reshape(n, -1).astype(float)
-    some = np.maximum(counts, 1)
+    some = counts + 1
     same = np.zeros(len(words) + 1)
     if len(words) > 1:
         same[1:-1] = words[1:] == words[:-1]
@@ -73,14 +77,14 @@ def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.n
     distinct = np.array(
         [len(np.unique(words[a:b])) for a, b in zip(borders, borders[1:], strict=False)]
     ) / some
-    shares = np.sqrt(kinds / np.maximum(sizes, 1)[:, None])
+    shares = np.sqrt(kinds / (sizes + _FEW_BYTES)[:, None])
     text_view = np.hstack(
         [
             shares,
-            np.sqrt(hashed / some[:, None]),
+            np.sqrt(hashed / (counts + _FEW_WORDS)[:, None]),
             repeated[:, None],
             distinct[:, None],
-            (np.log1p(sizes) - np.log1p(counts))[:, None],
+            np.log((sizes + _FEW_BYTES) / (counts + _FEW_WORDS / 2))[:, None],
         ]
     )
     lines = kinds[:, 4] + 1
@@ -103,7 +107,7 @@ class View:
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = np.clip((x - self.mean) / self.scale, -_FARTHEST, _FARTHEST)
         return z @ self.weights[:-1] + self.weights[-1]
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
@@ -114,18 +118,18 @@ class View:
 class Model:
     text: View
     metadata: View
-    prior: float  # log-odds of a good document
+    shares: np.ndarray  # of the two views' log-odds in the result, and a constant
 
     def log_odds(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, ...]:
         one, two = self.text.log_odds(text), self.metadata.log_odds(metadata)
-        return one, two, one + two - self.prior
+        return one, two, self.shares[0] * one + self.shares[1] * two + self.shares[2]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _newton(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np.ndarray:
+def _newton(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
     """Weights of a logistic regression (last: constant, not penalised), damped Newton steps."""
     z = np.hstack([z, np.ones((len(z), 1))]).astype(float)
     weights = np.zeros(z.shape[1])
@@ -145,7 +149,7 @@ def _newton(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np
 def fit_view(x: np.ndarray, y: np.ndarray) -> View:
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    weights = _newton(np.clip((x - mean) / scale, -8, 8), y, _PENALTY * 10)
+    weights = _newton(np.clip((x - mean) / scale, -_FARTHEST, _FARTHEST), y, _PENALTY)
     return View(mean, scale, weights)
 
 
@@ -157,6 +161,15 @@ def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = float(max(found[0] / size, 0.0)), float(found[1])
 
 
+def _sure_from(raw: np.ndarray, right: np.ndarray) -> float:
+    """Least log-odds from which on a view is right about ``CERTAIN`` of the documents
+    kept aside; infinite if there is none, so an unsure view teaches nothing."""
+    order = np.argsort(-raw, kind="stable")
+    precision = (np.cumsum(right[order]) + 1) / (np.arange(len(raw)) + 2)
+    good = np.flatnonzero(precision >= CERTAIN)
+    return float(raw[order][good[-1]]) if len(good) else np.inf
+
+
 def co_train(
     text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_metadata: np.ndarray
 ) -> Model | None:
@@ -167,16 +180,18 @@ def co_train(
         return None
     views = [text[~aside], metadata[~aside]]
     labels = [y[~aside].astype(float)] * 2
-    pool = [pool_text, pool_metadata]
+    pool, kept = [pool_text, pool_metadata], [text[aside], metadata[aside]]
     free = [np.ones(len(pool_text), bool) for _ in pool]  # not yet given to this view
     share = float(y[~aside].mean())
     for _ in range(ROUNDS):
         fitted = [fit_view(x, t) for x, t in zip(views, labels, strict=True)]
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = sigmoid(fitted[teacher].raw(pool[teacher]))
-            for target, chance, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                sure = np.flatnonzero(free[pupil] & (chance >= CERTAIN))
-                most = int(np.ceil(GIVEN * part * len(p)))
+            raw, held = (fitted[teacher].raw(x) for x in (pool[teacher], kept[teacher]))
+            for target, part in ((1.0, share), (0.0, 1 - share)):
+                sign = 2 * target - 1
+                chance = sign * raw
+                sure = np.flatnonzero(free[pupil] & (chance >= _sure_from(sign * held, y[aside] == target)))
+                most = int(np.ceil(GIVEN * part * len(raw)))
                 chosen = sure[np.argsort(-chance[sure], kind="stable")[:most]]
                 free[pupil][chosen] = False
                 views[pupil] = np.vstack([views[pupil], pool[pupil][chosen]])
@@ -184,8 +199,8 @@ def co_train(
     one, two = (fit_view(x, t) for x, t in zip(views, labels, strict=True))
     calibrate(one, text[aside], y[aside])
     calibrate(two, metadata[aside], y[aside])
-    good = (y[aside].sum() + 1) / (aside.sum() + 2)
-    return Model(one, two, float(np.log(good / (1 - good))))
+    both = np.stack([one.log_odds(text[aside]), two.log_odds(metadata[aside])], axis=1)
+    return Model(one, two, np.maximum(_newton(both, y[aside], 1e-3), [0.0, 0.0, -np.inf]))
 
 
 # --- DataFrames -----------------------------------------------------------------
