@@ -10,7 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, chat, jaccard, lines, media, mixing, quality, simhash, warc
+from rookery.llm import (
+    bpe,
+    chat,
+    html_text,
+    jaccard,
+    lines,
+    media,
+    mixing,
+    quality,
+    simhash,
+    warc,
+)
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
 
@@ -280,3 +291,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents from two co-trained views."""
     docs = read(prepared(spark), sf_dir, "documents")
     return quality.scored(docs, quality.trained(docs, read(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(prepared(spark), sf_dir, "pages")
+    found = html_text.extracted(pages, html_text.trained(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
