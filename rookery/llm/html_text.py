@@ -268,7 +268,7 @@ def fit(pages: list[tuple[list[Node], list[int]]]) -> Model:
         for _ in range(1 + n.bit_length()):
             x.append(line)
             y.append(state)
-    found = _newton(np.array(x), np.array(y, float), 1e-3)
+    found = _newton(np.array(x), np.array(y, float), 1e-4)
     meet = np.ones((2, 2, 2))
     for nodes, states in pages:
         for k in range(1, len(nodes)):
@@ -297,35 +297,54 @@ def labelled_pages() -> list[str]:
     combinations of some layouts of the article with some of what surrounds it."""
     links = lambda n: "".join(f"<li><a href='/{k}'>{_words(k, 1 + k % 3)}</a></li>" for k in range(n))
     frames = [
-        ("article", ""), ("main", ""), ("div", "class='content article-body'"),
-        ("div", "id='main' role='main'"), ("section", "class='post entry story'"),
+        ("article", ""), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "main"),
+        ("section", "post"), ("div", "entry"), ("section", "story"),
     ]
+    # Element, names it may have ("" only where the element itself tells), what is inside.
     around = [
-        f"<nav class='menu navigation' data-label='no'><ul>{links(6)}</ul></nav>",
-        f"<div class='navbar topbar menu' id='nav' data-label='no'><ul>{links(5)}</ul></div>",
-        f"<header class='site-header banner' role='banner' data-label='no'><p>{_words(3, 4)}</p></header>",
-        f"<div class='ad advert advertisement sponsored promo' data-label='no'>{_words(9, 12)}</div>",
-        f"<aside class='sidebar side related widget' data-label='no'><h3>{_words(2, 2)}</h3><p>{_words(20, 25)}</p><ul>{links(4)}</ul></aside>",
-        f"<div class='cookie consent notice popup modal alert' data-label='no'><p>{_words(11, 18)}</p></div>",
-        f"<section class='comments comment replies discussion' id='comments' data-label='no'><h2>{_words(1, 2)}</h2><div class='comment'><p>{_words(5, 30)}</p></div><div class='comment'><p>{_words(17, 14)}</p></div></section>",
-        f"<form class='newsletter subscribe signup login search' data-label='no'><label>{_words(4, 3)}</label><p>{_words(7, 9)}</p></form>",
-        f"<div class='share social breadcrumb tags meta' data-label='no'><a>{_words(6, 2)}</a> <a>{_words(8, 1)}</a></div>",
-        f"<footer class='footer copyright legal' role='contentinfo' data-label='no'><p>&copy; {_words(14, 16)}</p></footer>",
-        f"<div class='footer bottom' id='footer' data-label='no'>&copy; {_words(15, 8)}</div>",
+        ("nav", ["", "menu", "navigation"], f"<ul>{links(6)}</ul>"),
+        ("div", ["navbar", "menu", "topbar", "nav", "breadcrumb"], f"<ul>{links(5)}</ul>"),
+        ("header", ["", "site-header", "banner"], f"<p>{_words(3, 4)}</p>"),
+        ("div", ["ad", "advert", "advertisement", "sponsored", "promo"], _words(9, 12)),
+        ("aside", ["", "sidebar"], f"<h3>{_words(2, 2)}</h3><p>{_words(20, 25)}</p><ul>{links(4)}</ul>"),
+        ("div", ["sidebar", "related", "widget"], f"<p>{_words(6, 22)}</p><ul>{links(3)}</ul>"),
+        ("div", ["cookie", "consent", "notice", "popup", "alert"], f"<p>{_words(11, 18)}</p>"),
+        ("section", ["comments", "comment", "replies", "discussion"], f"<h2>{_words(1, 2)}</h2>"
+         f"<div><p>{_words(5, 30)}</p></div><p>{_words(17, 14)}</p>"),
+        ("div", ["comments", "comment", "comment-list"], f"<p>{_words(12, 26)}</p><p>{_words(2, 15)}</p>"),
+        ("form", ["", "newsletter", "subscribe", "search"], f"<label>{_words(4, 3)}</label><p>{_words(7, 9)}</p>"),
+        ("div", ["share", "social", "tags", "meta"], f"<a>{_words(6, 2)}</a> <a>{_words(8, 1)}</a>"),
+        ("footer", ["", "copyright", "contentinfo"], f"<p>&copy; {_words(14, 16)}</p>"),
+        ("div", ["footer", "bottom", "legal"], f"&copy; {_words(15, 8)}"),
     ]
+    count = len(around)
+
+    def other(which: int, turn: int) -> str:
+        tag, names, inner = around[which % count]
+        name = names[turn % len(names)]
+        given = f" {('class', 'id')[turn % 2]}='{name}'" if name else ""
+        return f"<{tag}{given} data-label='no'>{inner}</{tag}>"
+
     pages = []
-    for (tag, names), inside, first in product(frames, (False, True), range(len(around))):
+    for turn, ((tag, name), inside, first) in enumerate(
+        product(frames, (False, True, False, True), range(count))
+    ):
+        given = f" {('class', 'id')[turn % 2]}='{name}'" if name else ""
         body = "".join(f"<p>{_words(k * 7 + first, 15 + k * 9)}</p>" for k in range(1 + first % 4))
-        quote = f"<blockquote><p>{_words(first, 12)}</p></blockquote><ul><li>{_words(first, 8)}</li></ul>"
         head = f"<h1>{_words(first, 6)}</h1>"
         head = f"<header>{head}</header>" if first % 3 == 2 else head
-        others = [around[(first + k) % len(around)] for k in (0, 1, 3, 4, 7)]
-        within = others[0] + around[(first + 6) % len(around)] if inside else ""
-        table = f"<table><tr><th>{_words(first, 1)}</th><td>{_words(first, 2)}</td></tr></table>"
-        article = f"<{tag} {names} data-label='content'>{head}{body}{quote}{table}<h2>{_words(9, 3)}</h2><p>{_words(first + 3, 20)}</p>{within}</{tag}>"
-        if inside and first % 2:
-            article = f"<main data-label='content'>{article}{around[(first + 2) % len(around)]}{within}</main>"
-        pages.append(f"<html><body>{others[1]}{others[2]}{article}{others[3]}{others[4]}</body></html>")
+        more = (
+            f"<blockquote><p>{_words(first, 12)}</p></blockquote><ul><li>{_words(first, 8)}</li></ul>"
+            f"<table><tr><th>{_words(first, 1)}</th><td>{_words(first, 2)}</td></tr></table>"
+            f"<h2>{_words(9, 3)}</h2><p>{_words(first + 3, 20)}</p>"
+        )
+        within = other(first, turn) + other(first + 7, turn // 3) if inside else ""
+        article = f"<{tag}{given} data-label='content'>{head}{body}{more}{within}</{tag}>"
+        if turn % 5 == 0:
+            article = f"<main data-label='content'>{article}{other(first + 5, turn // 2)}</main>"
+        before = other(first + 1, turn // 2) + other(first + 3, turn // 4)
+        after = other(first + 4, turn // 3) + other(first + 8, turn // 5)
+        pages.append(f"<html><body>{before}{article}{after}</body></html>")
     return pages
 
 

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.llm.common import WORD
 from rookery.llm.components import components
 from rookery.llm.shingles import mix, shingle_sets
 from rookery.operators.joins import split_join
@@ -370,6 +371,44 @@ def similar(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     a null id takes part and never names a component, unless all ids are null.
     Repeated rows stay repeated; other columns are not looked at; no rows, no rows.
     """
+    described, grouped = _grouped(docs, size, percent)
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    member = split_join(grouped, least, ["component"]).select("row", "component_id")
+    return described.select("row", "doc_id", "n").join(member, "row", "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component, with all columns.
+
+    The one with the least ``doc_id`` stays (null last, rows with one id by the text's
+    hash); of equal rows one stays. Rows without shingles all stay.
+    """
+    _, grouped = _grouped(docs, size, percent)
+    order = lambda: F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = grouped.groupBy("component").agg(F.min(order()).alias("key")).select("key")
+    gone = materialise(
+        grouped.select(order().alias("key")).distinct().join(kept, "key", "left_anti"), "gone"
+    )
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("text_hash"))
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        key.alias("key"),
+        text.rlike(WORD).alias("filled"),
+    )
+    rest = packed.join(gone, "key", "left_anti").withColumn(
+        "copy", F.row_number().over(Window.partitionBy("key").orderBy("filled"))
+    )
+    return rest.filter(~F.col("filled") | (F.col("copy") == 1)).select("doc.*")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all rows, and ``row, doc_id, text_hash, component`` of those that
+    have shingles."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     described = profiles(texts, size, percent)
     filled = described.filter("n > 0")
@@ -391,21 +430,12 @@ def similar(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = components(known.unionByName(links))
     named = split_join(
-        filled.select("row", "doc_id", "digest", "digest2"), sets, ["digest", "digest2"]
-    ).select("row", "doc_id", "node")
-    grouped = materialise(
-        split_join(named, groups, ["node"], "left").select(
-            "row", "doc_id", F.coalesce("component", F.col("node")).alias("component")
-        ),
-        "grouped",
-    )
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    member = split_join(grouped, least, ["component"]).select("row", "component_id")
-    return described.select("row", "doc_id", "n").join(member, "row", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        filled.select("row", "doc_id", "text_hash", "digest", "digest2"), sets, ["digest", "digest2"]
+    ).select("row", "doc_id", "text_hash", "node")
+    grouped = split_join(named, groups, ["node"], "left").select(
+        "row", "doc_id", "text_hash", F.coalesce("component", F.col("node")).alias("component")
     )
+    return described, materialise(grouped, "grouped")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

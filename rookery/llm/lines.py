@@ -5,7 +5,9 @@ tokens that hold digits as variable fields. Lines that reach one leaf from sever
 documents are generalised: a token that occurs at its place in one document only is
 a variable field too. Lines whose remaining constant tokens are many enough and
 equal share a template; a template that recurs is kept in its first document and
-dropped from all others. Built-in functions only.
+dropped from all others. Documents with the same whole text count as one here, so
+copies keep their lines and are left to the deduplication of documents. Built-in
+functions only.
 """
 
 from __future__ import annotations
@@ -57,36 +59,40 @@ def recurring(rows: DataFrame) -> DataFrame:
     ``rows`` has ``row`` (an order of the documents), ``doc_id`` and ``text``.
     """
     lines = _lines(rows)
-    # Per distinct line its first and last document; summed before the shuffle.
+    # Per distinct line its first document and the range of text hashes it occurs in, which
+    # is a single value if no other text has it; summed before the shuffle.
     each = materialise(
-        lines.groupBy("leaf", "line", "tokens").agg(F.min("row").alias("low"), F.max("row").alias("high")),
+        lines.groupBy("leaf", "line", "tokens").agg(
+            F.min("row").alias("first_row"), F.min("row.hash").alias("low"), F.max("row.hash").alias("high")
+        ),
         "lines",
     )
-    equal = each.filter("low < high").select("line", F.col("low").alias("first_row"))
+    equal = each.filter("low < high").select("line", "first_row")
     # Leaves that hold different lines of different documents.
     mixed = (
         each.filter(F.col("tokens") >= LEAST_TOKENS)
         .groupBy("leaf")
-        .agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
-        .filter("n > 1 and least < most")
+        .agg(F.count("*").alias("n"), *_range())
+        .filter("n > 1 and low < high")
         .select("leaf")
     )
-    asked = split_join(each, mixed, ["leaf"]).select("leaf", "line", "low", "high")
-    asked = materialise(asked, "leaves")
-    texts = lines.select("line", "row", "masked").join(
-        asked.select("line", F.col("low").alias("row"), "leaf", "high"), ["line", "row"]
+    asked = materialise(split_join(each, mixed, ["leaf"]), "leaves")
+    texts = lines.select("line", F.col("row").alias("first_row"), "masked").join(
+        asked, ["line", "first_row"]
     )
     # One text of each asked line; tokens by place with the documents they occur in.
     placed = materialise(
         texts.dropDuplicates(["line"]).select(
-            "leaf", "line", "row", "high", F.posexplode(F.split("masked", " ")).alias("place", "token")
+            "leaf", "line", "first_row", "low", "high",
+            F.posexplode(F.split("masked", " ")).alias("place", "token"),
         ),
         "tokens",
-    )
+    )
     common = (
-        placed.groupBy("leaf", "place", "token")
-        .agg(F.min("row").alias("least"), F.max("high").alias("most"))
-        .filter((F.col("least") < F.col("most")) & (F.col("token") != FIELD))
+        placed.filter(F.col("token") != FIELD)
+        .groupBy("leaf", "place", "token")
+        .agg(*_range())
+        .filter("low < high")
         .select("leaf", "place", "token", F.lit(True).alias("constant"))
     )
     known = split_join(placed, common, ["leaf", "place", "token"], "left").withColumn(
@@ -96,8 +102,8 @@ def recurring(rows: DataFrame) -> DataFrame:
     templates = (
         known.groupBy("leaf", "line")
         .agg(
-            F.min("row").alias("low"),
-            F.max("high").alias("high"),
+            F.min("first_row").alias("first_row"),
+            *_range(),
             F.avg(F.col("constant").cast("int")).alias("share"),
             F.sum(F.xxhash64("place", shown).cast("decimal(20,0)")).alias("template"),
         )
@@ -105,12 +111,17 @@ def recurring(rows: DataFrame) -> DataFrame:
     )
     shared = (
         templates.groupBy("leaf", "template")
-        .agg(F.min("low").alias("first_row"), F.max("high").alias("most"))
-        .filter("first_row < most")
+        .agg(F.min("first_row").alias("first_row"), *_range())
+        .filter("low < high")
         .select("leaf", "template", "first_row")
     )
-    like = split_join(templates, shared, ["leaf", "template"]).select("line", "first_row")
-    return equal.unionByName(like).groupBy("line").agg(F.min("first_row").alias("first_row"))
+    like = split_join(templates.select("leaf", "template", "line"), shared, ["leaf", "template"])
+    found = equal.unionByName(like.select("line", "first_row"))
+    return found.groupBy("line").agg(F.min("first_row").alias("first_row"))
+
+
+def _range() -> list[Column]:
+    return [F.min("low").alias("low"), F.max("high").alias("high")]
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -118,34 +129,49 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     ``n_lines`` counts lines that are not blank; ``text`` has the others joined again
     and is null where it was null. The first document of a template is the one with
-    the least ``doc_id`` (null last, rows with one id by the text's hash); equal rows
-    are one document and keep the same lines. Blank lines stay. Other columns are not
+    the least ``doc_id`` (null last, rows with one id by the text's hash); rows with the
+    same text are one document and keep the same lines. Blank lines stay. Other columns are not
     looked at; no rows give no rows.
     """
-    docs = docs.select("doc_id", "text")
-    keyed = docs.withColumn(
-        "row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"))
-    )
+    found = _judged(docs.select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", "text")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts of ``kept_lines``, ``n_chars`` (if there is one) counted
+    anew. Documents whose lines are all dropped go; all other columns stay."""
+    found = _judged(docs)
+    texts = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    changed = F.col("n_dropped") > 0
+    kept = [
+        F.when(changed, texts[c]).otherwise(F.col(f"doc.{c}")).alias(c)
+        if c in texts
+        else F.col(f"doc.`{c}`")
+        for c in docs.columns
+    ]
+    return found.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))).select(*kept)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """``doc`` (the given row), ``text`` after dropping, ``n_lines`` and ``n_dropped``."""
+    hashed = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), hashed.alias("row"))
+    keyed = docs.select("doc_id", "text", hashed.alias("row"))
     drop = recurring(keyed)
     found = split_join(_lines(keyed).select("row", "line_no", "line"), drop, ["line"]).filter(
-        F.col("row") > F.col("first_row")
+        F.col("row.hash") != F.col("first_row.hash")
     )
     # The numbers of a document's own dropped lines.
     dropped = found.groupBy("row").agg(F.collect_set("line_no").alias("numbers"))
-    return _apply(keyed, dropped)
-
-
-def _apply(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
-    lines = F.split("text", "\n")
+    text = F.col("doc.text")
+    lines = F.split(text, "\n")
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
-    text = F.array_join(F.transform(kept, lambda k: F.get(F.col("lines"), k)), "\n")
+    joined = F.array_join(F.transform(kept, lambda k: F.get(F.col("lines"), k)), "\n")
     filled = F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")) != ""))
-    return keyed.join(dropped, "row", "left").withColumn("lines", lines).select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
+    return packed.join(dropped, "row", "left").withColumn("lines", lines).select(
+        "doc",
+        F.when(text.isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
         F.size(numbers).cast("long").alias("n_dropped"),
-        F.when(F.col("text").isNull() | F.col("numbers").isNull(), F.col("text"))
-        .otherwise(text)
-        .alias("text"),
+        F.when(text.isNull() | F.col("numbers").isNull(), text).otherwise(joined).alias("text"),
     )

@@ -84,11 +84,47 @@ def mixed(
     one by one; rows alike in id and size are exchangeable. No documents: no rows.
     Other columns are not looked at. The same rows give the same mix.
     """
+    return _placed(docs, weights, most_epochs, seed).drop("row")
+
+
+def repeated(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    most_epochs: int = MOST_EPOCHS,
+    seed: int = 0,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, as often as the mix starts them. The last
+    document of a source is taken whole; rows that the mix does not reach go."""
+    placed = _placed(docs, weights, most_epochs, seed)
+    # Equal rows are exchangeable: one of them stands for all their copies.
+    copies = placed.groupBy("row").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _row().alias("row")
+    )
+    joined = packed.join(copies, "row").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("row").orderBy("copies"))
+    )
+    once = joined.filter("_n = 1")
+    return once.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
+
+
+def _row() -> Column:
+    """What tells rows apart."""
+    return F.struct("doc_id", "source", F.xxhash64("text").alias("hash"))
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], most_epochs: int, seed: int) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     # Narrow rows, written once: the texts are read and counted a single time.
     rows = materialise(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")),
+        docs.select(
+            _row().alias("row"),
+            "doc_id",
+            "source",
+            word_count(F.col("text")).alias("size"),
+            key.alias("key"),
+        ),
         "mix",
     )
     goal = targets(rows.select("source", "size"), weights, most_epochs)
@@ -110,7 +146,7 @@ def mixed(
     )
     inside = (
         Window.partitionBy("source", "range")
-        .orderBy("key", "doc_id", "size")
+        .orderBy("key", "doc_id", "size", "row")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
@@ -125,6 +161,7 @@ def mixed(
         )
         .withColumn("start", start)
         .select(
+            "row",
             "doc_id",
             "size",
             "source_size",

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rookery.llm.common import free_name
 from rookery.llm.shingles import word_hashes
 
 #: Bounds of the training sample, rows.
@@ -307,7 +308,8 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*own, *_inputs(docs)).mapInArrow(keep, schema)
+    inputs = [c.alias(free_name(docs.columns, f"_input{k}")) for k, c in enumerate(_inputs(docs))]
+    return docs.select(*own, *inputs).mapInArrow(keep, schema)
 
 
 _SCORED = ["doc_id", "text_score", "metadata_score", "quality_score", "accepted"]

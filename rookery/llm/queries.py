@@ -230,24 +230,26 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES_SQL = r"""
 with split as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line,
+  select doc_id, md5(text) as hash, unnest(string_split(text, chr(10))) as line,
     unnest(range(len(string_split(text, chr(10))))) as line_no
   from documents),
 single as (
   select *, regexp_replace(trim(line, ' '), '[ \t]+', ' ', 'g') as s from split),
 masked as (
-  select doc_id, text, line_no, case when regexp_matches(line, '[0-9]')
+  select doc_id, hash, line_no, case when regexp_matches(line, '[0-9]')
     then regexp_replace(s, '\S*[0-9]\S*', '<*>', 'g') else s end as masked
   from single),
 lines as (
   select *, string_split(masked, ' ') as t, len(string_split(masked, ' ')) as tokens,
     array_to_string(string_split(masked, ' ')[1:3], ' ') as lead
   from masked where masked <> ''),
-each as (select lead, tokens, masked, t, min(doc_id) as low, max(doc_id) as high from lines group by all),
+each as (
+  select lead, tokens, masked, t, min(doc_id) as first_id, min(hash) as low, max(hash) as high
+  from lines group by all),
 leaves as (
   select lead, tokens from each where tokens >= 6 group by all having count(*) > 1 and min(low) < max(high)),
 placed as (
-  select lead, tokens, masked, low, high, unnest(t) as token, unnest(range(len(t))) as place
+  select lead, tokens, masked, first_id, low, high, unnest(t) as token, unnest(range(len(t))) as place
   from each semi join leaves using (lead, tokens)),
 common as (
   select lead, tokens, place, token from placed where token <> '<*>'
@@ -256,26 +258,29 @@ known as (
   select placed.*, common.place is not null as constant
   from placed left join common using (lead, tokens, place, token)),
 templates as (
-  select lead, tokens, masked, min(low) as low, max(high) as high,
+  select lead, tokens, masked, min(first_id) as first_id, min(low) as low, max(high) as high,
     string_agg(case when constant then token else '<*>' end, ' ' order by place) as template
   from known group by lead, tokens, masked having avg(constant::int) >= 0.7),
 shared as (
-  select lead, tokens, template, min(low) as first_id from templates group by all having min(low) < max(high)),
+  select lead, tokens, template, min(first_id) as first_id
+  from templates group by all having min(low) < max(high)),
 recurring as (
-  select masked, min(first_id) as first_id from (
-    select masked, low as first_id from each where low < high
-    union all
-    select masked, first_id from templates join shared using (lead, tokens, template)) group by masked),
+  select r.masked, r.first_id, md5(d.text) as first_hash from (
+    select masked, min(first_id) as first_id from (
+      select masked, first_id from each where low < high
+      union all
+      select t.masked, s.first_id from templates t join shared s using (lead, tokens, template))
+    group by masked) r join documents d on r.first_id = d.doc_id),
 judged as (
-  select s.doc_id, s.line_no, s.line, m.masked <> '' as filled, coalesce(s.doc_id > r.first_id, false) as dropped
+  select s.doc_id, s.line_no, s.line, m.masked <> '' as filled, coalesce(s.hash <> r.first_hash, false) as dropped
   from split s join masked m on s.doc_id = m.doc_id and s.line_no = m.line_no
   left join recurring r on m.masked = r.masked and m.masked <> ''),
-cleaned as (
+rest as (
   select doc_id, count(*) filter (where filled) as n_lines, count(*) filter (where dropped) as n_dropped,
     coalesce(string_agg(line, chr(10) order by line_no) filter (where not dropped), '') as text
   from judged group by doc_id)
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, sha256(c.text) as text_sha256
-from documents d left join cleaned c using (doc_id)
+from documents d left join rest c using (doc_id)
 """
 
 
