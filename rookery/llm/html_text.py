@@ -248,19 +248,25 @@ def _markup(node: Node) -> int | None:
     return 0 if node.tag in ("nav", "aside", "footer", "form") else None
 
 
-def fit(pages: list[tuple[list[Node], list[int]]]) -> Model:
+def fit(pages: list[tuple[list[Node], list[int]]], first: int | None = None) -> Model:
     """Potentials from nodes with known states: a logistic regression of a node's state
     on its features, and for each kind of edge how much more often two states meet
-    than by chance."""
+    than by chance. Nodes of the ``first`` pages count more often the more of them are
+    alike; all alike nodes of the others count once, as they come from few layouts."""
     names = Counter(f for nodes, _ in pages for k in range(len(nodes)) for f in _own_features(nodes, k))
     order = sorted(f for f, n in names.items() if n >= 3)
     place = {f: k for k, f in enumerate(order)}
     # Rows with the same features and state are one row with a weight; all counts small.
     rows = Counter(
         (tuple(sorted(place[f] for f in _own_features(nodes, k) if f in place)), states[k])
-        for nodes, states in pages
+        for nodes, states in pages[:first]
         for k in range(1, len(nodes))
     )
+    for nodes, states in pages[len(pages) if first is None else first :]:
+        for k in range(1, len(nodes)):
+            rows.setdefault(
+                (tuple(sorted(place[f] for f in _own_features(nodes, k) if f in place)), states[k]), 0
+            )
     x, y = [], []
     for (features, state), n in sorted(rows.items()):
         line = np.zeros(len(order))
@@ -367,7 +373,7 @@ def trained(pages: DataFrame) -> Model:
         states = _states(nodes, False)
         if states is not None:
             examples.append((nodes, states))
-    return fit(examples)
+    return fit(examples, len(known))
 
 
 def main_text(html: str, model: Model) -> str:
