@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators import rules as R
 from rookery.operators.joins import split_join
-from rookery.operators.ranking import numbered_within, top_n
+from rookery.operators.ranking import numbered, numbered_within, top_n
 
 PAGE_SIZE = 20
 # Types shown first in the type list.
@@ -97,7 +97,7 @@ def pin_ranked(counts: DataFrame) -> DataFrame:
 
 def type_order(counts: DataFrame) -> DataFrame:
     """Pinned types first, then by count; ties by name."""
-    return pin_ranked(counts).orderBy("pin_rank", F.desc("n"), "type")
+    return numbered(pin_ranked(counts), [F.col("pin_rank"), F.desc("n"), F.col("type")], "place")
 
 
 def stats_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -130,59 +130,35 @@ def following_stats_all(
 
 def _classes(
     activity: DataFrame, membership: DataFrame, rules: DataFrame
-) -> tuple[DataFrame, DataFrame] | None:
+) -> tuple[DataFrame, DataFrame]:
     """Activity with rule hits, and follow edges with the rules of their viewer.
 
-    NULL when there are too many distinct rules for one plan. The rules join the
-    edges, not the fan-out, so no fanned-out row is exchanged for them.
+    A rule is tried on the activity of an account once, however many of the account's
+    followers hold it. The rules join the edges, not the fan-out, so no fanned-out row
+    is exchanged for them.
     """
-    texts = R.distinct_rules(rules)
-    if texts is None:
-        return None
-    followed_keys = membership.select("viewer_id", F.col("key").alias("actor_key"))
-    edges = split_join(followed_keys, R.viewer_positions(rules, texts), ["viewer_id"], "left")
-    return R.with_hits(base(activity), texts), edges
+    followed = membership.select("viewer_id", F.col("key").alias("actor_key"))
+    held = R.held_rules(rules)
+    asked = (
+        split_join(followed, held, ["viewer_id"]).select("actor_key", "rule_text", "rule_id").distinct()
+    )
+    mine = held.groupBy("viewer_id").agg(F.collect_set("rule_id").alias("rule_ids"))
+    edges = split_join(followed, mine, ["viewer_id"], "left")
+    return R.with_hits(base(activity), asked), edges
 
 
 def _unhidden(joined: DataFrame) -> DataFrame:
-    mine = F.coalesce("rule_ids", F.array().cast("array<int>"))
+    mine = F.coalesce("rule_ids", F.array().cast("array<bigint>"))
     return joined.filter(~F.arrays_overlap("hits", mine))
 
 
-def _pairs_by_text(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
-    """(viewer, activity) pairs for rule sets too large to compile.
-
-    A rule meets the activity of an account once, however many followers hold
-    it; a pair is dropped when any rule of the viewer is TRUE. Hits go back only
-    to viewers who follow the account and hold the rule.
-    """
-    rows = base(activity)
-    scope = membership.select("viewer_id", F.col("key").alias("actor_key"))
-    held = split_join(scope, R.live(rules).select("viewer_id", "rule_text").distinct(), ["viewer_id"])
-    tried = rows.join(held.select("actor_key", "rule_text").distinct(), "actor_key")
-    hit = R.rule_is_true(F.col("rule_text"), R.activity_fields(tried))
-    hidden = (
-        tried.withColumn("_hit", hit)
-        .filter("_hit")
-        .select("activity_id", "actor_key", "rule_text")
-        .join(held, ["actor_key", "rule_text"])
-        .select("viewer_id", "activity_id")
-        .distinct()
-    )
-    pairs = rows.join(scope, "actor_key")
-    return pairs.join(hidden, ["viewer_id", "activity_id"], "left_anti")
-
-
 def visible_counts_all(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
     """Visible rows and latest time per viewer and type, in one pass for all viewers.
 
     Rows are first reduced to (actor, type, set of rules hit); only these
     classes meet the follow lists, so the fan-out carries no single activities.
     """
-    prepared = _classes(activity, membership, rules)
-    if prepared is None:
-        return stats_by(_pairs_by_text(activity, membership, rules), "viewer_id", "type")
-    rows, edges = prepared
+    rows, edges = _classes(activity, membership, rules)
     classes = stats_by(rows, "actor_key", "type", "hits")
     return (
         _unhidden(classes.join(edges, "actor_key"))
@@ -199,12 +175,7 @@ def visible_newest_all(
     Any viewer sees all or none of a class (actor, set of rules hit), so only the
     newest ``n`` of each class can reach a page; the rest stays out of the join.
     """
-    prepared = _classes(activity, membership, rules)
-    if prepared is None:
-        return top_n(
-            _pairs_by_text(activity, membership, rules), ["viewer_id"], newest_first(), n, "position"
-        )
-    rows, edges = prepared
+    rows, edges = _classes(activity, membership, rules)
     narrow = rows.select("activity_id", "actor_key", "type", "published_ms", "hits")
     candidates = top_n(narrow, ["actor_key", "hits"], newest_first(), n)
     joined = candidates.join(edges, "actor_key")
@@ -235,10 +206,9 @@ def materialise_rows(keys: DataFrame, activity: DataFrame, bodies: DataFrame) ->
 
 
 def following_sorted(summary: DataFrame, mode: str) -> DataFrame:
-    """Latest first with no-activity members last, or by name."""
-    if mode == "name":
-        return summary.orderBy("login", "actor_key")
-    return summary.orderBy(F.desc_nulls_last("latest_ms"), "login", "actor_key")
+    """``place`` of each row: latest first with no-activity members last, or by name."""
+    order = [F.col("login"), F.col("actor_key")]
+    return numbered(summary, order if mode == "name" else [F.desc_nulls_last("latest_ms"), *order], "place")
 
 
 def summary_by_member(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.digest import counted_digest
+from rookery.functions.text import SPACE_CHARACTERS
 from rookery.operators.joins import split_join
 
 MAX_KEY_LENGTH, MAX_ACTORS, MAX_TYPES = 256, 250, 64
@@ -98,12 +99,12 @@ def canonicalise_selection(requests: DataFrame, members: DataFrame, complete: bo
     """
     by_key = members.select("viewer_id", F.col("actor_key").alias("value"), "actor_key")
     by_login = members.select(
-        "viewer_id", F.lower(F.trim("login")).alias("folded"), F.col("actor_key").alias("login_key")
+        "viewer_id", F.lower(F.btrim("login", F.lit(SPACE_CHARACTERS))).alias("folded"), F.col("actor_key").alias("login_key")
     )
     # First places before the joins: a value asked for very often is one row then.
     asked = requests.groupBy("viewer_id", "value").agg(F.min("pos").alias("pos"))
     resolved = (
-        asked.withColumn("folded", F.lower(F.trim("value")))
+        asked.withColumn("folded", F.lower(F.btrim("value", F.lit(SPACE_CHARACTERS))))
         .join(by_key, ["viewer_id", "value"], "left")
         .join(by_login, ["viewer_id", "folded"], "left")
         .withColumn("key", F.coalesce("actor_key", "login_key"))
@@ -167,7 +168,7 @@ def retention_fingerprint(scope: DataFrame, retention: DataFrame, by: Sequence[s
     )
     facts = retention.select(F.col("actor_key").alias("key"), "retention_generation")
     return (
-        scope.join(facts, "key", "left").groupBy(*by).agg(counted_digest(line).alias("fingerprint"))
+        split_join(scope, facts, ["key"], "left").groupBy(*by).agg(counted_digest(line).alias("fingerprint"))
     )
 
 
@@ -176,9 +177,9 @@ def gap_floor(requests: DataFrame, scope: DataFrame, retention: DataFrame) -> Da
     floors = retention.select(F.col("actor_key").alias("key"), "compacted_through_seq")
     asked = ["viewer_id", "from_seq"]
     # The scope leads, so that the keys of one huge follow list can be split.
+    scoped = split_join(scope.select("viewer_id", "key"), requests.select(*asked), ["viewer_id"])
     above = (
-        split_join(scope.select("viewer_id", "key"), requests.select(*asked), ["viewer_id"])
-        .join(floors, "key")
+        split_join(scoped, floors, ["key"])
         .filter(F.col("compacted_through_seq") > F.col("from_seq"))
         .groupBy(*asked)
         .agg(F.max("compacted_through_seq").alias("gap_through_seq"))

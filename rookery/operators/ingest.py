@@ -36,7 +36,10 @@ def ingest_activity(store: DataFrame, batch: DataFrame) -> DataFrame:
     Inside a batch the earliest created row of an id wins.
     """
     # Copies go first: the map side keeps one row per id, so no id is hot below.
-    single = first_by(batch, ["activity_id"], [F.asc("created_ms"), F.asc("published_ms")])
+    # All columns decide ties, so that a task run again keeps the same copy.
+    rest = [c for c in batch.columns if c not in ("activity_id", "created_ms", "published_ms")]
+    order = [F.asc(c) for c in ("created_ms", "published_ms", *sorted(rest))]
+    single = first_by(batch, ["activity_id"], order)
     return unseen(single, store, ["activity_id"])
 
 
@@ -53,7 +56,8 @@ def append_changes(changes: DataFrame, rows: DataFrame, stored_head: int = 0) ->
     """
     key = ["source", "activity_id"]
     columns = [*key, "actor_key", "actor_id", "created_ms"]
-    single = first_by(rows.select(*columns), key, [F.asc("created_ms")])
+    order = [F.asc("created_ms"), F.asc("actor_key"), F.asc("actor_id")]
+    single = first_by(rows.select(*columns), key, order)
     fresh = unseen(single, changes, key)
     ranked = numbered(fresh, [F.col("created_ms"), F.col("activity_id"), F.col("source")])
     start = head_seq(changes, stored_head) + 1

@@ -1,9 +1,10 @@
 """The nested hide-rule language.
 
 A rule is JSON text: leaves compare one field, groups combine with and / or and
-may invert. Rules are parsed and checked on the driver (metadata), compiled to
-Columns and evaluated inside the scan. When there are more distinct rules than
-one plan should hold, the same tree is evaluated per Arrow batch instead.
+may invert. The rules of one viewer are parsed on the driver, compiled to Columns
+and evaluated inside the scan. For all viewers at once rule texts are data, of any
+number: they meet the activity of the accounts that their viewers follow, and are
+evaluated per Arrow batch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rookery.operators.joins import split_join
+from rookery.operators.ranking import numbered_within
+
 # The rule vocabulary.
 STRING_FIELDS = ("title", "repo", "type", "summary", "content", "githubUserLogin")
 DATE_FIELD = "publishedAt"
@@ -35,9 +39,6 @@ VALUE_OPERATORS = (
 PRESENCE_OPERATORS = ("isEmpty", "isNotEmpty")
 DATE_OPERATORS = ("before", "after")
 
-# More distinct rules than this do not go into one plan; see ``hidden_pairs``.
-MAX_COMPILED = 500
-
 
 @dataclass(frozen=True)
 class Instant:
@@ -60,6 +61,10 @@ def _revive(node: dict[str, Any]) -> Any:
     return Instant(int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000))
 
 
+def _no_number(name: str) -> None:
+    raise InvalidRule(f"{name} is no JSON number")
+
+
 def _require(ok: bool, message: str) -> None:
     if not ok:
         raise InvalidRule(message)
@@ -105,7 +110,7 @@ def _check_group(node: Any) -> None:
 def parse_rule(text: str | None) -> dict[str, Any] | None:
     """The rule tree, or NULL for text that is not a valid rule (fail open)."""
     try:
-        tree = json.loads(text, object_hook=_revive) if text is not None else None
+        tree = json.loads(text, object_hook=_revive, parse_constant=_no_number) if text is not None else None
         _check_group(tree)
         return tree
     except (ValueError, RecursionError):
@@ -187,41 +192,37 @@ def live(rules: DataFrame) -> DataFrame:
 
 def rules_of(rules: DataFrame, viewer_id: int) -> list[str]:
     """Live rule texts of one viewer: that viewer's own list, read as metadata."""
-    mine = live(rules).filter(F.col("viewer_id") == viewer_id).select("rule_text").distinct()
+    held = live(rules).filter((F.col("viewer_id") == viewer_id) & F.col("rule_text").isNotNull())
+    mine = held.select("rule_text").distinct()
     return [r["rule_text"] for r in mine.collect()]
 
 
-def distinct_rules(rules: DataFrame, limit: int = MAX_COMPILED) -> list[str] | None:
-    """Distinct live rule texts, or NULL when there are more than ``limit``."""
-    rows = live(rules).select("rule_text").distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r["rule_text"] for r in rows)
+def held_rules(rules: DataFrame) -> DataFrame:
+    """(viewer_id, rule_text, rule_id): distinct live rules; a NULL text is no rule."""
+    texts = live(rules).filter(F.col("rule_text").isNotNull()).select("viewer_id", "rule_text").distinct()
+    return texts.withColumn("rule_id", F.xxhash64("rule_text"))
+
 
+def with_hits(activity: DataFrame, asked: DataFrame) -> DataFrame:
+    """Add ``hits``: ids of the rules that are TRUE on the row.
 
-def with_hits(activity: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """Add ``hits``: the positions of the rules that are TRUE on the row."""
+    ``asked``: distinct (actor_key, rule_text, rule_id), the rules to be tried on an
+    actor's rows. Only rule fields travel to the evaluation; the hits of a row are one
+    array before any viewer is joined.
+    """
     fields = activity_fields(activity)
-    flags = [
-        F.when(F.coalesce(c, F.lit(False)), F.lit(i))
-        for i, t in enumerate(texts)
-        if (c := compile_rule(t, fields)) is not None
-    ]
-    if not flags:
-        return activity.withColumn("hits", F.array().cast("array<int>"))
-    return activity.withColumn("hits", F.array_compact(F.array(*flags)))
-
-
-def viewer_positions(rules: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """(viewer_id, rule_ids): positions in ``texts`` of each viewer's live rules."""
-    spark = rules.sparkSession
-    # At most MAX_COMPILED rows.
-    index = F.broadcast(spark.createDataFrame(list(enumerate(texts)), "_ix int, rule_text string"))
-    return (
-        live(rules)
-        .select("viewer_id", "rule_text")
-        .join(index, "rule_text")
-        .groupBy("viewer_id")
-        .agg(F.collect_set("_ix").alias("rule_ids"))
+    narrow = activity.select("activity_id", "actor_key", *[fields[f].alias(f) for f in _FIELD_ORDER])
+    # Sorted by rule, an Arrow batch holds few rules.
+    tried = split_join(narrow, asked, ["actor_key"]).sortWithinPartitions("rule_id")
+    hit = rule_is_true(F.col("rule_text"), {f: F.col(f) for f in _FIELD_ORDER})
+    hits = (
+        tried.select("activity_id", "rule_id", hit.alias("_hit"))
+        .filter("_hit")
+        .groupBy("activity_id")
+        .agg(F.array_sort(F.collect_set("rule_id")).alias("hits"))
     )
+    none = F.array().cast("array<bigint>")
+    return activity.join(hits, "activity_id", "left").withColumn("hits", F.coalesce("hits", none))
 
 
 def _evaluate(node: dict[str, Any], rows: pd.DataFrame) -> pd.Series:
@@ -261,8 +262,7 @@ _FIELD_ORDER = (*STRING_FIELDS, DATE_FIELD)
 def rule_is_true(rule_text: Column, fields: Mapping[str, Column]) -> Column:
     """Evaluate the rule text of each row on that row, batch by batch.
 
-    The way for rule sets too large to compile into one plan: texts travel as
-    data, each batch evaluates every distinct text it holds once.
+    Texts travel as data; each batch evaluates every distinct text it holds once.
     """
 
     @F.pandas_udf("boolean")
@@ -300,7 +300,9 @@ def with_canonical_text(rules: DataFrame) -> DataFrame:
 
 
 def list_rules(rules: DataFrame, by_name: bool = True) -> DataFrame:
-    """Live rules with ``is_valid``, by name or by age; invalid ones are listed too."""
+    """Live rules with ``is_valid`` and their ``place`` in the viewer's list, by name or by
+    age; invalid ones are listed too."""
     checked = with_canonical_text(live(rules))
     listed = checked.withColumn("is_valid", F.col("canonical").isNotNull()).drop("canonical")
-    return listed.orderBy("viewer_id", "name" if by_name else "created_ms", "rule_id")
+    order = [F.col("name" if by_name else "created_ms"), F.col("rule_id")]
+    return numbered_within(listed, ["viewer_id"], order, "place")

@@ -61,7 +61,7 @@ def additions(spark: SparkSession, sf_dir: str) -> DataFrame:
 T.VIEW_SQL["asked_key"] = """
  select distinct cast((seq - 1) % 24 as integer) as viewer_id,
   case when seq % 3 = 0 then concat('legacy-atom-login:', actor_login) when seq % 17 = 0 then concat(actor_key, '-gone') else actor_key end as key
- from activity where (seq - 1) % 7 = 0"""
+ from activity"""
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 17 == 0, F.concat(key, F.lit("-gone")))
         .otherwise(key)
     )
-    rows = T.activity(spark, sf_dir).filter((seq - 1) % 7 == 0)
+    rows = T.activity(spark, sf_dir)
     return rows.select(((seq - 1) % 24).cast("int").alias("viewer_id"), asked.alias("key"))
 
 
@@ -89,7 +89,7 @@ def selection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 T.VIEW_SQL["asked_value"] = """
  select cast((seq - 1) % 24 as integer) as viewer_id, seq as pos,
   case seq % 3 when 0 then actor_key when 1 then concat(' ', upper(actor_login)) else concat('gone', seq % 5) end as value
- from activity where (seq - 1) % 5 = 0"""
+ from activity"""
 _RESOLVED = """select v.viewer_id, v.pos, v.value, coalesce(k.actor_key, l.actor_key) as key from asked_value v
  left join (select viewer_id, actor_key from member where revision = 'r2') k on k.viewer_id = v.viewer_id and k.actor_key = v.value
  left join (select viewer_id, actor_key, lower(login) as login from member where revision = 'r2') l
@@ -103,7 +103,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 3 == 1, F.concat(F.lit(" "), F.upper("actor_login")))
         .otherwise(F.concat(F.lit("gone"), seq % 5))
     )
-    rows = T.activity(spark, sf_dir).filter((seq - 1) % 5 == 0)
+    rows = T.activity(spark, sf_dir)
     return rows.select(
         ((seq - 1) % 24).cast("int").alias("viewer_id"), value.alias("value"), seq.alias("pos")
     )
@@ -146,14 +146,14 @@ def canonical_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 T.VIEW_SQL["seen_login"] = """
  select login, id from github_user where id is not null
- union all select concat('Old', user_id, '-', event_type), cast(user_id as varchar) from events where user_id % 10 <> 0 and event_id % 3 = 0"""
+ union all select concat('Old', user_id, '-', event_type), cast(user_id as varchar) from events where user_id % 10 <> 0"""
 
 
 @query("select distinct id, concat('legacy-atom-login:', lower(login)) as alias_key from seen_login")
 def alias_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All logins ever seen with a numeric id, over account rows and old names."""
     user = F.col("user_id")
-    old = T.read(spark, sf_dir, "events").filter((user % 10 != 0) & (F.col("event_id") % 3 == 0))
+    old = T.read(spark, sf_dir, "events").filter(user % 10 != 0)
     seen = T.github_user(spark, sf_dir).select("login", "id").unionByName(
         old.select(
             F.concat(F.lit("Old"), user, F.lit("-"), "event_type").alias("login"),

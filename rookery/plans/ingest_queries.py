@@ -242,15 +242,15 @@ def validate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select activity_id, case when (seq - 1) % 2 = 0 then concat(title, ' v2') else title end as title,
-     case when (seq - 1) % 3 = 0 then cast(seq % 4 as bigint) else 9 end as inserted_revision
-    from activity where (seq - 1) % 3 = 0 or (seq - 1) % 2 = 0"""
+    """select activity_id, case when (seq - 1) % 3 <> 0 then concat(title, ' v2') else title end as title,
+     case when (seq - 1) % 3 <> 1 then cast(seq % 4 as bigint) else 9 end as inserted_revision
+    from activity"""
 )
 def upsert_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-delivered rows take new columns and keep the first-seen revision."""
     rows, n = T.activity(spark, sf_dir), F.col("seq") - 1
-    store = rows.filter(n % 3 == 0).withColumn("inserted_revision", F.col("seq") % 4)
-    page = rows.filter(n % 2 == 0).withColumn("title", F.concat("title", F.lit(" v2")))
+    store = rows.filter(n % 3 != 1).withColumn("inserted_revision", F.col("seq") % 4)
+    page = rows.filter(n % 3 != 0).withColumn("title", F.concat("title", F.lit(" v2")))
     return ingest.upsert_activity(store, page, 9).select("activity_id", "title", "inserted_revision")
 
 

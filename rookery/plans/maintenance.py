@@ -209,7 +209,7 @@ def run_maintenance(
         try:
             result = steps[name]()
         except Exception as error:
-            out.add(name, False, message=str(error)[:500])
+            out.add(name, False, message=str(error))
             if name in ("refresh", "cleanup"):
                 break
             continue

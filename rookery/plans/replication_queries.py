@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators import identity
+from rookery.operators import identity, ingest
 from rookery.operators import replication as P
 from rookery.plans.catalog import query
 from rookery.plans.identity_queries import positions
@@ -33,19 +33,28 @@ def changes_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "activity_id", "change_key", "actor_key", "published_ms")
 
 
-_HISTORY = f"select seq, activity_id, published_ms from logged where not hidden and seq <= 8000 and actor_key in {_SCOPE} order by published_ms desc, activity_id desc limit 51"
+# Pages go up to the head of the log, and deltas begin half-way.
+_HEAD = "(select max(seq) from activity_change)"
+_HALF = "(select max(seq) // 2 from activity_change)"
+
+
+def _head(spark: SparkSession, sf_dir: str) -> int:
+    return ingest.head_seq(T.activity_change(spark, sf_dir))
+
+
+_HISTORY = f"select seq, activity_id, published_ms from logged where not hidden and seq <= {_HEAD} and actor_key in {_SCOPE} order by published_ms desc, activity_id desc limit 51"
 
 
 @query(_HISTORY)
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = P.history_page(
-        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), 8000, 50
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), _head(spark, sf_dir), 50
     )
     return page.select("seq", "activity_id", "published_ms")
 
 
 @query(
-    f"""select seq, activity_id, published_ms from logged where not hidden and seq <= 8000 and actor_key in {_SCOPE}
+    f"""select seq, activity_id, published_ms from logged where not hidden and seq <= {_HEAD} and actor_key in {_SCOPE}
     and (published_ms < 1705276800000 or (published_ms = 1705276800000 and activity_id < 'tag:feed,2024:m'))
     order by published_ms desc, activity_id desc limit 51"""
 )
@@ -54,7 +63,7 @@ def history_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.activity_change(spark, sf_dir),
         T.activity(spark, sf_dir),
         _viewer_keys(spark, sf_dir),
-        8000,
+        _head(spark, sf_dir),
         50,
         after=(1705276800000, "tag:feed,2024:m"),
     )
@@ -62,29 +71,31 @@ def history_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select seq, activity_id, published_ms from logged where not hidden and seq > 4000 and seq <= 8000 and change_key in {_SCOPE}
+    f"""select seq, activity_id, published_ms from logged where not hidden and seq > {_HALF} and seq <= {_HEAD} and change_key in {_SCOPE}
     order by seq, activity_id limit 51"""
 )
 def delta_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = _head(spark, sf_dir)
     page = P.delta_page(
-        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), 4000, 8000, 50
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), _viewer_keys(spark, sf_dir), head // 2, head, 50
     )
     return page.select("seq", "activity_id", "published_ms")
 
 
 @query(
-    f"""select seq, activity_id, published_ms from logged where not hidden and (seq > 4100 or (seq = 4100 and activity_id > 'tag'))
-    and seq <= 8000 and change_key in {_SCOPE} order by seq, activity_id limit 51"""
+    f"""select seq, activity_id, published_ms from logged where not hidden and (seq > {_HALF} + 100 or (seq = {_HALF} + 100 and activity_id > 'tag'))
+    and seq <= {_HEAD} and change_key in {_SCOPE} order by seq, activity_id limit 51"""
 )
 def delta_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = _head(spark, sf_dir)
     page = P.delta_page(
         T.activity_change(spark, sf_dir),
         T.activity(spark, sf_dir),
         _viewer_keys(spark, sf_dir),
-        4000,
-        8000,
+        head // 2,
+        head,
         50,
-        after=(4100, "tag"),
+        after=(head // 2 + 100, "tag"),
     )
     return page.select("seq", "activity_id", "published_ms")
 
@@ -114,9 +125,9 @@ T.VIEW_SQL["gap_plan"] = """
 
 
 @query(
-    """select g.viewer_id, g.action, count(l.seq) as n_rows, cast(9000 as bigint) as checkpoint_seq from gap_plan g
+    f"""select g.viewer_id, g.action, count(l.seq) as n_rows, {_HEAD} as checkpoint_seq from gap_plan g
     left join membership m on m.viewer_id = g.viewer_id and m.revision = 'r2'
-    left join logged l on l.change_key = m.key and not l.hidden and l.seq > g.from_seq and l.seq <= 9000
+    left join logged l on l.change_key = m.key and not l.hidden and l.seq > g.from_seq and l.seq <= {_HEAD}
     group by g.viewer_id, g.action"""
 )
 def recover_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +135,15 @@ def recover_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(spark, sf_dir, T.ACTIVE)
     gaps = identity.gap_floor(positions(spark, sf_dir), keys, T.retention(spark, sf_dir))
     return P.recover_gap(
-        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), keys, gaps, 9000
+        T.activity_change(spark, sf_dir), T.activity(spark, sf_dir), keys, gaps, _head(spark, sf_dir)
     )
 
 
 @query(
-    """select n.viewer_id, l.activity_id, l.seq, o.key is not null as held from membership n
+    f"""select n.viewer_id, l.activity_id, l.seq, o.key is not null as held from membership n
     join (select n_nationkey as viewer_id, cast(n_nationkey % 7 as bigint) * 700 as from_seq from nation) p on p.viewer_id = n.viewer_id
     left join membership o on o.viewer_id = n.viewer_id and o.revision = 'r1' and o.key = n.key
-    join logged l on l.change_key = n.key and not l.hidden and l.seq <= 9000
+    join logged l on l.change_key = n.key and not l.hidden and l.seq <= {_HEAD}
      and l.seq > case when o.key is null then 0 else p.from_seq end
     where n.revision = 'r2'"""
 )
@@ -144,13 +155,13 @@ def scope_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
         _keys(spark, sf_dir, T.PREVIOUS),
         _keys(spark, sf_dir, T.ACTIVE),
         positions(spark, sf_dir, 700),
-        9000,
+        _head(spark, sf_dir),
     )
 
 
 T.VIEW_SQL["page_event"] = """
  select user_id as scope, event_id as pos, case event_type when 'error' then 'gap' when 'view' then 'history' when 'click' then 'history' else 'delta' end as kind,
-  event_id % 3 = 0 as is_end from events where event_id % 5 = 0"""
+  event_id % 3 = 0 as is_end from events"""
 
 
 @query(
@@ -165,7 +176,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = (
         F.when(kind == "error", "gap").when(kind.isin("view", "click"), "history").otherwise("delta")
     )
-    events = T.read(spark, sf_dir, "events").filter(F.col("event_id") % 5 == 0)
+    events = T.read(spark, sf_dir, "events")
     return P.coverage(
         events.select(
             F.col("user_id").alias("scope"),

@@ -183,24 +183,14 @@ def rule_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select f.viewer_id, concat('rule', f.rule_ix) as rule_id, concat('name', 99 - f.rule_ix) as name,
-     f.rule_ix < 11 as is_valid, coalesce(h.n, 0) as n_rows
-    from user_filter f left join (select rule_ix, count(*) as n from rule_hit group by rule_ix) h on h.rule_ix = f.rule_ix
-    where not f.deleted"""
+    """select viewer_id, concat('rule', rule_ix) as rule_id, concat('name', 99 - rule_ix) as name, rule_ix < 11 as is_valid,
+     row_number() over (partition by viewer_id order by concat('name', 99 - rule_ix), concat('rule', rule_ix)) - 1 as place
+    from user_filter where not deleted"""
 )
 def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live rules by name with validity and the number of rows each one hits."""
-    table = user_filter(spark, sf_dir)
-    texts = R.distinct_rules(table)
-    rows = R.with_hits(T.activity(spark, sf_dir), texts)
-    counts = rows.select(F.explode("hits").alias("ix")).groupBy("ix").agg(F.count("*").alias("n"))
-    index = spark.createDataFrame(list(enumerate(texts)), "ix int, rule_text string")
-    hits = index.join(counts, "ix", "left").select("rule_text", "n")
-    return (
-        R.list_rules(table)
-        .join(hits, "rule_text", "left")
-        .select("viewer_id", "rule_id", "name", "is_valid", F.coalesce("n", F.lit(0)).alias("n_rows"))
-    )
+    """Live rules by name with validity, invalid ones included."""
+    listed = R.list_rules(user_filter(spark, sf_dir))
+    return listed.select("viewer_id", "rule_id", "name", "is_valid", "place")
 
 
 _VISIBLE_PAIRS = """
@@ -242,3 +232,25 @@ def clear_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.activity(spark, sf_dir).withColumn("inserted_revision", F.col("seq"))
     cleared = feed.is_cleared(F.lit(1705000000000), F.lit(3000))
     return feed.type_counts(rows.filter(cleared))
+
+
+@query(
+    """select m.viewer_id, a.type, count(*) as n, max(a.published_ms) as latest_ms
+    from activity a join membership m on m.key = a.actor_key and m.revision = 'r2'
+    where not a.hidden and not exists (select 1 from customer c where c.c_nationkey = m.viewer_id
+     and contains(lower(a.title), concat('user', c.c_custkey))) group by m.viewer_id, a.type"""
+)
+def visible_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distinct rule for every customer, held by the viewer of its nation, and rows
+    without any rule text."""
+    text = rule(leaf("title", "contains", "User#"))
+    before, after = text.split("#")
+    customers = T.read(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("viewer_id"),
+        F.concat(F.lit(before), F.col("c_custkey"), F.lit(after)).alias("rule_text"),
+    )
+    nothing = T.read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("viewer_id"), F.lit(None).cast("string").alias("rule_text")
+    )
+    held = customers.unionByName(nothing).withColumn("deleted", F.lit(False))
+    return feed.visible_counts_all(T.activity(spark, sf_dir), membership(spark, sf_dir), held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators import fold, projection, state
+from rookery.operators import fold, ingest, projection, state
 from rookery.operators import rules as R
 from rookery.plans.catalog import query
 from rookery.plans.retention_queries import state_log
@@ -79,14 +79,13 @@ def entity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feed_state s full join (
      select cast((seq - 1) % 25 as integer) as user_id,
       max(case when seq % 500 = 0 then 1706659200000 else least(1706659200000, greatest(published_ms - 86400000, created_ms + (seq % 9) * 86400000)) end) as best
-     from activity where (seq - 1) % 25 <> 11 group by 1) c on c.user_id = s.viewer_id"""
+     from activity group by 1) c on c.user_id = s.viewer_id"""
 )
 def advance_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clear candidates of all users, clamped and merged into the watermarks."""
     n = F.col("seq") - 1
     candidates = (
         T.activity(spark, sf_dir)
-        .filter(n % 25 != 11)
         .select(
             (n % 25).cast("int").alias("user_id"),
             F.when(F.col("seq") % 500 != 0, F.col("published_ms") - T.DAY_MS).alias("anchor_ms"),
@@ -139,14 +138,14 @@ def pull_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pending operations: one user's replica row per (login, type), operations from later events.
 T.VIEW_SQL["replica"] = """
  select concat(actor_login, ':', type) as id, max(title || seq % 10) as value, max(seq) % 7 = 0 as deleted
- from activity where seq % 2 = 0 group by 1"""
+ from activity group by 1"""
 T.VIEW_SQL["pending"] = """
- select concat(actor_login, ':', type) as id, concat('edit ', seq) as value, case when seq % 5 = 0 then 'delete' else 'put' end as kind,
-  seq as local_sequence, seq % 11 = 0 as conflict_copy from activity where seq % 13 = 1"""
+ select concat(actor_login, ':', case when type = 'view' then 'note' else type end) as id, concat('edit ', seq) as value, case when seq % 5 = 0 then 'delete' else 'put' end as kind,
+  seq as local_sequence, seq % 11 = 0 as conflict_copy from activity"""
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.activity(spark, sf_dir).filter(F.col("seq") % 2 == 0)
+    rows = T.activity(spark, sf_dir)
     return (
         rows.groupBy(F.concat("actor_login", F.lit(":"), "type").alias("id"))
         .agg(F.max(F.concat("title", F.col("seq") % 10)).alias("value"), F.max("seq").alias("_s"))
@@ -156,8 +155,9 @@ def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("seq")
-    return T.activity(spark, sf_dir).filter(seq % 13 == 1).select(
-        F.concat("actor_login", F.lit(":"), "type").alias("id"),
+    part = F.when(F.col("type") == "view", "note").otherwise(F.col("type"))
+    return T.activity(spark, sf_dir).select(
+        F.concat("actor_login", F.lit(":"), part).alias("id"),
         F.concat(F.lit("edit "), seq).alias("value"),
         F.when(seq % 5 == 0, "delete").otherwise("put").alias("kind"),
         seq.alias("local_sequence"),
@@ -180,10 +180,10 @@ def overlay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """select coalesce(s.viewer_id, p.user_id) as user_id, greatest(s.cleared_ms, p.best) as cleared_ms, p.last_seq - 1 as provisional_through
     from feed_state s full join (select cast((seq - 1) % 25 as integer) as user_id, max(published_ms) as best, max(seq) as last_seq
-     from activity where seq % 10 = 3 group by 1) p on p.user_id = s.viewer_id"""
+     from activity group by 1) p on p.user_id = s.viewer_id"""
 )
 def overlay_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clears = T.activity(spark, sf_dir).filter(F.col("seq") % 10 == 3).select(
+    clears = T.activity(spark, sf_dir).select(
         ((F.col("seq") - 1) % 25).cast("int").alias("user_id"),
         F.col("published_ms").alias("candidate_ms"),
         F.col("seq").alias("local_sequence"),
@@ -386,9 +386,10 @@ def projection_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two revision ranges aggregated apart and merged; equals the full rebuild."""
     rows = T.activity(spark, sf_dir)
+    half = ingest.head_seq(rows) // 2
     parts = [
         projection.aggregates(_facts(spark, sf_dir, rows.filter(cond)))
-        for cond in (F.col("seq") <= 6000, F.col("seq") > 6000)
+        for cond in (F.col("seq") <= half, F.col("seq") > half)
     ]
     return projection.merge_aggregates(*parts)
 

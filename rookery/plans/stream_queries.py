@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import schemas
-from rookery.operators import extract, identity, projection, retention
+from rookery.operators import extract, identity, ingest, projection, retention
 from rookery.operators import rules as R
 from rookery.plans import maintenance
 from rookery.plans.catalog import query
@@ -54,7 +54,7 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select actor_key, count(*) as n, max(seq) as last_seq, count(distinct case when seq <= 5000 then 0 else 1 end) as n_runs
+    """select actor_key, count(*) as n, max(seq) as last_seq, count(distinct case when seq <= (select max(seq) // 2 from activity_change) then 0 else 1 end) as n_runs
     from activity_change group by actor_key"""
 )
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,10 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         jobs.run_available(jobs.changes_since(spark, f"{root}/log"), f"{root}/checkpoint", each)
 
-    log.filter(F.col("seq") <= 5000).write.mode("append").parquet(f"{root}/log")
+    half = ingest.head_seq(log) // 2
+    log.filter(F.col("seq") <= half).write.mode("append").parquet(f"{root}/log")
     run("a")
-    log.filter(F.col("seq") > 5000).write.mode("append").parquet(f"{root}/log")
+    log.filter(F.col("seq") > half).write.mode("append").parquet(f"{root}/log")
     run("b")
     delivered = spark.read.schema("actor_key string, n long, last_seq long").parquet(f"{root}/out/*")
     return delivered.groupBy("actor_key").agg(

@@ -123,9 +123,12 @@ def test_compiled_and_batch_evaluation_agree(spark, activity):
     """The two evaluators give the same verdict for random nested rules."""
     rng = random.Random(7)
     texts = [json.dumps(random_group(rng, 3)) for _ in range(60)] + ["{broken"]
-    compiled = R.with_hits(activity, texts)
+    fields = R.activity_fields(activity)
     expected = {
-        (r["activity_id"], texts[i]) for r in compiled.select("activity_id", "hits").collect() for i in r["hits"]
+        (r["activity_id"], text)
+        for text in texts
+        if (test := R.compile_rule(text, fields)) is not None
+        for r in activity.filter(test).select("activity_id").collect()
     }
     table = spark.createDataFrame([(t,) for t in texts], "rule_text string")
     each = activity.withColumn("rule_text", F.explode(F.array(*[F.lit(t) for t in texts])))
@@ -135,8 +138,7 @@ def test_compiled_and_batch_evaluation_agree(spark, activity):
     assert expected
 
 
-def test_many_viewers_with_and_without_compiled_rules(spark, activity, monkeypatch):
-    """A rule set too large to compile gives the same feeds as a compiled one."""
+def test_many_viewers_with_invalid_and_missing_rules(spark, activity):
     activity = activity.withColumn("hidden", F.lit(False)).withColumn(
         "actor_key", F.concat(F.lit("k-"), "actor_login")
     )
@@ -149,16 +151,18 @@ def test_many_viewers_with_and_without_compiled_rules(spark, activity, monkeypat
         (1, "{broken", False),
         (2, rule(leaf("repo", "isEmpty")), False),
         (2, rule(leaf("type", "equals", "push")), True),
+        (2, None, False),
     ]
     table = spark.createDataFrame(texts, "viewer_id int, rule_text string, deleted boolean")
     counts = rows(feed.visible_counts_all(activity, membership, table))
     pages = rows(feed.visible_newest_all(activity, membership, table, 2), "viewer_id", "activity_id", "position")
     assert counts == [(1, "push", 2, 3000), (2, "push", 1, 1000)]
     assert pages == [(1, "a1", 2), (1, "b1", 1), (2, "a1", 1)]
-    distinct = R.distinct_rules
-    monkeypatch.setattr(R, "distinct_rules", lambda t: distinct(t, 1))
-    assert rows(feed.visible_counts_all(activity, membership, table)) == counts
-    assert rows(feed.visible_newest_all(activity, membership, table, 2), "viewer_id", "activity_id", "position") == pages
+    assert R.rules_of(table, 2) == [texts[2][1]]
+
+
+def test_numbers_outside_json_are_invalid():
+    assert R.parse_rule(rule(leaf("type", "equals", "x"))[:-1] + ', "meta": {"n": NaN}}') is None
 
 
 def test_sample_rules_cover_both_kinds():
