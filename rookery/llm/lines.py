@@ -25,6 +25,7 @@ CONSTANT = 0.7
 #: Lines with fewer tokens keep only digits as variable fields.
 LEAST_TOKENS = 6
 FIELD = "<*>"
+FILTER_PAGES, _PAGE_BITS = 256, 32_768
 _SPACES = r"[ \t]+"
 
 
@@ -76,13 +77,17 @@ def recurring(rows: DataFrame) -> DataFrame:
         .filter("n > 1 and low < high")
         .select("leaf")
     )
-    asked = materialise(split_join(each, mixed, ["leaf"]), "leaves")
-    texts = lines.select("line", F.col("row").alias("first_row"), "masked").join(
-        asked, ["line", "first_row"]
+    asked = materialise(split_join(each, mixed, ["leaf"]).drop("tokens"), "leaves")
+    # The texts of these lines only; most others are left out before the shuffle.
+    texts = (
+        _likely(lines.select("line", F.col("row").alias("first_row"), "masked"), asked)
+        .join(asked.select("line", "first_row"), ["line", "first_row"])
+        .dropDuplicates(["line"])
+        .drop("first_row")
     )
-    # One text of each asked line; tokens by place with the documents they occur in.
+    # Tokens by place with the documents they occur in.
     placed = materialise(
-        texts.dropDuplicates(["line"]).select(
+        texts.join(asked, "line").select(
             "leaf", "line", "first_row", "low", "high",
             F.posexplode(F.split("masked", " ")).alias("place", "token"),
         ),
@@ -120,6 +125,25 @@ def recurring(rows: DataFrame) -> DataFrame:
     return found.groupBy("line").agg(F.min("first_row").alias("first_row"))
 
 
+def _likely(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose hash may be among those ``asked``.
+
+    The asked hashes set bits of ``FILTER_PAGES`` bitmaps of 32,768 bits each, a megabyte
+    in all whatever the data, which may be sent to every task. Whoever shares a bit stays
+    in; the join after this decides.
+    """
+    page = F.pmod(F.shiftrightunsigned("line", 20), F.lit(FILTER_PAGES)).alias("_page")
+    bit = F.pmod(F.col("line"), F.lit(_PAGE_BITS)).alias("_bit")
+    pages = (
+        asked.select(page, bit).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    )
+    place = F.expr("cast(_bit div 8 as int) + 1")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), place, F.lit(1))), 16, 10).cast("long")
+    flag = F.expr("element_at(array(1, 2, 4, 8, 16, 32, 64, 128), cast(_bit % 8 as int) + 1)")
+    kept = lines.select("*", page, bit).join(F.broadcast(pages), "_page")
+    return kept.filter(byte.bitwiseAND(flag) != 0).select(*lines.columns)
+
+
 def _range() -> list[Column]:
     return [F.min("low").alias("low"), F.max("high").alias("high")]
 
@@ -154,7 +178,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame) -> DataFrame:
     """``doc`` (the given row), ``text`` after dropping, ``n_lines`` and ``n_dropped``."""
-    hashed = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"))
+    last = F.lit((1 << 63) - 1).cast("long")
+    hashed = F.struct(
+        F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64("text").alias("hash")
+    )
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), hashed.alias("row"))
     keyed = docs.select("doc_id", "text", hashed.alias("row"))
     drop = recurring(keyed)
