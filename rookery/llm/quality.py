@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.common import free_name
-from rookery.llm.shingles import word_hashes
+from rookery.llm.shingles import slices, word_hashes
 
 #: Bounds of the training sample, rows.
 LABELLED = 8000
@@ -58,6 +58,14 @@ _KIND_COUNT = 5 + len(_SIGNS)
 
 def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the text view and of the metadata view."""
+    parts = [
+        _part_features(part, source[k : k + len(part)], lang[k : k + len(part)])
+        for k, part in slices(text)
+    ] or [_part_features(text, source, lang)]
+    return tuple(np.vstack(view) for view in zip(*parts, strict=True))
+
+
+def _part_features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: n + 1]
     data = text.buffers()[2]

@@ -7,10 +7,14 @@ whole sequence as one; a text without words has none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 _SEED = 20240611
+#: Bytes of text that the array steps take at once; a longer text is taken alone.
+_SLICE_BYTES = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,6 +38,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """A string column cut into parts of bounded size, each with its place: the arrays
+    for one part take many times the bytes of its texts."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    start = 0
+    while start < len(column):
+        stop = int(np.searchsorted(offsets, offsets[start] + _SLICE_BYTES, "right")) - 1
+        stop = min(max(stop, start + 1), len(column))
+        yield start, column.slice(start, stop - start)
+        start = stop
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a string column without nulls, and the border of each text."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
@@ -58,6 +74,10 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    return [found for _, part in slices(column) for found in _part_sets(part, size)]
+
+
+def _part_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     words, borders = word_hashes(column)
     window = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     for k in range(size):
