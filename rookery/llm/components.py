@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("a <> b").select("a", "b").distinct()
     before = None
     while True:
-        links = materialise(_stars(materialise(_stars(links, False), "large"), True), "small")
+        links = materialise(_stars(_stars(links, False), True), "stars")
         now = links.select(mark).first()[0]
         if now == before:
             break

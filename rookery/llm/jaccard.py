@@ -11,7 +11,9 @@ Exact for any data. The steps:
 4. Blocks whose nodes are not all tied are searched by signature trees: leaves hold
    token bitmaps and sizes, inner nodes OR-combined bitmaps and size ranges, and a
    dual traversal drops pairs of nodes by the largest overlap they can have.
-5. Pairs that are left are compared by their whole sets; links give components.
+5. Pairs that are left are compared by their whole sets; links give components. In a
+   round every node first offers its most promising pairs of a block; when these have
+   tied what belongs together, the rest of the block is compared in full.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ MINIMA = 6
 #: Nodes of a block that one task compares; larger blocks are cut into tiles.
 TILE = 2000
 LEAF = 8
+#: Pairs that a node offers in a block, and rounds before all pairs are compared that are
+#: not tied by then. Only a matter of cost.
+OFFERS, ROUNDS = 2, 2
+#: Bits for each shingle in the bitmaps of the blocks that are compared in full.
+WIDE, MOST_BITS = 16, 1 << 15
 
 
 def needed(left: int, right: int, percent: int) -> int:
@@ -83,9 +90,10 @@ class Tree:
             self.label = labels.pop() if len(labels) == 1 else None
 
 
-def search(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of entries with different labels that may reach the threshold. The same
-    tree on both sides is searched against itself, each pair once."""
+def search(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, int, float]]:
+    """Pairs of entries with different labels that may reach the threshold, with the
+    share that they may have in common at most. The same tree on both sides is searched
+    against itself, each pair once."""
     stack = [(left, right)]
     while stack:
         x, y = stack.pop()
@@ -111,7 +119,7 @@ def search(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, int]]:
             yield from _pairs(x.items, y.items, percent)
 
 
-def _pairs(left, right, percent: int) -> Iterator[tuple[int, int]]:
+def _pairs(left, right, percent: int) -> Iterator[tuple[int, int, float]]:
     for n, label, node, bits in left:
         slack = n - bits.bit_count()
         for m, other_label, other, other_bits in right:
@@ -119,7 +127,8 @@ def _pairs(left, right, percent: int) -> Iterator[tuple[int, int]]:
                 continue
             most = min(slack, m - other_bits.bit_count()) + (bits & other_bits).bit_count()
             if most >= needed(n, m, percent):
-                yield (node, other) if node < other else (other, node)
+                share = most / (n + m)
+                yield (node, other, share) if node < other else (other, node, share)
 
 
 def width_of(size: int) -> int:
@@ -127,7 +136,9 @@ def width_of(size: int) -> int:
     return 1 << max(6, (size * 2 // 3).bit_length())
 
 
-def candidates(entries: list[tuple[int, int, int, int]], percent: int) -> Iterator[tuple[int, int]]:
+def candidates(
+    entries: list[tuple[int, int, int, int]], percent: int
+) -> Iterator[tuple[int, int, float]]:
     """Candidate pairs among entries of any sizes: one tree for each bitmap width, and
     one of the wider neighbours' bitmaps folded, as linked sizes may differ."""
     by_width: dict[int, list] = {}
@@ -220,23 +231,23 @@ def profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
 # --- comparing pairs ------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (distinct nodes a, b) whose whole sets reach the threshold.
-    Only texts of nodes in a pair are moved, to the pairs of each node."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = materialise(
-        asked.join(nodes.select("node", "doc_id", "text_hash"), "node").filter("node >= 0"), "asked"
-    )
+def _texts(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` of the asked nodes, written once. While these are few, Spark filters
+    the texts by their hashes before it shuffles them."""
+    keys = materialise(asked.join(nodes.select("node", "doc_id", "text_hash"), "node"), "asked")
     found = (
         texts.withColumn("text_hash", F.xxhash64("text"))
-        .join(
-            keys.filter("node >= 0").withColumnRenamed("doc_id", "key_id"),
-            ["text_hash"],
-        )
+        .join(keys.filter("node >= 0").withColumnRenamed("doc_id", "key_id"), ["text_hash"])
         .filter(F.col("doc_id").eqNullSafe(F.col("key_id")))
         .select("node", "text")
     )
-    own = materialise(found.dropDuplicates(["node"]), "texts")
+    return materialise(found.dropDuplicates(["node"]), "texts")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (distinct nodes a, b) whose whole sets reach the threshold.
+    Only texts of nodes in a pair are moved, to the pairs of each node."""
+    own = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts)
     left = split_join(pairs, own.select(F.col("node").alias("a"), F.col("text").alias("x")), ["a"])
     both = split_join(left, own.select(F.col("node").alias("b"), F.col("text").alias("y")), ["b"])
 
@@ -255,6 +266,80 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _compared(
+    blocks: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Links between nodes of the given tiles that are not tied: all pairs that trees of
+    wide bitmaps leave, by whole sets. A link whose ends the tile has tied is not given."""
+    own = _texts(blocks.select("node").distinct(), nodes, texts)
+    labelled = split_join(blocks, labels, ["node"], "left").withColumn(
+        "label", F.coalesce("component", F.col("node"))
+    )
+    rows = split_join(labelled, own, ["node"])
+
+    def linked(same: bool, chunks: dict[int, list]) -> Iterator[tuple[int, int]]:
+        entries = [e for c in chunks.values() for e in c]
+        first = {e[2] for e in chunks[min(chunks)]}
+        sets = {e[2]: e[3] for e in entries}
+        widest = min(WIDE * (1 << max(e[0] for e in entries).bit_length()), MOST_BITS)
+        tied = {e[2]: e[1] for e in entries}
+        root = {label: label for label in tied.values()}
+
+        def find(label: int) -> int:
+            while root[label] != label:
+                root[label] = label = root[root[label]]
+            return label
+
+        marked = [(n, label, node, _bitmap(found, widest)) for n, label, node, found in entries]
+        tree = Tree(sorted(marked))
+        for a, b, _ in search(tree, tree, percent):
+            if not same and (a in first) == (b in first):
+                continue
+            x, y = find(tied[a]), find(tied[b])
+            if x == y:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                root[max(x, y)] = min(x, y)
+                yield a, b
+
+    def compare(batches):
+        current, chunks = None, {}
+
+        def close():
+            if current is None or len({e[1] for c in chunks.values() for e in c}) < 2:
+                return []
+            return list(linked(current[1] == current[2], chunks))
+
+        def result(found):
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+        for batch in batches:
+            sets = shingle_sets(batch.column(6), size)
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for shingle, i, j, chunk, node, label, found in zip(*columns, sets, strict=True):
+                if (shingle, i, j) != current:
+                    yield result(close())
+                    current, chunks = (shingle, i, j), {}
+                chunks.setdefault(chunk, []).append((len(found), label, node, found))
+        yield result(close())
+
+    return (
+        rows.select("shingle", "i", "j", "chunk", "node", "label", "text")
+        .repartition("shingle", "i", "j")
+        .sortWithinPartitions("shingle", "i", "j")
+        .mapInArrow(compare, "a long, b long")
+        .distinct()
+    )
+
+
+def _bitmap(found: np.ndarray, width: int) -> int:
+    cells = np.zeros(width, np.uint8)
+    cells[(found & np.uint64(width - 1)).astype(np.int64)] = 1
+    return int.from_bytes(np.packbits(cells, bitorder="little").tobytes(), "little")
+
+
 def _fit(n: Column | str, m: Column | str, percent: int) -> Column:
     n, m = (F.col(c) if isinstance(c, str) else c for c in (n, m))
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
@@ -282,7 +367,7 @@ def _anchored(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Rows of the blocks to be searched: ``shingle, tile, chunk, node, label, n``.
+    """Rows of the blocks to be searched: ``shingle, i, j, chunk, node, n``.
     Blocks whose nodes are tied already, or too far apart in size, are left out by sums
     over the block; blocks above ``TILE`` nodes are cut into tiles of two chunks."""
     labelled = nodes.join(labels, "node", "left").withColumn(
@@ -308,59 +393,116 @@ def _blocks(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         split_join(entries, sums, ["shingle"])
         .withColumn("chunk", chunk)
         .withColumn("other", other)
-        .withColumn("tile", F.struct(F.least("chunk", "other"), F.greatest("chunk", "other")))
-        .select("shingle", "tile", "chunk", "node", "label", "n")
+        .select(
+            "shingle",
+            F.least("chunk", "other").alias("i"),
+            F.greatest("chunk", "other").alias("j"),
+            "chunk",
+            "node",
+            "n",
+        )
     )
 
 
-def _searched(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of all blocks, each pair once."""
-    rows = blocks.join(nodes.select("node", "bitmap"), "node")
+def _offered(pairs: Iterator[tuple[int, int, float]], most: int) -> tuple[set[tuple[int, int]], bool]:
+    """The ``most`` best pairs of each node, and whether there are others."""
+    best: dict[int, list[tuple[float, int, int]]] = {}
+    count = 0
+    for a, b, share in pairs:
+        count += 1
+        for node in (a, b):
+            own = best.setdefault(node, [])
+            own.append((share, a, b))
+            if len(own) > 4 * most:
+                own.sort(reverse=True)
+                del own[most:]
+    kept = {(a, b) for own in best.values() for _, a, b in sorted(own, reverse=True)[:most]}
+    return kept, len(kept) < count
+
+
+def _searched(
+    blocks: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, offers: int
+) -> DataFrame:
+    """Candidate pairs ``a, b`` that the nodes of all tiles offer, and rows ``shingle, i, j``
+    of the tiles that have more pairs than that."""
+    labelled = blocks.join(labels, "node", "left").withColumn(
+        "label", F.coalesce("component", F.col("node"))
+    )
+    rows = labelled.join(nodes.select("node", "bitmap"), "node")
 
-    def flush(same: int, chunks: dict[int, list]) -> Iterator[tuple[int, int]]:
+    def pairs_of(same: bool, chunks: dict[int, list]) -> Iterator[tuple[int, int, float]]:
         if same:
             for entries in chunks.values():
                 yield from candidates(entries, percent)
         elif len(chunks) == 2:
             first = {e[2] for e in chunks[min(chunks)]}
-            for a, b in candidates([e for c in chunks.values() for e in c], percent):
+            for a, b, share in candidates([e for c in chunks.values() for e in c], percent):
                 if (a in first) != (b in first):
-                    yield a, b
+                    yield a, b, share
 
     def search_tiles(batches):
         current, chunks, out = None, {}, []
 
+        def close():
+            if current is None or len({e[1] for c in chunks.values() for e in c}) < 2:
+                return
+            kept, more = _offered(pairs_of(current[1] == current[2], chunks), offers)
+            out.extend((a, b, None, None, None) for a, b in kept)
+            if more:
+                out.append((None, None, *current))
+
         def result():
-            columns = list(zip(*out, strict=True)) or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["a", "b", "shingle", "i", "j"])
 
         for batch in batches:
             names = ("shingle", "i", "j", "chunk", "node", "label", "n", "bitmap")
             columns = [batch.column(name).to_pylist() for name in names]
             for shingle, i, j, chunk, node, label, n, bitmap in zip(*columns, strict=True):
                 if (shingle, i, j) != current:
-                    if current:
-                        out.extend(flush(current[1] == current[2], chunks))
+                    close()
                     current, chunks = (shingle, i, j), {}
                     if len(out) > 50_000:
                         yield result()
                         out = []
                 entry = (n, label, node, int.from_bytes(bitmap, "little"))
                 chunks.setdefault(chunk, []).append(entry)
-        if current:
-            out.extend(flush(current[1] == current[2], chunks))
+        close()
         yield result()
 
     return (
-        rows.select("shingle", F.col("tile.*"), "chunk", "node", "label", "n", "bitmap")
-        .toDF("shingle", "i", "j", "chunk", "node", "label", "n", "bitmap")
+        rows.select("shingle", "i", "j", "chunk", "node", "label", "n", "bitmap")
         .repartition("shingle", "i", "j")
         .sortWithinPartitions("shingle", "i", "j")
-        .mapInArrow(search_tiles, "a long, b long")
-        .distinct()
+        .mapInArrow(search_tiles, "a long, b long, shingle long, i int, j int")
     )
 
 
+def _linked(nodes: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components of all nodes with a link, beginning with those that are tied."""
+    blocks = materialise(_blocks(nodes, labels, percent), "blocks")
+    open_blocks, rounds, new = blocks, 0, True
+    while True:
+        if new and rounds < ROUNDS:
+            found = materialise(_searched(open_blocks, labels, nodes, percent, OFFERS), "searched")
+            pairs = materialise(found.filter("a is not null").select("a", "b").distinct(), "pairs")
+            links = _verified(pairs, nodes, texts, size, percent)
+            rest = found.filter("a is null").select("shingle", "i", "j")
+        else:  # all that is not tied by now
+            links, rest = _compared(open_blocks, labels, nodes, texts, size, percent), None
+        links = materialise(links, "links")
+        new = not links.isEmpty()
+        if new:
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = materialise(components(known.unionByName(links)), "labels")
+        if rest is None or rest.isEmpty():
+            return labels
+        rounds += 1
+        open_blocks = split_join(blocks, rest, ["shingle", "i", "j"])
+
+
 def similar(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``.
 
@@ -424,11 +566,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     tied = _verified(_promising(_anchored(nodes, percent), nodes, percent), nodes, texts, size, percent)
     tied = materialise(tied, "tied")
     labels = materialise(components(tied), "labels")
-    blocks = _blocks(nodes, labels, percent)
-    pairs = materialise(_searched(blocks, nodes, percent), "pairs")
-    links = _verified(pairs, nodes, texts, size, percent)
-    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = components(known.unionByName(links))
+    groups = _linked(nodes, labels, texts, size, percent)
     named = split_join(
         filled.select("row", "doc_id", "text_hash", "digest", "digest2"), sets, ["digest", "digest2"]
     ).select("row", "doc_id", "text_hash", "node")

@@ -79,6 +79,7 @@ def test_jaccard_components(monkeypatch, corpus, size, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     if tile < 10:
         monkeypatch.setattr(jaccard, "MINIMA", 1)
+        monkeypatch.setattr(jaccard, "OFFERS", 1)
     rows = corpus.collect()
     sets = [shingles(r.text, size) for r in rows]
     found = components_of(sets, percent)
@@ -116,7 +117,7 @@ def test_signature_tree_loses_no_pair():
     for k, s in enumerate(sets):
         width = jaccard.width_of(len(s))
         entries.append((len(s), k, k, sum(1 << b for b in {(x * 2654435761 >> 7) % width for x in s})))
-    found = set(jaccard.candidates(entries, 85))
+    found = {(a, b) for a, b, _ in jaccard.candidates(entries, 85)}
     for i, a in enumerate(sets):
         for j in range(i + 1, len(sets)):
             if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
