@@ -32,7 +32,9 @@ class Store:
         """Resolve the newest version of every table, one row per table."""
         try:
             pointers = self.spark.read.schema(_POINTER).parquet(f"{self.root}/_pointer")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return  # nothing published yet
         newest = pointers.groupBy("name").agg(
             F.max_by(F.struct("version", "signature", "paths"), "version").alias("p")

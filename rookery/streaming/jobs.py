@@ -25,7 +25,9 @@ def _read_before(
     wide = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         found = spark.read.schema(wide).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # only an absent table is empty
+            raise
         found = spark.createDataFrame([], wide)
     return found.filter(F.col("batch_id") < batch_id).drop("batch_id")
 
