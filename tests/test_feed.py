@@ -150,6 +150,7 @@ def test_entries_of_a_feed(spark):
 def test_scalars(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
+    assert value(X.decode_entities(F.lit("&#0000000065;&#x000000000041;&#xD83D;"))) == "AA\ufffd"
     assert value(X.decode_entities(F.lit("&amp;#39; &amp;lt; &#x1F600; &#0x; &#99999999; &"))) == "' &lt; \U0001f600 &#0x; &#99999999; &"
     assert value(X.summarize_html(F.lit("<p> </p>"))) is None
     assert value(X.summarize_html(F.lit("<b>" + "x" * 300))) == "x" * 220
