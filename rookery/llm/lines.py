@@ -184,8 +184,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     )
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), hashed.alias("row"))
     keyed = docs.select("doc_id", "text", hashed.alias("row"))
-    drop = recurring(keyed)
-    found = split_join(_lines(keyed).select("row", "line_no", "line"), drop, ["line"]).filter(
+    drop = materialise(recurring(keyed), "recurring")
+    narrow = _likely(_lines(keyed).select("row", "line_no", "line"), drop)
+    found = split_join(narrow, drop, ["line"]).filter(
         F.col("row.hash") != F.col("first_row.hash")
     )
     # The numbers of a document's own dropped lines.
