@@ -29,9 +29,14 @@ FILTER_PAGES, _PAGE_BITS = 256, 32_768
 _SPACES = r"[ \t]+"
 
 
+def _single(line: Column) -> Column:
+    """The line with single blanks for runs of blanks and tabs, none at its ends."""
+    return F.trim(F.regexp_replace(line, _SPACES, " "))
+
+
 def _masked(line: Column) -> Column:
-    """The line with single blanks and tokens that hold digits as variable fields."""
-    single = F.regexp_replace(F.trim(line), _SPACES, " ")
+    """The single-blank line with tokens that hold digits as variable fields."""
+    single = _single(line)
     fields = F.regexp_replace(single, r"\S*[0-9]\S*", FIELD)
     return F.when(line.rlike("[0-9]"), fields).otherwise(single)
 
@@ -151,7 +156,7 @@ def _range() -> list[Column]:
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text`` of each row of ``docs``.
 
-    ``n_lines`` counts lines that are not blank; ``text`` has the others joined again
+    ``n_lines`` counts lines that hold more than blanks and tabs; ``text`` has the others joined again
     and is null where it was null. The first document of a template is the one with
     the least ``doc_id`` (null last, rows with one id by the text's hash); rows with the
     same text are one document and keep the same lines. Blank lines stay. Other columns are not
@@ -196,7 +201,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
     joined = F.array_join(F.transform(kept, lambda k: F.get(F.col("lines"), k)), "\n")
-    filled = F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")) != ""))
+    filled = F.size(F.filter(lines, lambda x: _single(x) != ""))
     return packed.join(dropped, "row", "left").withColumn("lines", lines).select(
         "doc",
         F.when(text.isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),

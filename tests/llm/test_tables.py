@@ -217,6 +217,17 @@ def test_recurring_lines_and_templates_go(spark):
     assert lines.kept_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_tabs_only_are_blank(spark):
+    rows = [
+        (1, "one\n\t\ntwo\n \t \nthree\n\t"), (2, "four\n\t\nfive\n \t \nsix\n\t"),
+        (3, "\tcommon line"), (4, "common\tline \t\n\t"),
+    ]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in lines.kept_lines(docs).collect())
+    assert got == [(1, 3, 0, rows[0][1]), (2, 3, 0, rows[1][1]), (3, 1, 0, rows[2][1]), (4, 1, 1, "\t")]
+    assert sorted(r.doc_id for r in lines.cleaned(docs).collect()) == [1, 2, 3]
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
