@@ -3,7 +3,8 @@
 A line is parsed to a fixed depth: number of tokens, then its first tokens, with
 tokens that hold digits as variable fields. Lines that reach one leaf from several
 documents are generalised: a token that occurs at its place in one document only is
-a variable field too. Lines whose remaining constant tokens are many enough and
+a variable field too. Lines that are equal but for digits recur if their constant tokens
+are many enough, identical lines always. Lines whose remaining constant tokens are many enough and
 equal share a template; a template that recurs is kept in its first document and
 dropped from all others. Documents with the same whole text count as one here, so
 copies keep their lines and are left to the deduplication of documents. Built-in
@@ -42,25 +43,32 @@ def _masked(line: Column) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """Lines that are not blank, as hashes: ``row, doc_id, line_no, masked`` and the
-    leaf that parsing reaches."""
+    """Lines that are not blank, as hashes: ``row, doc_id, line_no, masked``, the leaf that
+    parsing reaches, ``shape`` (of the masked line) and ``line``, by which lines are equal:
+    of the masked line if enough of its tokens are constant, of the line itself if not."""
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masked = lines.select("row", "doc_id", "line_no", _masked(F.col("line")).alias("masked"))
+    masked = lines.select(
+        "row", "doc_id", "line_no", _single(F.col("line")).alias("single"), _masked(F.col("line")).alias("masked")
+    )
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    padded = F.concat(F.lit(" "), F.replace("masked", F.lit(" "), F.lit("  ")), F.lit(" "))
+    fields = (F.length(padded) - F.length(F.replace(padded, F.lit(f" {FIELD} "), F.lit("")))) / (len(FIELD) + 2)
+    few = F.col("masked").contains(FIELD) & ((tokens - fields) / tokens < CONSTANT)
     return masked.filter("masked <> ''").select(
         "row",
         "doc_id",
         "line_no",
         "masked",
         tokens.alias("tokens"),
-        F.xxhash64("masked").alias("line"),
+        F.xxhash64("masked").alias("shape"),
+        F.xxhash64(F.when(few, F.col("single")).otherwise(F.col("masked"))).alias("line"),
         F.xxhash64(tokens, F.substring_index("masked", " ", DEPTH)).alias("leaf"),
     )
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """``line, first_row``: every line (by the hash of its masked text) of a template
-    that several rows share, and the first of these rows.
+    """``line, first_row``: every line (by the hash that ``_lines`` gives it) that several
+    rows hold or whose template they share, and the first of these rows.
 
     ``rows`` has ``row`` (an order of the documents), ``doc_id`` and ``text``.
     """
@@ -68,7 +76,7 @@ def recurring(rows: DataFrame) -> DataFrame:
     # Per distinct line its first document and the range of text hashes it occurs in, which
     # is a single value if no other text has it; summed before the shuffle.
     each = materialise(
-        lines.groupBy("leaf", "line", "tokens").agg(
+        lines.groupBy("leaf", "shape", "line", "tokens").agg(
             F.min("row").alias("first_row"), F.min("row.hash").alias("low"), F.max("row.hash").alias("high")
         ),
         "lines",
@@ -78,14 +86,20 @@ def recurring(rows: DataFrame) -> DataFrame:
     mixed = (
         each.filter(F.col("tokens") >= LEAST_TOKENS)
         .groupBy("leaf")
-        .agg(F.count("*").alias("n"), *_range())
-        .filter("n > 1 and low < high")
+        .agg(F.min("shape").alias("least"), F.max("shape").alias("most"), *_range())
+        .filter("least < most and low < high")
         .select("leaf")
     )
-    asked = materialise(split_join(each, mixed, ["leaf"]).drop("tokens"), "leaves")
+    # Lines of one shape are one line here; templates reach the share with ``line`` = ``shape`` only.
+    asked = materialise(
+        split_join(each, mixed, ["leaf"])
+        .groupBy("leaf", F.col("shape").alias("line"))
+        .agg(F.min("first_row").alias("first_row"), *_range()),
+        "leaves",
+    )
     # The texts of these lines only; most others are left out before the shuffle.
     texts = (
-        _likely(lines.select("line", F.col("row").alias("first_row"), "masked"), asked)
+        _likely(lines.select(F.col("shape").alias("line"), F.col("row").alias("first_row"), "masked"), asked)
         .join(asked.select("line", "first_row"), ["line", "first_row"])
         .dropDuplicates(["line"])
         .drop("first_row")

@@ -228,6 +228,19 @@ def test_lines_of_tabs_only_are_blank(spark):
     assert sorted(r.doc_id for r in lines.cleaned(docs).collect()) == [1, 2, 3]
 
 
+def test_lines_of_fields_recur_only_if_identical(spark):
+    rows = [
+        (1, "3.1 2.7\n12 40\nhttp://a.example/1"), (2, "5.5 0.1\n13 41\nhttp://a.example/2"),
+        (3, "\u6771\u4eac\u306f2020\u5e74"), (4, "\u5927\u962a\u306f1970\u5e74"), (5, "5.5  0.1\nhttp://a.example/1\nPage 7"),
+        (6, "shown on the page 8"), (7, "shown on the page 9\nPage 8"),
+        (8, "1 2 3 4 5 6 7"), (9, "2 3 4 5 6 7 8\n1 2 3 4 5 6 x"),
+    ]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lines.kept_lines(docs).collect()}
+    assert got == {k: (0, t) for k, t in rows} | {5: (2, "Page 7"), 7: (1, "Page 8")}
+    assert lines.cleaned(docs).count() == len(rows)
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
