@@ -33,6 +33,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _HIDDEN = set(
     "script style noscript template textarea select option button iframe svg head object".split()
 )
+#: Hidden elements whose tags inside are text.
+_RAW = set("script style textarea iframe".split())
 _BLOCKS = set(
     "html body address article aside blockquote center details dialog dd dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p "
@@ -41,7 +43,10 @@ _BLOCKS = set(
 _CLOSES_P = _BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 _SAME_CLOSES = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"},
-    "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "td": {"td", "th"}, "th": {"td", "th"},
+}
+_HIDDEN_CLOSES = {
+    "option": {"option"}, "optgroup": {"option", "optgroup"}, "select": {"select"}, "button": {"button"},
 }
 _LIMITS = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "main", "aside"}
 _WORDS = re.compile(r"[a-z]+")
@@ -86,10 +91,16 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.hidden:
-            if tag in _HIDDEN and tag not in _VOID:
+            if self.open[-1][0] in _RAW or tag in _VOID:
+                return
+            if tag in _HIDDEN_CLOSES:
+                self._close_until(_HIDDEN_CLOSES[tag], _LIMITS)
+            # What is still hidden is kept open too, so that its end tags find it.
+            if self.hidden:
                 self.open.append((tag, self.open[-1][1]))
-                self.hidden += 1
-            return
+                self.hidden += tag in _HIDDEN and tag != "head"
+                self.links += tag == "a"
+                return
         if tag == "body" or tag not in ("html", "head") and self.open[-1][0] == "head":
             self._close_until({"head"}, set())
         if tag in _HIDDEN:
@@ -139,7 +150,7 @@ class _Builder(HTMLParser):
             if self.open[k][0] == tag:
                 self._close_from(k)
                 return
-            if self.hidden and self.open[k][0] in _HIDDEN:
+            if self.open[k][0] in _RAW:
                 return
 
     def handle_data(self, data):

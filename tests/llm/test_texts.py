@@ -175,6 +175,27 @@ def test_main_text(spark, model):
     assert len(got) == 6
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "<form><select><option>One<option>Two</select></form>",
+        "<form><select><optgroup><option>One<optgroup><option>Two</form>",
+        "<datalist><option>One<option>Two</datalist>",
+        "<div><button>One<button>Two</div>",
+        "<form><select><option>One<select><option>Two</select></form>",
+        "<noscript><div><a>One</div></noscript><svg><g><path/><text>Two</text></svg>",
+        "<div><template><p>One<p>Two</template></div>",
+        "<textarea></div><select><option></textarea><script>'</div><select>'</script>",
+    ],
+)
+def test_text_after_hidden_elements_stays(hidden):
+    nodes = html_text.tree(f"<body><div>{hidden}<p>Before it</p></div><p>And after</p></body>")
+    texts = [n for n in nodes if not n.tag]
+    assert [n.text for n in texts] == ["Before it", "And after"] and not any(n.linked for n in texts)
+    tops = [nodes[nodes[n.parent].parent].tag for n in texts]
+    assert tops == ["div", "body"]
+
+
 def test_main_text_of_labelled_pages_held_out():
     pages = [(n, html_text._states(n, True)) for n in map(html_text.tree, html_text.labelled_pages())]
     model = html_text.fit(pages[::2])
