@@ -299,6 +299,41 @@ def test_fingerprints_against_brute_force(spark, corpus):
     assert simhash.edited_fingerprints(corpus.limit(0)).count() == 0
 
 
+def test_near_copies_are_found(spark):
+    rng, words = random.Random(5), [f"word{k}" for k in range(900)]
+    rows, likes = [], {}
+    for k in range(40):
+        a = [rng.choice(words) for _ in range(300)]
+        b = list(a)
+        for at in rng.sample(range(300), 5):
+            b[at] = rng.choice(words)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        one, two = shingles(rows[-2][1], 5), shingles(rows[-1][1], 5)
+        likes[2 * k] = len(one & two) / len(one | two)
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_near for r in simhash.edited_fingerprints(docs, every=2).collect()}
+    alike = [k for k, j in likes.items() if j >= 0.8]
+    assert len(alike) >= 20 and sum(got[k] == 1 for k in alike) >= 0.9 * len(alike)
+    assert all(got[k] in (0, 1) for k in likes)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 12, 16])
+def test_near_against_all_pairs(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(5)]
+    all_bits = base + [b ^ sum(1 << k for k in rng.sample(range(128), n)) for b in base for n in range(1, 22)]
+    signed = [tuple(simhash._signed(v) for v in (x & (1 << 64) - 1, x >> 64)) for x in all_bits]
+    df = prepared(spark).createDataFrame(signed, "low long, high long")
+    got = sorted(tuple(r) for r in simhash.near(df.limit(60), df, radius).collect())
+    want = sorted(
+        (*a, *b, (x ^ y).bit_count())
+        for a, x in list(zip(signed, all_bits, strict=True))[:60]
+        for b, y in zip(signed, all_bits, strict=True)
+        if (x ^ y).bit_count() <= radius
+    )
+    assert got == want
+
+
 def test_votes_are_those_of_every_bit(spark):
     rows = [(1, "alpha beta beta gamma delta")]
     df = prepared(spark).createDataFrame(rows, "k long, text string")
