@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rookery.llm import (
     bpe,
     chat,
+    collocations,
     html_text,
     jaccard,
     lines,
@@ -304,3 +305,56 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(prepared(spark), sf_dir, "pages")
     found = html_text.extracted(pages, html_text.trained(pages))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+_PHRASES_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, unnest(w) as phrase from worded
+  union all
+  select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+  union all
+  select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  from worded),
+counts as materialized (select lang, phrase, count(*) as f from grams group by lang, phrase),
+totals as (select lang, sum(len(w)) as n from worded group by lang),
+cands as (
+  select lang, phrase, f as a, string_split(phrase, ' ') as w from counts
+  where f >= 10 and contains(phrase, ' ')),
+cuts as (
+  select lang, phrase, a, w, unnest(range(1, len(w))) as k from cands),
+parts as materialized (
+  select lang, phrase, a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:len(w)], ' ') as y
+  from cuts),
+scored as (
+  select p.lang, p.phrase, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score
+  from parts p
+  join counts l on l.lang = p.lang and l.phrase = p.x
+  join counts r on r.lang = p.lang and r.phrase = p.y),
+best as (
+  select * from (
+    select *, row_number() over (partition by lang, phrase order by score, k) as place from scored)
+  where place = 1),
+inside as (
+  select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase
+  from cands where len(w) = 3),
+dropped as (
+  select distinct i.lang, i.phrase from inside i
+  join cands c on c.lang = i.lang and c.phrase = i.phrase and 100 * i.a >= 50 * c.a),
+ranked as (
+  select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from best b anti join dropped using (lang, phrase))
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query(_PHRASES_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return collocations.mined(read(prepared(spark), sf_dir, "documents"))
