@@ -22,6 +22,7 @@ from rookery.llm import (
     quality,
     simhash,
     warc,
+    whitening,
 )
 from rookery.llm.common import documents, prepared
 from rookery.sources.tables import read
@@ -358,3 +359,9 @@ from ranked join totals using (lang) where rank <= 2000
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of every language."""
     return collocations.mined(read(prepared(spark), sf_dir, "documents"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on their four leading components, to unit variance."""
+    return whitening.whitened(read(prepared(spark), sf_dir, "embeddings")).drop("deviation_exact")
