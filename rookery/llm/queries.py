@@ -18,6 +18,7 @@ from rookery.llm import (
     jaccard,
     lines,
     media,
+    minhash,
     mixing,
     quality,
     simhash,
@@ -224,6 +225,20 @@ from documents d left join sets s using (doc_id) left join reps r on s.k = r.k l
 """
 
 
+# The same components for shingles of five words, and whether a document names its own.
+_MINHASH_SQL = (
+    _JACCARD_SQL.replace("len(w) < 4", "len(w) < 5")
+    .replace("range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3]", "range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4]")
+    .replace("as component_id\nfrom documents d", "as component_id,\n  coalesce(c.component_id, d.doc_id) is not distinct from d.doc_id as kept\nfrom documents d")
+)
+
+
+@query(_MINHASH_SQL)
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates by shingles of five words, and which documents stay."""
+    return minhash.deduplicated(documents(spark, sf_dir))
+
+
 @query(_JACCARD_SQL)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard similarity of four-word shingles."""
