@@ -3,20 +3,24 @@
 A rule is JSON text: leaves compare one field, groups combine with and / or and
 may invert. The rules of one viewer are parsed on the driver, compiled to Columns
 and evaluated inside the scan. For all viewers at once rule texts are data, of any
-number: they meet the activity of the accounts that their viewers follow, and are
-evaluated per Arrow batch.
+number: they meet the activity of the accounts that their viewers follow in blocks, in
+which an index over their distinct leaves tries each leaf once per row.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
+import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,57 +207,212 @@ def held_rules(rules: DataFrame) -> DataFrame:
     return texts.withColumn("rule_id", F.xxhash64("rule_text"))
 
 
+#: Rows, and rules, that one task tries together.
+BLOCK_ROWS, BLOCK_RULES = 4096, 4096
+
+
 def with_hits(activity: DataFrame, asked: DataFrame) -> DataFrame:
     """Add ``hits``: ids of the rules that are TRUE on the row.
 
     ``asked``: distinct (actor_key, rule_text, rule_id), the rules to be tried on an
-    actor's rows. Only rule fields travel to the evaluation; the hits of a row are one
-    array before any viewer is joined.
+    actor's rows. Rows and rules of an actor meet in blocks of bounded size: a row's
+    fields travel once for ``BLOCK_RULES`` rules, a rule's text once for ``BLOCK_ROWS``
+    rows, and no pair of both is ever a row. The hits of a row are one array before any
+    viewer is joined.
     """
     fields = activity_fields(activity)
     narrow = activity.select("activity_id", "actor_key", *[fields[f].alias(f) for f in _FIELD_ORDER])
-    # Sorted by rule, an Arrow batch holds few rules.
-    tried = split_join(narrow, asked, ["actor_key"]).sortWithinPartitions("rule_id")
-    hit = rule_is_true(F.col("rule_text"), {f: F.col(f) for f in _FIELD_ORDER})
-    hits = (
-        tried.select("activity_id", "rule_id", hit.alias("_hit"))
-        .filter("_hit")
-        .groupBy("activity_id")
-        .agg(F.array_sort(F.collect_set("rule_id")).alias("hits"))
+    chunks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    n_rows = activity.groupBy("actor_key").agg(F.count("*").alias("n"))
+    n_rules = asked.groupBy("actor_key").agg(F.count("*").alias("m"))
+    sizes = n_rows.join(n_rules, "actor_key").select(
+        "actor_key", chunks("n", BLOCK_ROWS).alias("across"), chunks("m", BLOCK_RULES).alias("down")
+    )
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = (
+        split_join(narrow, sizes, ["actor_key"])
+        .withColumn("i", part("activity_id", "across"))
+        .withColumn("j", each("down"))
+    )
+    texts = (
+        split_join(asked, sizes, ["actor_key"])
+        .withColumn("j", part("rule_id", "down"))
+        .withColumn("i", each("across"))
     )
+    both = texts.select("actor_key", "i", "j", "rule_id", "rule_text").unionByName(
+        rows.select("actor_key", "i", "j", "activity_id", *_FIELD_ORDER), allowMissingColumns=True
+    )
+    found = (
+        both.select("actor_key", "i", "j", "rule_id", "rule_text", "activity_id", *_FIELD_ORDER)
+        .repartition("actor_key", "i", "j")
+        .sortWithinPartitions("actor_key", "i", "j", F.desc_nulls_last("rule_id"))
+        .mapInArrow(_tried, "activity_id string, hits array<long>")
+    )
+    hits = found.groupBy("activity_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     none = F.array().cast("array<bigint>")
     return activity.join(hits, "activity_id", "left").withColumn("hits", F.coalesce("hits", none))
 
 
-def _evaluate(node: dict[str, Any], rows: pd.DataFrame) -> pd.Series:
-    """One group over one batch with three-valued booleans."""
-
-    def leaf(n: dict[str, Any]) -> pd.Series:
-        column, name = rows[n["path"][0]], n["name"]
-        missing = column.isna()
+def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rules followed by rows, as sorted by ``with_hits``; rows with their hits."""
+    parse = functools.lru_cache(maxsize=4096)(parse_rule)
+    current: tuple | None = None
+    rules: list[tuple[int, dict[str, Any]]] = []
+    index: LeafIndex | None = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        ids, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        start = 0
+        while start < len(keys):
+            if keys[start] != current:
+                current, rules, index = keys[start], [], None
+            stop = start
+            while stop < len(keys) and keys[stop] == current and (ids[stop] is None) == (ids[start] is None):
+                stop += 1
+            if ids[start] is not None:
+                parsed = ((ids[k], parse(texts[k])) for k in range(start, stop))
+                rules += [(rule, tree) for rule, tree in parsed if tree is not None]
+                index = None
+            elif rules:
+                index = index or LeafIndex(tree for _, tree in rules)
+                part = batch.slice(start, stop - start)
+                tried = Trial(index, {f: part.column(6 + k) for k, f in enumerate(_FIELD_ORDER)})
+                yield _hits_of(part.column(5), [(rule, tried.rows(tree)) for rule, tree in rules])
+            start = stop
+
+
+def _hits_of(ids: pa.Array, hits: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows with at least one hit, and the rules that hit them."""
+    at = np.concatenate([np.empty(0, np.int64), *(rows for _, rows in hits)])
+    rules = np.repeat(np.array([rule for rule, _ in hits], np.int64), [len(rows) for _, rows in hits])
+    order = np.argsort(at, kind="stable")
+    rows, first = np.unique(at[order], return_index=True)
+    borders = np.append(first, len(at)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(rules[order]))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), lists], ["activity_id", "hits"])
+
+
+_NO_ROWS = np.empty(0, np.int64)
+
+
+class LeafIndex:
+    """The distinct leaves of rules, arranged so that a batch meets each of them once:
+    values asked for equality in a table per field, texts searched in lower-case fields
+    in one automaton per field."""
+
+    def __init__(self, trees: Iterable[dict[str, Any]]):
+        self.equal: dict[str, set[str]] = {}
+        self.texts: dict[str, set[str]] = {}
+        stack = list(trees)
+        while stack:
+            node = stack.pop()
+            if node["type"] == "FilterGroup":
+                stack += node["conditions"]
+            elif node["name"] in ("equals", "notEqual"):
+                self.equal.setdefault(node["path"][0], set()).add(node["args"][0])
+            elif node["name"] in VALUE_OPERATORS:
+                self.texts.setdefault(node["path"][0], set()).add(node["args"][0].lower())
+        self.automata = {field: _automaton(texts) for field, texts in self.texts.items()}
+
+
+def _automaton(texts: Iterable[str]) -> ahocorasick.Automaton | None:
+    found = ahocorasick.Automaton()
+    for text in texts:
+        if text:
+            found.add_word(text, text)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
+
+
+class Trial:
+    """One batch of rows tried on an index: for every leaf the rows on which it is TRUE.
+
+    Negations lie on leaves only, once a rule's inversions are pushed down; on such a
+    form a rule is TRUE where its formula holds over the leaves that are TRUE, whatever
+    is NULL elsewhere. Groups narrow the rows from their rarest part."""
+
+    def __init__(self, index: LeafIndex, columns: Mapping[str, pa.Array]):
+        self.columns = columns
+        self.all = np.arange(len(next(iter(columns.values()))))
+        self.known = {f: np.flatnonzero(c.is_valid().to_numpy(zero_copy_only=False)) for f, c in columns.items()}
+        self.equal: dict[tuple[str, str], np.ndarray] = {}
+        for field, values in index.equal.items():
+            asked = sorted(values)
+            place = pc.index_in(columns[field], pa.array(asked, pa.string()))
+            place = pc.fill_null(place, len(asked)).to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")
+            borders = np.searchsorted(place[order], np.arange(len(asked) + 1))
+            for k, value in enumerate(asked):
+                self.equal[field, value] = np.sort(order[borders[k] : borders[k + 1]])
+        self.searched: dict[tuple[str, str, str], list[int]] = {}
+        for field, automaton in index.automata.items():
+            if automaton is not None:
+                self._search(field, automaton)
+
+    def _search(self, field: str, automaton: ahocorasick.Automaton) -> None:
+        """All places of all texts in one pass over a field."""
+        for row, value in enumerate(self.columns[field].to_pylist()):
+            if value is None:
+                continue
+            lower = value.lower()
+            for end, text in automaton.iter(lower):
+                verbs = ["contains"]
+                if end + 1 == len(text):
+                    verbs.append("startswith")
+                if end + 1 == len(lower):
+                    verbs.append("endswith")
+                for verb in verbs:
+                    rows = self.searched.setdefault((field, verb, text), [])
+                    if not rows or rows[-1] != row:
+                        rows.append(row)
+
+    def _positive(self, node: dict[str, Any]) -> np.ndarray:
+        """Rows on which the leaf is TRUE without its own negation."""
+        field, name = node["path"][0], node["name"]
         if name in PRESENCE_OPERATORS:
-            empty = (missing | (column == "")).astype("boolean")
-            return empty if name == "isEmpty" else ~empty
-        target = n["args"][0]
+            empty = pc.fill_null(pc.equal(self.columns[field], ""), True)
+            return np.flatnonzero(empty.to_numpy(zero_copy_only=False))
+        target = node["args"][0]
         if isinstance(target, Instant):
-            hit = column < target.ms if name == "before" else column > target.ms
-        elif name in ("equals", "notEqual"):
-            hit = column == target
-        else:
-            folded = column.fillna("").str.lower()
-            verb = name.removeprefix("not").lower()
-            test = {"contains": str.__contains__, "startswith": str.startswith, "endswith": str.endswith}
-            hit = folded.map(lambda v: test[verb](v, target.lower()))
-        hit = hit.astype("boolean").mask(missing)
-        return ~hit if name.startswith("not") else hit
-
-    parts = []
-    for child in node["conditions"]:
-        part = leaf(child) if child["type"] == "Filter" else _evaluate(child, rows)
-        parts.append(~part if child.get("invert") else part)
-    combine = (lambda a, b: a | b) if node["op"] == "or" else (lambda a, b: a & b)
-    whole = functools.reduce(combine, parts)
-    return ~whole if node.get("invert") else whole
+            compare = pc.less if name == "before" else pc.greater
+            hit = pc.fill_null(compare(self.columns[field], target.ms), False)
+            return np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+        if name in ("equals", "notEqual"):
+            return self.equal[field, target]
+        text = target.lower()
+        if not text:
+            return self.known[field]
+        verb = name.removeprefix("not").lower()
+        return np.array(self.searched.get((field, verb, text), _NO_ROWS), np.int64)
+
+    def _leaf(self, node: dict[str, Any], inverted: bool) -> np.ndarray:
+        name = node["name"]
+        negated = inverted != (name.startswith("not") or name == "isNotEmpty")
+        found = self._positive(node)
+        if not negated:
+            return found
+        known = self.all if name in PRESENCE_OPERATORS else self.known[node["path"][0]]
+        return np.setdiff1d(known, found, assume_unique=True)
+
+    def rows(self, tree: dict[str, Any], inverted: bool = False) -> np.ndarray:
+        """The rows on which a rule is TRUE, rising."""
+        inverted ^= bool(tree.get("invert"))
+        parts = []
+        for child in tree["conditions"]:
+            if child["type"] == "Filter":
+                parts.append(self._leaf(child, inverted ^ bool(child.get("invert"))))
+            else:  # a nested group's own inversion counts twice
+                parts.append(self.rows(child, inverted ^ bool(child.get("invert"))))
+        if (tree["op"] == "or") != inverted:
+            return np.unique(np.concatenate(parts))
+        parts.sort(key=len)
+        whole = parts[0]
+        for other in parts[1:]:
+            whole = np.intersect1d(whole, other, assume_unique=True)
+        return whole
 
 
 _FIELD_ORDER = (*STRING_FIELDS, DATE_FIELD)
@@ -269,13 +428,14 @@ def rule_is_true(rule_text: Column, fields: Mapping[str, Column]) -> Column:
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         parse = functools.lru_cache(maxsize=4096)(parse_rule)
         for texts, *columns in batches:
-            rows = pd.concat(columns, axis=1, keys=_FIELD_ORDER)
-            result = pd.Series(False, index=texts.index)
-            for text, at in texts.groupby(texts).groups.items():
-                tree = parse(text)
-                if tree is not None:
-                    result.loc[at] = _evaluate(tree, rows.loc[at]).fillna(False).astype(bool)
-            yield result
+            kinds = [pa.string()] * len(STRING_FIELDS) + [pa.int64()]
+            fields = [pa.array(c, k, from_pandas=True) for c, k in zip(columns, kinds, strict=True)]
+            result = np.zeros(len(texts), bool)
+            for text, at in texts.groupby(texts).indices.items():
+                if (tree := parse(text)) is not None:
+                    own = {f: c.take(pa.array(at)) for f, c in zip(_FIELD_ORDER, fields, strict=True)}
+                    result[at[Trial(LeafIndex([tree]), own).rows(tree)]] = True
+            yield pd.Series(result)
 
     return run(rule_text, *[fields[f] for f in _FIELD_ORDER])
 

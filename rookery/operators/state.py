@@ -208,7 +208,7 @@ def rule_conditions(rules: DataFrame) -> DataFrame:
     )
 
 
-def merge_rules(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+def merge_conditions(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """Verdict per rule when its conditions are merged by id: (parent, status, n_items)."""
     sides = [rule_conditions(df).select("item", "condition") for df in (base, local, remote)]
     merged = three_way_merge(*sides, "item", ["condition"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators import fold, ingest, projection, state
+from rookery.operators import fold, ingest, merge, projection, state
 from rookery.operators import rules as R
 from rookery.plans.catalog import query
 from rookery.plans.retention_queries import state_log
@@ -249,8 +249,8 @@ def merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
      cast(case when event_id % 3 <> 0 and event_id % 2 <> 0 then 0 else 1 end + case when event_id % 5 <> 0 then 1 else 0 end
       + case when event_id % 4 = 1 then 1 else 0 end as bigint) as n_items from events"""
 )
-def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three versions of every rule, merged condition by condition."""
+def merge_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on three versions of every rule, top-level condition by condition."""
     events, n = T.read(spark, sf_dir, "events"), F.col("event_id")
 
     def side(*conditions) -> DataFrame:
@@ -261,7 +261,7 @@ def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(f'{{"id":"{name}","args":['), value.cast("string"), F.lit("]}"))
 
     zero = F.lit(0)
-    return state.merge_rules(
+    return state.merge_conditions(
         side(condition("c1", zero), condition("c2", zero)),
         side(
             condition("c1", n % 3), condition("c2", zero), F.when(n % 4 == 1, condition("c3", zero))
@@ -270,6 +270,72 @@ def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Three versions of a rule for every turn, whose texts hold what was said. The edits
+# are told by the length of the text and the turn; LOCAL and REMOTE write keys apart.
+T.VIEW_SQL["edited"] = """
+ select concat(conv_id, '-', turn) as rule_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') as word, coalesce(role, '') as role,
+  n % 3 = 0 as l1, n % 4 = 1 as l2, turn % 5 = 2 as l3, n % 2 = 0 as l4, turn % 11 = 7 as gone,
+  n % 6 = 0 as r1, n % 5 = 0 as r2, turn % 7 = 3 as r3, n % 7 = 0 as r4
+ from (select *, length(coalesce(text, '')) as n from conversations)"""
+
+
+def _rule_versions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Base, local and remote: (rule_id, rule_text)."""
+    turn, n = F.col("turn"), F.length(F.coalesce("text", F.lit("")))
+    said = T.read(spark, sf_dir, "conversations").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("rule_id"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "").alias("word"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        *((n % k == v).alias(c) for c, k, v in [("l1", 3, 0), ("l2", 4, 1), ("l4", 2, 0), ("r1", 6, 0), ("r2", 5, 0), ("r4", 7, 0)]),
+        *((turn % k == v).alias(c) for c, k, v in [("l3", 5, 2), ("gone", 11, 7), ("r3", 7, 3)]),
+    )
+
+    def text(mark, name, inner, extra, second, third, head="") -> Column:
+        first = F.concat(F.lit('{"id": "c1", "type": "Filter", "path": ["title"], "name": "contains", "args": ["'), "word", mark, F.lit('"]}'))
+        other = F.concat(F.lit('{"type": "Filter", "id": "c2", "path": ["type"], "name": "'), name, F.lit('", "args": ["'), "role", F.lit('"]}'))
+        nested = F.concat(
+            F.lit('{"type": "FilterGroup", "id": "g", "op": "'), inner, F.lit('", "conditions": ['), extra, F.lit("]}")
+        )
+        items = F.concat_ws(", ", first, F.when(second, other), F.when(third, nested))
+        return F.concat(F.lit("{" + head + '"type": "FilterGroup", "id": "root", "conditions": ['), items, F.lit(']' + ("" if head else ', "op": "and"') + "}"))
+
+    def inner(invert: Column, more: Column) -> Column:
+        n1 = F.concat(F.lit('{"id": "n1", "type": "Filter", "path": ["repo"], "name": "startsWith", "args": ["a"]'), F.when(invert, F.lit(', "invert": true')).otherwise(F.lit("")), F.lit("}"))
+        n2 = F.lit('{"id": "n2", "type": "Filter", "path": ["repo"], "name": "endsWith", "args": ["b"]}')
+        x = F.lit('{"args": [], "id": "x", "type": "Filter", "path": ["summary"], "name": "isEmpty"}')
+        return F.concat_ws(",", n1, n2, F.when(more, x))
+
+    no, yes, empty, op = F.lit(False), F.lit(True), F.lit(""), F.lit("or")
+    equals, c = F.lit("equals"), F.col
+    base = text(empty, equals, op, inner(no, no), yes, yes)
+    local = text(F.when(c("l1"), " x").otherwise(""), equals, F.when(c("l2"), "and").otherwise("or"), inner(no, c("l4")), ~c("l3"), yes, '"op": "and", ')
+    remote = text(F.when(c("r1"), " y").otherwise(""), F.when(c("r4"), "notEqual").otherwise("equals"), op, inner(c("r2"), no), yes, ~c("r3"))
+    return [
+        said.select("rule_id", base.alias("rule_text")),
+        said.filter(~c("gone")).select("rule_id", local.alias("rule_text")),
+        said.select("rule_id", remote.alias("rule_text")),
+    ]
+
+
+@query(
+    """select rule_id, case when n_conflicts > 0 then 'conflict' when gone then 'deleted' else 'merged' end as status, cast(n_conflicts as bigint) as n_conflicts,
+     case when n_conflicts = 0 and not gone then concat('{"conditions":[{"args":["', word, case when l1 then ' x' when r1 then ' y' else '' end,
+      '"],"id":"c1","name":"contains","path":["title"],"type":"Filter"}',
+      case when l3 then '' else concat(',{"args":["', role, '"],"id":"c2","name":"', case when r4 then 'notEqual' else 'equals' end, '","path":["type"],"type":"Filter"}') end,
+      case when r3 then '' else concat(',{"conditions":[{"args":["a"],"id":"n1",', case when r2 then '"invert":true,' else '' end, '"name":"startsWith","path":["repo"],"type":"Filter"}',
+       ',{"args":["b"],"id":"n2","name":"endsWith","path":["repo"],"type":"Filter"}',
+       case when l4 then ',{"args":[],"id":"x","name":"isEmpty","path":["summary"],"type":"Filter"}' else '' end,
+       '],"id":"g","op":"', case when l2 then 'and' else 'or' end, '","type":"FilterGroup"}') end,
+      '],"id":"root","op":"and","type":"FilterGroup"}') end as rule_text
+    from (select *, case when gone then case when r1 or r2 or r3 or r4 then 1 else 0 end
+      else cast(l1 and r1 as integer) + cast(l3 and r4 as integer) + cast(r3 and (l2 or l4) as integer) end as n_conflicts from edited)"""
+)
+def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a rule for every turn of a conversation, merged node by node."""
+    merged = merge.merge_rules(*_rule_versions(spark, sf_dir))
+    return merged.select("rule_id", "status", F.size("conflicts").cast("long").alias("n_conflicts"), "rule_text")
+
+
 T.VIEW_SQL["outbox"] = "select user_id as entity_id, event_id as local_sequence, concat('t', event_id) as attempt_id, event_id % 9 as base_version from events"
 T.VIEW_SQL["conflict_at"] = "select user_id as entity_id, max(event_id) as at_sequence from events where event_id % 4 = 0 and user_id % 3 = 0 group by user_id"
 

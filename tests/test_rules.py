@@ -138,6 +138,43 @@ def test_compiled_and_batch_evaluation_agree(spark, activity):
     assert expected
 
 
+@pytest.mark.parametrize(("rows_each", "rules_each"), [(4096, 4096), (1, 7)])
+def test_index_over_many_rules_agrees_with_columns(spark, activity, monkeypatch, rows_each, rules_each):
+    """Every rule on the rows of its actors, in one block and in many; a hot actor, rows
+    of actors without rules, equal leaves in many rules, and broken texts."""
+    monkeypatch.setattr(R, "BLOCK_ROWS", rows_each)
+    monkeypatch.setattr(R, "BLOCK_RULES", rules_each)
+    rng = random.Random(9)
+    texts = [json.dumps(random_group(rng, 2)) for _ in range(40)] + ["{broken"]
+    keyed = activity.withColumn("actor_key", F.col("actor_login"))
+    again = keyed.withColumn("activity_id", F.concat("activity_id", F.lit("-again")))
+    keyed = keyed.unionByName(again).unionByName(
+        again.limit(1).withColumns({"actor_key": F.lit("nobody"), "activity_id": F.lit("x")})
+    )
+    actors = [r[0] for r in activity.select("actor_login").distinct().collect()]
+    held = [(a, t, k) for a in actors for k, t in enumerate(texts) if (k + len(a)) % 3]
+    asked = spark.createDataFrame(held, "actor_key string, rule_text string, rule_id long")
+    got = {r.activity_id: set(r.hits) for r in R.with_hits(keyed, asked).collect()}
+    want = {r.activity_id: set() for r in keyed.select("activity_id").collect()}
+    fields = R.activity_fields(keyed)
+    for k, text in enumerate(texts):
+        if (test := R.compile_rule(text, fields)) is not None:
+            for r in keyed.filter(test).select("activity_id", "actor_key").collect():
+                if (r.actor_key, text, k) in held:
+                    want[r.activity_id].add(k)
+    assert got == want and any(want.values())
+
+
+def test_no_pair_of_row_and_rule_in_the_plan(spark, activity):
+    """Rows and rule texts meet in a union, sorted into blocks, and in no join."""
+    keyed = activity.withColumn("actor_key", F.col("actor_login"))
+    asked = spark.createDataFrame([], "actor_key string, rule_text string, rule_id long")
+    plan = R.with_hits(keyed, asked)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join " in line or line.strip(" :+-").startswith("Join")]
+    assert joins and not any("rule_text" in line or "title" in line for line in joins)
+    assert "Union" in plan and "MapInArrow" in plan
+
+
 def test_many_viewers_with_invalid_and_missing_rules(spark, activity):
     activity = activity.withColumn("hidden", F.lit(False)).withColumn(
         "actor_key", F.concat(F.lit("k-"), "actor_login")
