@@ -139,12 +139,9 @@ def _classes(
     """
     followed = membership.select("viewer_id", F.col("key").alias("actor_key"))
     held = R.held_rules(rules)
-    asked = (
-        split_join(followed, held, ["viewer_id"]).select("actor_key", "rule_text", "rule_id").distinct()
-    )
     mine = held.groupBy("viewer_id").agg(F.collect_set("rule_id").alias("rule_ids"))
     edges = split_join(followed, mine, ["viewer_id"], "left")
-    return R.with_hits(base(activity), asked), edges
+    return R.with_hits(base(activity), followed, held), edges
 
 
 def _unhidden(joined: DataFrame) -> DataFrame:

@@ -211,42 +211,56 @@ def held_rules(rules: DataFrame) -> DataFrame:
 BLOCK_ROWS, BLOCK_RULES = 4096, 4096
 
 
-def with_hits(activity: DataFrame, asked: DataFrame) -> DataFrame:
-    """Add ``hits``: ids of the rules that are TRUE on the row.
-
-    ``asked``: distinct (actor_key, rule_text, rule_id), the rules to be tried on an
-    actor's rows. Rows and rules of an actor meet in blocks of bounded size: a row's
-    fields travel once for ``BLOCK_RULES`` rules, a rule's text once for ``BLOCK_ROWS``
-    rows, and no pair of both is ever a row. The hits of a row are one array before any
-    viewer is joined.
+def with_hits(activity: DataFrame, followed: DataFrame, held: DataFrame) -> DataFrame:
+    """Add ``hits``: ids of the rules of an account's followers that are TRUE on the row.
+
+    ``followed``: (viewer_id, actor_key); ``held``: (viewer_id, rule_text, rule_id).
+    Accounts with the same followers, as far as these hold rules, are one group. Rows and
+    rules of a group meet in blocks of bounded size: a row's fields travel once for
+    ``BLOCK_RULES`` rules, a rule's text once for ``BLOCK_ROWS`` rows, and no pair of both
+    is ever a row. The hits of a row are one array before any viewer is joined.
     """
     fields = activity_fields(activity)
     narrow = activity.select("activity_id", "actor_key", *[fields[f].alias(f) for f in _FIELD_ORDER])
+    holders = held.select("viewer_id").distinct()
+    edges = split_join(followed, holders, ["viewer_id"]).select("viewer_id", "actor_key").distinct()
+    one, two = F.xxhash64("viewer_id"), F.xxhash64("viewer_id", F.lit(1))
+    accounts = edges.groupBy("actor_key").agg(
+        F.struct(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).alias("group")
+    )
+    firsts = accounts.groupBy("group").agg(F.min("actor_key").alias("actor_key"))
+    asked = (
+        split_join(split_join(edges, firsts, ["actor_key"]), held, ["viewer_id"])
+        .select("group", "rule_text", "rule_id")
+        .distinct()
+    )
+    grouped = split_join(narrow, accounts, ["actor_key"])
     chunks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    n_rows = activity.groupBy("actor_key").agg(F.count("*").alias("n"))
-    n_rules = asked.groupBy("actor_key").agg(F.count("*").alias("m"))
-    sizes = n_rows.join(n_rules, "actor_key").select(
-        "actor_key", chunks("n", BLOCK_ROWS).alias("across"), chunks("m", BLOCK_RULES).alias("down")
+    n_rows = grouped.groupBy("group").agg(F.count("*").alias("n"))
+    n_rules = asked.groupBy("group").agg(F.count("*").alias("m"))
+    sizes = n_rows.join(n_rules, "group").select(
+        "group", chunks("n", BLOCK_ROWS).alias("across"), chunks("m", BLOCK_RULES).alias("down")
     )
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = (
-        split_join(narrow, sizes, ["actor_key"])
+        split_join(grouped, sizes, ["group"])
         .withColumn("i", part("activity_id", "across"))
         .withColumn("j", each("down"))
     )
     texts = (
-        split_join(asked, sizes, ["actor_key"])
+        split_join(asked, sizes, ["group"])
         .withColumn("j", part("rule_id", "down"))
         .withColumn("i", each("across"))
     )
-    both = texts.select("actor_key", "i", "j", "rule_id", "rule_text").unionByName(
-        rows.select("actor_key", "i", "j", "activity_id", *_FIELD_ORDER), allowMissingColumns=True
+    place = F.xxhash64("group").alias("place")
+    both = texts.select(place, "i", "j", "rule_id", "rule_text").unionByName(
+        rows.select(place, "i", "j", "activity_id", *_FIELD_ORDER), allowMissingColumns=True
     )
     found = (
-        both.select("actor_key", "i", "j", "rule_id", "rule_text", "activity_id", *_FIELD_ORDER)
-        .repartition("actor_key", "i", "j")
-        .sortWithinPartitions("actor_key", "i", "j", F.desc_nulls_last("rule_id"))
+        both.select("place", "i", "j", "rule_id", "rule_text", "activity_id", *_FIELD_ORDER)
+        .repartition("place", "i", "j")
+        .sortWithinPartitions("place", "i", "j", F.desc_nulls_last("rule_id"))
         .mapInArrow(_tried, "activity_id string, hits array<long>")
     )
     hits = found.groupBy("activity_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
@@ -256,7 +270,7 @@ def with_hits(activity: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rules followed by rows, as sorted by ``with_hits``; rows with their hits."""
-    parse = functools.lru_cache(maxsize=4096)(parse_rule)
+    parse = functools.lru_cache(maxsize=1 << 14)(parse_rule)
     current: tuple | None = None
     rules: list[tuple[int, dict[str, Any]]] = []
     index: LeafIndex | None = None
