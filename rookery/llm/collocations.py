@@ -37,10 +37,11 @@ _MARK = b"\xff"  # stands in no UTF-8 text
 _TABLE = bytes(
     0xFF if k in _ENDS else 0x20 if k == 9 else k + 32 if 65 <= k <= 90 else k for k in range(256)
 )
-#: Bytes of text counted at once, and distinct phrases that a task holds.
-CHUNK, HELD = 1 << 20, 500_000
+#: Bytes of text that a task counts at once.
+CHUNK = 8 << 20
 #: log2 of the cells of a frontier; 32,768 cells are a page.
 CELL_BITS, _PAGE = 23, 32_768
+_FIRST, _SECOND = 668_265_263, 374_761_393
 #: The first bar: so many times the wanted phrases reach it; each later one the square.
 REACH = 4
 #: Flags of a pair: occurs often enough; its triples may reach the bar by the first word,
@@ -92,7 +93,7 @@ def _runs(batches, size: int) -> Iterator[tuple[bytes, list[bytes], int]]:
 
 
 class Flags:
-    """Cells of a frontier: the flags of all phrases that hash there."""
+    """Cells of a frontier: the flags of all words, or pairs of words, that hash there."""
 
     def __init__(self, pages: dict[tuple[int, int], bytes]):
         self.cells = np.zeros(1 << CELL_BITS, np.uint8)
@@ -100,73 +101,71 @@ class Flags:
             part = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
             self.cells[page * _PAGE : (page + 1) * _PAGE] |= part * np.uint8(flag)
 
-    def of(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        start = zlib.crc32(lang + b" ")
-        mask = (1 << CELL_BITS) - 1
-        return self.cells[[zlib.crc32(p, start) & mask for p in phrases]]
+    def of(self, first: np.ndarray, second: np.ndarray | int = 0) -> np.ndarray:
+        """Flags of words, or of pairs, given by the check sums of their words."""
+        return self.cells[((first * _FIRST + second * _SECOND) >> 16) & ((1 << CELL_BITS) - 1)]
 
 
-def _grams(lang: bytes, words: list[bytes], known: int, size: int, flags: Flags | None) -> Counter:
-    """Occurrences of the phrases of ``size`` words that end after the first ``known``."""
+def _grams(lang: bytes, words: list[bytes], known: int, size: int, flags: Flags | None):
+    """Phrases of ``size`` words that end after the first ``known``, and their numbers."""
     if size == 1:
-        return Counter(words[known:])
-    first = max(known, size - 1) - size + 1
-    words = words[first:]
-    pairs = list(zip(words, words[1:], strict=False))
+        found = Counter(words[known:])
+        found.pop(_MARK, None)
+        found[b""] = found.total()
+        return list(found), list(found.values())
+    index = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    each, start = list(index), zlib.crc32(lang + b" ")
+    at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    sums = np.array([zlib.crc32(w, start) for w in each], np.int64)
+    within = at != index.get(_MARK, -1)
     if size == 2:
-        each = list(set(words))
-        often = dict(zip(each, flags.of(lang, each).tolist(), strict=True))
-        often[_MARK] = 0
-        return Counter({b" ".join(p): n for p, n in Counter(pairs).items() if often[p[0]] & often[p[1]]})
-    each = list(set(pairs))
-    found = flags.of(lang, [b" ".join(p) for p in each])
-    found[[_MARK in p for p in each]] = 0
-    by_pair = dict(zip(each, found.tolist(), strict=True))
-    at = np.fromiter((by_pair[p] for p in pairs), np.uint8, len(pairs))
-    x, y = at[:-1], at[1:]
-    wanted = (x & y & OFTEN > 0) & (((x & BEGINS > 0) & (y & ENDS > 0)) | ((x | y) & REACHES > 0))
-    return Counter(b" ".join(words[k : k + 3]) for k in np.flatnonzero(wanted).tolist())
+        often = (flags.of(sums) > 0)[at] & within
+        wanted = often[:-1] & often[1:]
+    else:
+        of_pair = flags.of(sums[at[:-1]], sums[at[1:]]) * (within[:-1] & within[1:])
+        x, y = of_pair[:-1], of_pair[1:]
+        wanted = (x & y & OFTEN > 0) & (((x & BEGINS > 0) & (y & ENDS > 0)) | ((x | y) & REACHES > 0))
+    wanted[: max(known - size + 1, 0)] = False
+    place = np.flatnonzero(wanted)
+    parts = at[place[:, None] + np.arange(size)]
+    # One number for each phrase; distinct pairs are numbered anew before a third word.
+    key = parts[:, 0] * len(each) + parts[:, 1]
+    if size == 3:
+        key = np.unique(key, return_inverse=True)[1] * len(each) + parts[:, 2]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return [b" ".join([each[w] for w in p]) for p in parts[first].tolist()], counts
 
 
 def _counted(texts: DataFrame, size: int, flags=None, chunk: int = CHUNK) -> DataFrame:
     """``lang, phrase, n`` of all phrases of ``size`` words (of the frontier); with single
-    words the row with an empty phrase has the sum of a language. Summed in each task,
-    as far as ``HELD`` phrases go, before the shuffle."""
+    words the row with an empty phrase has the sum of a language. Summed over chunks of
+    text before the shuffle."""
 
     def count(batches):
-        held: dict[bytes, Counter] = {}
-
-        def result():
-            rows = [(lang, p, n) for lang, own in held.items() for p, n in own.items()]
-            held.clear()
-            langs, phrases, counts = zip(*rows, strict=True) if rows else ([], [], [])
-            arrays = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
-
         for lang, words, known in _runs(batches, chunk):
-            found = _grams(lang, words, known, size, flags.value if flags else None)
-            if size == 1:
-                found.pop(_MARK, None)
-                found[b""] = found.total()
-            held.setdefault(lang, Counter()).update(found)
-            if sum(map(len, held.values())) > HELD:
-                yield result()
-        yield result()
+            phrases, counts = _grams(lang, words, known, size, flags.value if flags else None)
+            arrays = [pa.array([lang] * len(phrases), pa.binary()), pa.array(phrases, pa.binary())]
+            arrays = [a.cast(pa.string()) for a in arrays] + [pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n"])
 
     kind = "lang string, phrase string, n long"
     return texts.mapInArrow(count, kind).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _frontier(marked: DataFrame):
-    """Broadcast flags of ``lang, phrase, flags``; 1 MB for each flag at most."""
-    cell = F.crc32(F.concat_ws(" ", "lang", "phrase")).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-    bits = marked.select(
-        F.explode(F.array(*(F.lit(x) for x in (OFTEN, BEGINS, ENDS, REACHES)))).alias("flag"), "flags", cell.alias("cell")
-    ).filter(F.col("flags").bitwiseAND(F.col("flag")) > 0)
-    pages = bits.groupBy("flag", F.expr(f"cell div {_PAGE}").alias("page")).agg(
-        F.bitmap_construct_agg(F.col("cell") % _PAGE).alias("bits")
+def _sum(word: Column) -> Column:
+    return F.crc32(F.concat(F.col("lang"), F.lit(" "), word))
+
+
+def _frontier(marked: DataFrame, cell: Column, flags: tuple[int, ...]):
+    """Broadcast ``flags`` of the rows of ``marked``; 1 MB for each flag at most."""
+    place = F.shiftright(cell, 16).bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("cell")
+    bits = marked.select(F.explode(F.array(*map(F.lit, flags))).alias("flag"), "flags", place)
+    pages = (
+        bits.filter(F.col("flags").bitwiseAND(F.col("flag")) > 0)
+        .groupBy("flag", F.expr(f"cell div {_PAGE}").alias("page"))
+        .agg(F.bitmap_construct_agg(F.col("cell") % _PAGE).alias("bits"))
     )
-    found = {(r.flag, r.page): bytes(r.bits) for r in pages.toLocalIterator()}
+    found = {(r.flag, r.page): bytes(r.bits) for r in pages.collect()}
     return marked.sparkSession.sparkContext.broadcast(Flags(found))
 
 
@@ -220,7 +219,7 @@ def mined(docs: DataFrame, most: int = 2000, least: int = 10, share: int = 50, c
         _counted(texts, 1, None, chunk).filter((F.col("n") >= least) | (F.col("phrase") == "")), "words"
     )
     often = words.filter("phrase <> ''")
-    growing = _frontier(often.withColumn("flags", F.lit(OFTEN)))
+    growing = _frontier(often.withColumn("flags", F.lit(OFTEN)), _sum(F.col("phrase")) * _FIRST, (OFTEN,))
     pairs = _counted(texts, 2, growing, chunk).filter(F.col("n") >= least).withColumnRenamed("n", "a")
     pairs = _with_count(_with_count(pairs, often, _word(1), "l"), often, _word(2), "r")
     pairs = materialise(pairs.withColumn("score", _score("a", "l", "r")), "pairs")
@@ -256,7 +255,9 @@ def _above(texts, pairs, words, bars, least: int, share: int, chunk: int) -> Dat
         + F.when(bound("r") >= F.col("bar"), ENDS).otherwise(0)
         + F.when(reaches, REACHES).otherwise(0)
     )
-    frontier = _frontier(barred.select("lang", "phrase", flags.alias("flags")))
+    cell = _sum(_word(1)) * _FIRST + _sum(_word(2)) * _SECOND
+    marked = barred.select("lang", "phrase", flags.alias("flags"))
+    frontier = _frontier(marked, cell, (OFTEN, BEGINS, ENDS, REACHES))
     asked = texts.join(bars.select("lang"), "lang", "left_semi")
     triples = _counted(asked, 3, frontier, chunk).filter(F.col("n") >= least).withColumnRenamed("n", "a")
     triples = materialise(triples, "triples")
