@@ -9,10 +9,10 @@
    shared passages hardly ever are.
 3. Posting lists are merged: first each node with the first node of its lists, which ties
    large groups at the cost of their size; then, in lists whose nodes are not tied yet,
-   each node with its best partners; then all pairs that are not tied. A pair counts in
-   one list only, that of its first common coordinate, and if the signatures agree often
-   enough.
-4. Pairs that are left are confirmed on the full sets of shingles; links give components.
+   each node with its best partners; then all pairs that are not tied, compared inside
+   the lists. A pair counts in one list only, that of its first common coordinate, and
+   only if the signatures agree often enough.
+4. Every link is confirmed on the full sets of shingles; links give components.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ COORDINATES = 64
 RISK = 1e-9
 #: Nodes of a list that one task merges; longer lists are cut into tiles of two chunks.
 TILE = 1500
-#: Best partners that a node offers in a list before all pairs are taken.
-OFFERS = 3
+#: Best partners that a node offers in a list before all pairs are compared, and the
+#: coordinates whose lists take part in that. Only a matter of cost.
+OFFERS, OFFERING = 3, 16
 #: Shingles of one side, and nodes of the other, that a confirming task meets together.
 HELD_SHINGLES, HELD_NODES = 200_000, 2000
 _SLICE = 1 << 14
@@ -134,29 +135,43 @@ def _firsts(posted: DataFrame, least: int, percent: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b", "token")
 
 
-def _lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """``token, i, j, chunk, c, node, n, label, signature, mask`` of the lists whose nodes
-    are not all tied; ``mask`` has the bits of the coordinates that a node is posted under."""
+def _lists(posted: DataFrame, labels: DataFrame, coordinates: int) -> DataFrame:
+    """``token, i, j, c, chunk, node, n, label, signature, mask`` of the lists of the first
+    ``coordinates`` whose nodes are not all tied; ``mask`` has the bits of those that a node
+    is posted under. Long lists are cut into tiles by nodes and by shingles."""
     bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e.c)
-    mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(bit(e)))
+    prefix = F.filter("prefix", lambda e: e.c < coordinates)
+    mask = F.aggregate(prefix, F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(bit(e)))
     known = posted.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    known = materialise(known.select("node", "n", "label", "signature", mask.alias("mask"), "prefix"), "known")
-    entries = known.select("node", "label", F.inline("prefix")).drop("members")
+    known = materialise(
+        known.select("node", "n", "label", _folded().alias("signature"), mask.alias("mask"), prefix.alias("prefix")), "known"
+    )
+    entries = known.select("node", "n", "label", F.inline("prefix")).drop("members")
     open_lists = (
         entries.groupBy("token")
-        .agg(F.count("*").alias("held"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(
+            F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / HELD_SHINGLES)).cast("int").alias("chunks"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        )
         .filter("low <> high")
-        .select("token", F.ceil(F.col("held") / TILE).cast("int").alias("chunks"))
+        .select("token", "chunks")
     )
     tiled = (
         split_join(entries, open_lists, ["token"])
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "c", "node")
+        .select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "c", "chunk", "node")
     )
     return split_join(tiled, known.drop("prefix"), ["node"])
 
 
+def _folded():
+    """The signature in 32 bits for each coordinate."""
+    low = lambda v: F.shiftright(v, 32).cast("int")
+    return F.transform("signature", low)
+
+
 def merged(c: int, left: tuple, right: tuple | None, least: int, percent: int) -> Iterator[tuple[int, int, int]]:
     """``a, b, matches`` of the pairs of a list of coordinate ``c`` that are not tied, may
     be linked by size and matches, and have ``c`` as their first common coordinate.
@@ -183,10 +198,8 @@ def merged(c: int, left: tuple, right: tuple | None, least: int, percent: int) -
             yield (min(a, b), max(a, b), count)
 
 
-def _offered(pairs: list[tuple[int, int, int]], most: int | None) -> set[tuple[int, int]]:
-    """The best ``most`` pairs of each node; all pairs without ``most``."""
-    if most is None:
-        return {(a, b) for a, b, _ in pairs}
+def _offered(pairs: list[tuple[int, int, int]], most: int) -> set[tuple[int, int]]:
+    """The best ``most`` pairs of each node."""
     taken: dict[int, int] = {}
     kept = set()
     for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p)):
@@ -197,44 +210,99 @@ def _offered(pairs: list[tuple[int, int, int]], most: int | None) -> set[tuple[i
     return kept
 
 
-def _searched(lists: DataFrame, least: int, percent: int, most: int | None) -> DataFrame:
-    """``a, b, token``: the pairs that the lists offer, written once."""
+_ENTRY = ("token", "i", "j", "c", "chunk", "node", "n", "label", "signature", "mask")
+
+
+def _tiles(batches, sets=None) -> Iterator[tuple[tuple, dict[int, list[tuple]]]]:
+    """Key and chunks of each tile of rows that are sorted by tile; with ``sets`` (a
+    function of the last column) each entry ends with the set of its text."""
+    current: tuple | None = None
+    chunks: dict[int, list[tuple]] = {}
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(len(_ENTRY))]
+        more = sets(batch.column(len(_ENTRY))) if sets else [None] * batch.num_rows
+        for *key, chunk, node, n, label, signature_, mask, own in zip(*columns, more, strict=True):
+            if tuple(key) != current:
+                if current is not None:
+                    yield current, chunks
+                current, chunks = tuple(key), {}
+            chunks.setdefault(chunk, []).append((node, n, label, signature_, mask, own))
+    if current is not None:
+        yield current, chunks
+
+
+def _pairs_of(key: tuple, chunks: dict[int, list[tuple]], least: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    _, i, j, c = key
+    sides = [
+        tuple(np.array(x, np.int64) for x in list(zip(*chunks[k], strict=True))[:5]) for k in sorted(chunks)
+    ]
+    if i == j or len(sides) == 2:
+        yield from merged(c, sides[0], None if i == j else sides[1], least, percent)
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple | None = None) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    kinds = kinds or (pa.int64(),) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+def _offers(lists: DataFrame, least: int, percent: int, most: int) -> DataFrame:
+    """``a, b, token``: the best ``most`` pairs of each node of a list."""
 
     def search(batches):
-        current, held, out = None, [], []
-
-        def close():
-            if len(held) > 1:
-                token, i, j, c = current
-                sides = {}
-                for chunk, *entry in held:
-                    sides.setdefault(chunk, []).append(entry)
-                arrays = [
-                    tuple(np.array(x, np.int64) for x in zip(*sides[chunk], strict=True)) for chunk in sorted(sides)
-                ]
-                if i == j or len(arrays) == 2:
-                    pairs = list(merged(c, arrays[0], None if i == j else arrays[1], least, percent))
-                    out.extend((*p, token) for p in _offered(pairs, most))
-
-        def result():
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "token"])
+        for key, chunks in _tiles(batches):
+            pairs = _offered(list(_pairs_of(key, chunks, least, percent)), most)
+            yield _batch([(*p, key[0]) for p in pairs], ("a", "b", "token"))
 
-        for batch in batches:
-            for token, i, j, c, *entry in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (token, i, j, c) != current:
-                    close()
-                    current, held = (token, i, j, c), []
-                    if len(out) > 50_000:
-                        yield result()
-                held.append(entry)
-        close()
-        yield result()
+    return _by_tile(lists.select(*_ENTRY)).mapInArrow(search, "a long, b long, token long")
 
-    rows = lists.select("token", "i", "j", "c", "chunk", "node", "n", "label", "signature", "mask")
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "c")
-    return dealt.mapInArrow(search, "a long, b long, token long")
+
+def _compared(lists: DataFrame, own: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """Links between nodes that are not tied, of all pairs of the lists.
+
+    Nodes with a pair in a tile fetch their text for it, once however many the pairs; the
+    pairs are compared there by their full sets. A pair whose ends the tile has tied by
+    then is left out, and only links leave the task."""
+    place = ("token", "i", "j", "node")
+
+    def search(batches):
+        for key, chunks in _tiles(batches):
+            nodes = {node for a, b, _ in _pairs_of(key, chunks, least, percent) for node in (a, b)}
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield _batch([(*key[:3], node) for node in sorted(nodes)], place, kinds)
+
+    lists = materialise(lists.select(*_ENTRY), "lists")
+    asked = materialise(_by_tile(lists).mapInArrow(search, "token long, i int, j int, node long"), "asked")
+    rows = split_join(split_join(lists, asked, list(place)), own.select("node", "text"), ["node"])
+
+    def compare(batches):
+        for key, chunks in _tiles(batches, lambda texts: shingle_sets(texts, size)):
+            entries = {e[0]: e for part in chunks.values() for e in part}
+            root = {e[2]: e[2] for e in entries.values()}
+
+            def find(label: int, root=root) -> int:
+                while root[label] != label:
+                    root[label] = label = root[root[label]]
+                return label
+
+            links = []
+            for a, b, _ in _pairs_of(key, chunks, least, percent):
+                x, y = find(entries[a][2]), find(entries[b][2])
+                if x != y and _linked(entries[a][5], entries[b][5], percent):
+                    root[max(x, y)] = min(x, y)
+                    links.append((a, b))
+            yield _batch(links, ("a", "b"))
+
+    return _by_tile(rows.select(*_ENTRY, "text")).mapInArrow(compare, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 # --- full sets -------------------------------------------------------------------
@@ -273,12 +341,8 @@ def _confirmed(pairs: DataFrame, own: DataFrame, size: int, percent: int) -> Dat
                     current, held = (token, i, j), {}
                 if not partners:
                     held[node] = own
-                for a in partners:
-                    common = len(np.intersect1d(held[a], own, assume_unique=True))
-                    if 100 * common >= percent * (len(held[a]) + len(own) - common):
-                        found.append((a, node))
-            columns = list(zip(*found, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+                found += [(a, node) for a in partners if _linked(held[a], own, percent)]
+            yield _batch(found, ("a", "b"))
 
     return (
         rows.withColumn("second", F.size("partners") > 0)
@@ -295,20 +359,23 @@ def _confirmed(pairs: DataFrame, own: DataFrame, size: int, percent: int) -> Dat
 def _tied(posted: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, component`` of the nodes that have a link."""
     least = least_matches(percent)
-    tried = materialise(_firsts(posted, least, percent), "pairs")
-    links = materialise(_confirmed(tried, own, size, percent), "links")
-    labels = materialise(components(links), "labels")
-    for most in (OFFERS, None):
-        pairs = _searched(_lists(posted, labels), least, percent, most)
-        pairs = materialise(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = materialise(_confirmed(pairs, own, size, percent), "links")
-        if not links.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = materialise(components(known.unionByName(links)), "labels")
-        tried = tried.unionByName(pairs)
-    return labels
+    pairs = materialise(_firsts(posted, least, percent), "pairs")
+    labels = _more(None, _confirmed(pairs, own, size, percent))
+    tried = pairs.select("a", "b")
+    offers = _offers(_lists(posted, labels, OFFERING), least, percent, OFFERS)
+    offers = offers.groupBy("a", "b").agg(F.min("token").alias("token")).join(tried, ["a", "b"], "left_anti")
+    labels = _more(labels, _confirmed(materialise(offers, "pairs"), own, size, percent))
+    return _more(labels, _compared(_lists(posted, labels, COORDINATES), own, size, least, percent))
+
+
+def _more(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels with further links."""
+    links = materialise(links, "links")
+    if labels is not None:
+        if links.isEmpty():
+            return labels
+        links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return materialise(components(links), "labels")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:

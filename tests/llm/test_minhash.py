@@ -29,6 +29,7 @@ def test_components_equal_brute_force(monkeypatch, corpus, size, percent, tile):
     monkeypatch.setattr(minhash, "TILE", tile)
     if tile < 10:
         monkeypatch.setattr(minhash, "OFFERS", 1)
+        monkeypatch.setattr(minhash, "OFFERING", 2)
         monkeypatch.setattr(minhash, "HELD_SHINGLES", 100)
         monkeypatch.setattr(minhash, "HELD_NODES", 2)
     check(corpus, size, percent)
