@@ -1,133 +1,155 @@
-"""Compare-and-set fold over a mutation log, also for entities of any size.
-
-A mutation applies when its base version is the version of its entity. Ordinary
-entities stream through one task each. An entity with more rows than one task
-should see is cut into blocks of consecutive arrivals; each block is reduced to
-the map "version on entry -> version on exit", the maps are chained by pointer
-doubling, and all blocks are then folded at once from their known entry version.
+"""Compare-and-set fold over a mutation log, for entities and users of any size.
+
+A mutation applies when its base version is the version of its entity, unless its
+attempt took effect before, on whichever entity of the user. The log is cut into blocks
+of bounded size by user and arrival. A user who lies in one block is settled by one pass
+over it. For users of several blocks the two questions are told apart:
+
+* Versions: rows are cut by entity and arrival. A block that its entity begins in an
+  earlier one is reduced to the map "version on entry -> version on exit"; the maps are
+  chained by pointer doubling, and all blocks are then folded at once from their known
+  entry version.
+* Attempts: only those that stand in several rows, or took effect earlier, matter. From
+  the outcomes so far follows which rows repeat an attempt; these are folded again as
+  rows without effect, until nothing changes. Each round settles at least the next row
+  of every user, so the end is what one pass in order of arrival would give.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.operators.joins import split_join
 from rookery.session import materialise
 
-HOT_ROWS = 1_000_000
+#: Rows of one block.
+BLOCK_ROWS = 100_000
 
-_COLUMNS = ["entity_id", "arrival", "mutation_id", "attempt_id", "base_version", "kind"]
-_EDGE = "entity_id long, part int, v long, exit_v long, exit_deleted boolean"
+_ROW = ["entity_id", "arrival", "mutation_id", "attempt_id", "base_version", "kind"]
+_EDGE = "entity_id long, part long, v long, exit_v long, exit_deleted boolean"
 _NODE = ["entity_id", "part", "v"]
+_RESULT = pa.schema(
+    [
+        ("entity_id", pa.int64()),
+        ("arrival", pa.int64()),
+        ("mutation_id", pa.string()),
+        ("attempt_id", pa.string()),
+        ("outcome", pa.string()),
+        ("version", pa.int64()),
+        ("deleted", pa.bool_()),
+    ]
+)
+_EDGES = pa.schema(
+    [
+        ("entity_id", pa.int64()),
+        ("part", pa.int64()),
+        ("v", pa.int64()),
+        ("exit_v", pa.int64()),
+        ("exit_deleted", pa.bool_()),
+    ]
+)
+
+
+def applies(version: int, deleted: bool, base: int, kind: str) -> bool:
+    """Compare: the base is the version, there is no tombstone, and a delete has an object."""
+    return not deleted and base == version and not (kind == "delete" and version == 0)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
 
 
-class _Entity:
-    """Version, tombstone and applied attempts of the entity being read."""
-
-    def __init__(self, entity_id: int, version: int = 0, deleted: bool = False) -> None:
-        self.entity_id, self.version, self.deleted = entity_id, version, deleted
-        self.applied: set[str] = set()
-
-    def applies(self, kind: str, base: int) -> bool:
-        missing = kind == "delete" and self.version == 0
-        return not self.deleted and base == self.version and not missing
-
-    def swap(self, kind: str, base: int) -> str:
-        """Compare and set by version alone."""
-        if not self.applies(kind, base):
-            return "conflict"
-        self.version, self.deleted = self.version + 1, kind == "delete"
-        return "applied"
-
-    def step(self, kind: str, base: int, attempt: str) -> str:
-        """Compare and set; an attempt that took effect before is not applied again."""
-        if attempt in self.applied:
-            return "already-applied"
-        outcome = self.swap(kind, base)
-        if outcome == "applied":
-            self.applied.add(attempt)
-        return outcome
-
-    def result(self, row: tuple, outcome: str) -> tuple:
-        return (
-            row.entity_id, row.arrival, row.mutation_id, row.attempt_id, outcome,
-            self.version, self.deleted,
-        )
-
-
-def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by entity and arrival; only the current entity is held."""
-    now: _Entity | None = None
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks in order, each block led by its entry version if it has one.
+    Attempts that took effect in the block are known there."""
+    block, version, deleted = None, 0, False
+    took: set[str] = set()
     for batch in batches:
         out: list[tuple] = []
-        for row in batch.itertuples(index=False):
-            if now is None or now.entity_id != row.entity_id:
-                now = _Entity(row.entity_id)
-            if row.kind == "state":
-                now.version, now.deleted = row.base_version, row.deleted
-            elif row.kind == "receipt":
-                now.applied.add(row.attempt_id)
+        columns = (c.to_pylist() for c in batch.columns)
+        for entity, part, arrival, mutation, attempt, base, kind, flag in zip(*columns, strict=True):
+            if (entity, part) != block:
+                block, version, deleted, took = (entity, part), 0, False, set()
+            if kind == "entry":
+                version, deleted = base, flag
+                continue
+            if flag or attempt in took:
+                outcome = "already-applied"
+            elif applies(version, deleted, base, kind):
+                outcome, version, deleted = "applied", version + 1, kind == "delete"
+                if attempt is not None:
+                    took.add(attempt)
             else:
-                outcome = now.step(row.kind, row.base_version, row.attempt_id)
-                out.append(now.result(row, outcome))
-        yield pd.DataFrame(out, columns=schemas.MUTATION_RESULT.names)
+                outcome = "conflict"
+            out.append((entity, arrival, mutation, attempt, outcome, version, deleted))
+        yield _table(out, _RESULT)
 
 
-def _serial(log: DataFrame, state: DataFrame, receipts: DataFrame) -> DataFrame:
-    """One pass per entity; known state and receipts lead the rows of their entity."""
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    first = state.select(
-        "entity_id", F.lit(-2).cast("long").alias("arrival"), none.alias("mutation_id"),
-        none.alias("attempt_id"), F.col("version").alias("base_version"),
-        F.lit("state").alias("kind"), "deleted",
-    )
-    second = receipts.select(
-        "entity_id", F.lit(-1).cast("long").alias("arrival"), none.alias("mutation_id"),
-        "attempt_id", zero.alias("base_version"), F.lit("receipt").alias("kind"),
-        F.lit(False).alias("deleted"),
-    )
-    rows = log.select(*_COLUMNS).withColumn("deleted", F.lit(False))
-    ordered = (
-        rows.unionByName(first)
-        .unionByName(second)
-        .repartition("entity_id")
-        .sortWithinPartitions("entity_id", "arrival")
-    )
-    return ordered.mapInPandas(_stream, schemas.MUTATION_RESULT)
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of users in order, each user led by receipts and known entities."""
+    user = None
+    entities: dict[int, tuple[int, bool]] = {}
+    took: set[str] = set()
+    last: dict[int, str] = {}
+    for batch in batches:
+        out: list[tuple] = []
+        columns = (c.to_pylist() for c in batch.columns)
+        for owner, entity, arrival, mutation, attempt, base, kind, flag in zip(*columns, strict=True):
+            if owner != user:
+                user, entities, took, last = owner, {}, set(), {}
+            if kind == "entry":
+                entities[entity] = (base, flag)
+                if attempt is not None:
+                    last[entity] = attempt
+                continue
+            if kind == "receipt":
+                took.add(attempt)
+                continue
+            version, deleted = entities.get(entity, (0, False))
+            if attempt is not None and (attempt in took or attempt in last.values()):
+                outcome = "already-applied"
+            elif applies(version, deleted, base, kind):
+                outcome, version, deleted = "applied", version + 1, kind == "delete"
+                entities[entity] = (version, deleted)
+                last.pop(entity, None)
+                if attempt is not None:
+                    took.add(attempt)
+            else:
+                outcome = "conflict"
+            out.append((entity, arrival, mutation, attempt, outcome, version, deleted))
+        yield _table(out, _RESULT)
 
 
-def _block_map(block: pd.DataFrame) -> pd.DataFrame:
-    """Exit version for every entry version that some row of the block is based on.
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exit version for every entry version that some row of a block is based on.
 
-    Read backwards: a row based on b sends b to wherever the rows behind it send
-    b + 1. Versions without a row pass through unchanged and are not listed.
+    Rows come backwards: one based on b sends b to wherever the rows behind it send b + 1.
+    Versions without a row pass through unchanged and are not listed.
     """
+    block: tuple | None = None
     exits: dict[int, tuple[int, bool]] = {}
-    rows = block.sort_values("arrival", ascending=False)
-    for base, kind in zip(rows["base_version"], rows["kind"], strict=True):
-        if kind == "delete":
-            if base > 0:
-                exits[base] = (base + 1, True)
-        else:
-            exits[base] = exits.get(base + 1, (base + 1, False))
-    entity, part = block["entity_id"].iloc[0], block["part"].iloc[0]
-    return pd.DataFrame(
-        [(entity, part, v, to, gone) for v, (to, gone) in exits.items()],
-        columns=["entity_id", "part", "v", "exit_v", "exit_deleted"],
-    )
 
+    def done() -> pa.RecordBatch:
+        return _table([(*block, v, *to) for v, to in exits.items()] if block else [], _EDGES)
 
-def _fold_block(block: pd.DataFrame) -> pd.DataFrame:
-    first = block.iloc[0]
-    entity = _Entity(first["entity_id"], first["entry_v"], first["entry_deleted"])
-    rows = block.sort_values("arrival").itertuples(index=False)
-    out = [entity.result(row, entity.swap(row.kind, row.base_version)) for row in rows]
-    return pd.DataFrame(out, columns=schemas.MUTATION_RESULT.names)
+    for batch in batches:
+        for entity, part, base, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (entity, part) != block:
+                yield done()
+                block, exits = (entity, part), {}
+            if kind != "delete":
+                exits[base] = exits.get(base + 1, (base + 1, False))
+            elif base > 0:
+                exits[base] = (base + 1, True)
+    yield done()
 
 
 def _next_nodes(edges: DataFrame) -> DataFrame:
@@ -179,126 +201,200 @@ def _path(edges: DataFrame) -> DataFrame:
     return reached
 
 
-def _by_blocks(log: DataFrame, state: DataFrame) -> DataFrame:
-    """Outcomes by versions alone; attempts are looked at afterwards."""
-    pinned = materialise(
-        log.select(*_COLUMNS)
-        .repartitionByRange("entity_id", "arrival")
-        .sortWithinPartitions("entity_id", "arrival")
-        .withColumn("part", F.spark_partition_id()),
-        "blocks",
-    )
-    # A group is a part of one range partition, whatever the size of the entity.
-    maps = pinned.groupBy("entity_id", "part").applyInPandas(_block_map, _EDGE)
-    starts = (
-        pinned.select("entity_id")
-        .distinct()
-        .join(state.select("entity_id", "version", "deleted"), "entity_id", "left")
-        .select(
-            "entity_id",
-            F.lit(-1).alias("part"),
+def _cut(log: DataFrame, by: str, block_rows: int) -> DataFrame:
+    """The log with ``part``, the number of its block, written once."""
+    ordered = log.repartitionByRange(by, "arrival").sortWithinPartitions(by, "arrival")
+    numbered = materialise(ordered.withColumn("_place", F.monotonically_increasing_id()), "blocks")
+    # The partition's number, and the row's number within it in steps of a block.
+    part = F.expr(f"shiftright(_place, 33) * {1 << 30} + (_place & {(1 << 33) - 1}) div {block_rows}")
+    return numbered.withColumn("part", part).drop("_place")
+
+
+def _entries(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``entity_id, part, entry_v, entry_deleted``: where the blocks of ``rows`` begin, if
+    not at nothing. ``rows`` has ``flag``: rows without effect."""
+    spans = rows.groupBy("entity_id").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    spans = materialise(
+        spans.join(state.select("entity_id", "version", "deleted"), "entity_id", "left").select(
+            "entity_id", "first", "last",
             F.coalesce("version", F.lit(0).cast("long")).alias("v"),
-            F.coalesce("version", F.lit(0).cast("long")).alias("exit_v"),
-            F.coalesce("deleted", F.lit(False)).alias("exit_deleted"),
-        )
+            F.coalesce("deleted", F.lit(False)).alias("deleted"),
+        ),
+        "spans",
+    )
+    known = spans.filter("v > 0").select(
+        "entity_id", F.col("first").alias("part"), F.col("v").alias("entry_v"), F.col("deleted").alias("entry_deleted")
+    )
+    wide = spans.filter("first < last")
+    if wide.isEmpty():
+        return known
+    long = split_join(rows, wide.select("entity_id"), ["entity_id"])
+    maps = (
+        long.filter(~F.col("flag"))
+        .select("entity_id", "part", "arrival", "base_version", "kind")
+        .repartition("entity_id", "part")
+        .sortWithinPartitions("entity_id", "part", F.desc("arrival"))
+        .select("entity_id", "part", "base_version", "kind")
+        .mapInArrow(_maps, _EDGE)
+    )
+    starts = wide.select(
+        "entity_id", F.lit(-1).cast("long").alias("part"), "v", F.col("v").alias("exit_v"), F.col("deleted").alias("exit_deleted")
     )
     edges = materialise(maps.unionByName(starts), "edges")
-    exits = edges.join(_path(edges), _NODE).select(
+    exits = split_join(edges, _path(edges), _NODE).select(
         "entity_id", "part", F.struct("exit_v", "exit_deleted").alias("exit")
     )
-    blocks = pinned.select("entity_id", "part").distinct()
     before = (
         Window.partitionBy("entity_id")  # one row per block of the entity
         .orderBy("part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    entries = (
-        blocks.join(exits, ["entity_id", "part"], "full")
+    chained = (
+        long.select("entity_id", "part")
+        .distinct()
+        .join(exits, ["entity_id", "part"], "full")
         .withColumn("entry", F.last("exit", ignorenulls=True).over(before))
-        .filter(F.col("part") >= 0)
-        .select(
-            "entity_id",
-            "part",
-            F.col("entry.exit_v").alias("entry_v"),
-            F.col("entry.exit_deleted").alias("entry_deleted"),
-        )
+        .filter((F.col("part") >= 0) & (F.col("entry.exit_v") > 0))
+        .select("entity_id", "part", F.col("entry.exit_v").alias("entry_v"), F.col("entry.exit_deleted").alias("entry_deleted"))
     )
+    return known.join(wide, "entity_id", "left_anti").unionByName(chained)
+
+
+def _fold(rows: DataFrame, state: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Outcomes by versions alone, ``repeats`` (entity_id, arrival) being without effect."""
+    if repeats is None:
+        flagged = rows.withColumn("flag", F.lit(False))
+    else:
+        marked = split_join(rows, repeats.withColumn("flag", F.lit(True)), ["entity_id", "arrival"], "left")
+        flagged = marked.withColumn("flag", F.coalesce("flag", F.lit(False)))
+    none = F.lit(None).cast("string")
+    leads = _entries(flagged, state).select(
+        "entity_id", "part", F.lit(-1).cast("long").alias("arrival"), none.alias("mutation_id"), none.alias("attempt_id"),
+        F.col("entry_v").alias("base_version"), F.lit("entry").alias("kind"), F.col("entry_deleted").alias("flag"),
+    )
     return (
-        pinned.join(entries, ["entity_id", "part"])
-        .groupBy("entity_id", "part")
-        .applyInPandas(_fold_block, schemas.MUTATION_RESULT)
+        flagged.select("entity_id", "part", *_ROW[1:], "flag")
+        .unionByName(leads)
+        .repartition("entity_id", "part")
+        .sortWithinPartitions("entity_id", "part", "arrival")
+        .mapInArrow(_folded, schemas.MUTATION_RESULT)
     )
 
 
-def _label_retries(results: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Rows whose attempt took effect earlier are repeats, not conflicts."""
-    first = (
-        results.filter(F.col("outcome") == "applied")
-        .groupBy("entity_id", "attempt_id")
-        .agg(F.min("arrival").alias("at"))
-        .unionByName(receipts.select("entity_id", "attempt_id", F.lit(-1).cast("long").alias("at")))
-        .groupBy("entity_id", "attempt_id")
-        .agg(F.min("at").alias("at"))
-    )
-    repeat = (F.col("outcome") == "conflict") & (F.col("at") < F.col("arrival"))
-    return (
-        split_join(results, first, ["entity_id", "attempt_id"], "left")
-        .withColumn(
-            "outcome",
-            F.when(F.coalesce(repeat, F.lit(False)), F.lit("already-applied")).otherwise(F.col("outcome")),
-        )
-        .select(*schemas.MUTATION_RESULT.names)
-    )
+def _owner(df: DataFrame) -> Column:
+    """Whose attempts these are: the user's, or the entity's where there is no user."""
+    return F.col("user_id" if "user_id" in df.columns else "entity_id").cast("string").alias("owner")
 
 
-def _reapplied(results: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Entities where versions alone would apply one attempt twice."""
-    applied = results.filter(F.col("outcome") == "applied").select("entity_id", "attempt_id")
-    return (
-        applied.unionByName(receipts.select("entity_id", "attempt_id"))
-        .groupBy("entity_id", "attempt_id")
-        .count()
-        .filter(F.col("count") > 1)
-        .select("entity_id")
-        .distinct()
+_ATTEMPT = ["owner", "attempt_id"]
+
+
+def _repeats(asked: DataFrame, results: DataFrame, earlier: DataFrame, last: DataFrame) -> DataFrame:
+    """(entity_id, arrival) of the ``asked`` rows whose attempt took effect before them: in
+    the outcomes, in a receipt, or as the last one on an entity row that no mutation has
+    moved by then."""
+    here = F.struct("arrival", "entity_id")
+    applied = results.filter("outcome = 'applied'").select("entity_id", "arrival")
+    took = split_join(asked, applied, ["entity_id", "arrival"]).groupBy(*_ATTEMPT).agg(F.min(here).alias("at"))
+    moved = applied.groupBy("entity_id").agg(F.min("arrival").alias("moved"))
+    on_row = last.join(moved, "entity_id", "left").groupBy(*_ATTEMPT).agg(
+        F.max(F.coalesce("moved", F.lit((1 << 63) - 1).cast("long"))).alias("until")
     )
+    found = split_join(asked, took, _ATTEMPT, "left")
+    found = split_join(found, earlier.withColumn("stored", F.lit(True)), _ATTEMPT, "left")
+    found = split_join(found, on_row, _ATTEMPT, "left")
+    return found.filter(
+        F.coalesce(F.col("at") < here, F.lit(False))
+        | F.coalesce("stored", F.lit(False))
+        | F.coalesce(F.col("arrival") <= F.col("until"), F.lit(False))
+    ).select("entity_id", "arrival")
 
 
 def apply_mutations(
     log: DataFrame,
     state: DataFrame | None = None,
     receipts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Outcome of every mutation: applied / already-applied / conflict.
 
-    Mutations of one entity take effect in arrival order (arrivals are distinct
-    per entity and not negative). ``state``: (entity_id, version, deleted);
-    ``receipts``: (entity_id, attempt_id) applied earlier.
+    Mutations take effect in the order of ``arrival``, distinct per entity, not negative
+    and comparable over the entities of a user. ``log`` may have ``user_id``: then an
+    attempt counts for all entities of the user, else for its entity alone; a NULL attempt
+    is never a repeat. An entity belongs to one user. ``state``: (entity_id, version, deleted), and for attempts whose
+    receipt is gone ``last_attempt_id`` (with ``user_id`` like the log): it answers for its
+    attempt until another mutation moves the row. ``receipts``: (user_id or entity_id,
+    attempt_id) applied earlier.
     """
     spark = log.sparkSession
     if state is None:
         state = spark.createDataFrame([], "entity_id long, version long, deleted boolean")
     if receipts is None:
         receipts = spark.createDataFrame([], "entity_id long, attempt_id string")
-    hot = log.groupBy("entity_id").count().filter(F.col("count") > hot_rows).select("entity_id")
-    if hot.isEmpty():
-        return _serial(log, state, receipts)
-
-    hot = materialise(hot, "hot")
-    large = log.join(hot, "entity_id", "left_semi")
-    used = receipts.join(hot, "entity_id", "left_semi")
-    by_blocks = materialise(_by_blocks(large, state), "folded")
-    # An attempt sent again with a later base can break the chain of versions;
-    # such entities take the serial pass, which looks at attempts row by row.
-    again = materialise(_reapplied(by_blocks, used), "again")
-    settled = _label_retries(by_blocks.join(again, "entity_id", "left_anti"), used)
-    serial_ids = hot.join(again, "entity_id", "left_anti")
-    rest = log.join(serial_ids, "entity_id", "left_anti")
-    return settled.unionByName(
-        _serial(
-            rest,
-            state.join(serial_ids, "entity_id", "left_anti"),
-            receipts.join(serial_ids, "entity_id", "left_anti"),
-        )
+    none = F.lit(None).cast("string")
+    attempt = F.col("last_attempt_id") if "last_attempt_id" in state.columns else none
+    named = "user_id" in state.columns or "user_id" not in log.columns
+    known = state.select(
+        (_owner(state) if named else none).alias("owner"), "entity_id", "version", "deleted", attempt.alias("attempt_id")
+    )
+    earlier = receipts.select(_owner(receipts), "attempt_id").distinct()
+    rows = _cut(log.select(_owner(log), *_ROW), "owner", block_rows)
+    users = rows.groupBy("owner").agg((F.min("part") < F.max("part")).alias("wide"))
+    users = materialise(users, "users")
+    narrow = split_join(rows.drop("part"), users.filter("not wide").select("owner"), ["owner"])
+    settled = _one_pass(narrow, known, earlier)
+    wide = users.filter("wide").select("owner")
+    if wide.isEmpty():
+        return settled
+    return settled.unionByName(_in_rounds(split_join(rows.drop("part"), wide, ["owner"]), known, earlier, block_rows))
+
+
+def _one_pass(rows: DataFrame, known: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Outcomes of users whose rows lie in one block each."""
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    here = rows.select("owner", "entity_id").distinct()
+    facts = known.drop("owner").join(here, "entity_id").select("owner", "entity_id", "version", "deleted", "attempt_id")
+    # Entities that only answer for their last attempt, and receipts: those that are asked.
+    asked = rows.select(*_ATTEMPT).distinct()
+    others = known.join(asked, _ATTEMPT).select(*facts.columns)
+    leads = facts.unionByName(others).distinct().select(
+        "owner", "entity_id", F.lit(-1).cast("long").alias("arrival"), none.alias("mutation_id"), "attempt_id",
+        F.col("version").alias("base_version"), F.lit("entry").alias("kind"), F.col("deleted").alias("flag"),
+    )
+    used = earlier.join(asked, _ATTEMPT).select(
+        "owner", zero.alias("entity_id"), F.lit(-1).cast("long").alias("arrival"), none.alias("mutation_id"), "attempt_id",
+        zero.alias("base_version"), F.lit("receipt").alias("kind"), F.lit(False).alias("flag"),
+    )
+    return (
+        rows.select("owner", *_ROW, F.lit(False).alias("flag"))
+        .unionByName(leads)
+        .unionByName(used)
+        .repartition("owner")
+        .sortWithinPartitions("owner", "arrival")
+        .mapInArrow(_settled, schemas.MUTATION_RESULT)
     )
+
+
+def _in_rounds(rows: DataFrame, known: DataFrame, earlier: DataFrame, block_rows: int) -> DataFrame:
+    """Outcomes of users of several blocks."""
+    rows, state = _cut(rows, "entity_id", block_rows), known
+    last = known.filter("attempt_id is not null").select(*_ATTEMPT, "entity_id")
+    attempts = rows.filter("attempt_id is not null").groupBy(*_ATTEMPT).agg(F.count("*").alias("n"))
+    stored = earlier.unionByName(last.select(*_ATTEMPT)).distinct().withColumn("known", F.lit(True))
+    several = attempts.join(stored, _ATTEMPT, "left").filter((F.col("n") > 1) | F.col("known")).select(*_ATTEMPT)
+    asked = materialise(split_join(rows, several, _ATTEMPT).select(*_ATTEMPT, "entity_id", "arrival"), "asked")
+    first = materialise(_fold(rows, state, None), "folded")
+    if asked.isEmpty():
+        return first
+    touched = materialise(asked.select("entity_id").distinct(), "touched")
+    again = split_join(rows, touched, ["entity_id"])
+    results, before = split_join(first, touched, ["entity_id"]), None
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("entity_id", "arrival")), F.bit_xor(F.xxhash64("arrival", "entity_id")))
+    while True:
+        repeats = materialise(_repeats(asked, results, earlier, last), "repeats")
+        now = repeats.select(mark).first()[0]
+        if now == before:
+            break
+        before = now
+        results = materialise(_fold(again, state, repeats), "folded")
+    return first.join(touched, "entity_id", "left_anti").unionByName(results)

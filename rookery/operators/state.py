@@ -40,6 +40,14 @@ def entity_state(results: DataFrame, log: DataFrame, old: DataFrame | None = Non
     )
 
 
+def entity_rows(results: DataFrame) -> DataFrame:
+    """(entity_id, version, deleted, last_attempt_id) after the applied mutations: what an
+    entity's row still knows when its receipts are gone."""
+    newest = F.max_by(F.struct("deleted", "attempt_id"), "version").alias("_row")
+    rows = results.filter("outcome = 'applied'").groupBy("entity_id").agg(F.max("version").alias("version"), newest)
+    return rows.select("entity_id", "version", "_row.deleted", F.col("_row.attempt_id").alias("last_attempt_id"))
+
+
 def advance_watermark(
     state: DataFrame, candidates: DataFrame, now_ms: int
 ) -> DataFrame:

@@ -47,9 +47,13 @@ T.VIEW_SQL["dense_turn"] = """
     + " select entity_id, arrival, attempt_id, outcome, version, deleted from fold where step > 0"
 )
 def apply_dense_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.apply_mutations(_dense_log(spark, sf_dir)).drop("mutation_id")
+
+
+def _dense_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     again = F.when(n % 9 == 4, n - 1).otherwise(n)
-    log = T.read(spark, sf_dir, "events").select(
+    return T.read(spark, sf_dir, "events").select(
         F.floor(n / 7).alias("entity_id"),
         n.alias("arrival"),
         F.concat(F.lit("m"), n).alias("mutation_id"),
@@ -57,7 +61,34 @@ def apply_dense_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (again % 7 % 4).alias("base_version"),
         F.when(n % 31 == 3, "delete").otherwise("put").alias("kind"),
     )
-    return fold.apply_mutations(log).drop("mutation_id")
+
+
+# From the fifth row of an entity on its receipts are gone: only its last attempt counts,
+# until another mutation moves the entity.
+_COMPACTED = """with recursive fold as (
+  select entity_id, cast(0 as bigint) as step, cast(0 as bigint) as version, false as deleted, cast([] as varchar[]) as applied,
+   cast(null as varchar) as kept, cast(null as bigint) as arrival, cast(null as varchar) as attempt_id, cast(null as varchar) as outcome
+  from (select distinct entity_id from dense_turn)
+  union all
+  select entity_id, step, case when hit then version + 1 else version end, deleted or (hit and kind = 'delete'),
+   case when hit then list_append(known, attempt_id) else known end, case when hit and arrival % 7 >= 4 then null else last end, arrival, attempt_id,
+   case when again then 'already-applied' when hit then 'applied' else 'conflict' end
+  from (select *, not again and not deleted and base_version = version and (kind = 'put' or version > 0) as hit
+   from (select *, coalesce(list_contains(known, attempt_id) or last = attempt_id, list_contains(known, attempt_id)) as again
+    from (select f.entity_id, t.step, f.version, f.deleted, t.arrival, t.attempt_id, t.base_version, t.kind,
+      case when t.step = 5 then cast([] as varchar[]) else f.applied end as known,
+      case when t.step = 5 then f.applied[len(f.applied)] else f.kept end as last
+     from fold f join dense_turn t on t.entity_id = f.entity_id and t.step = f.step + 1))))"""
+
+
+@query(f"{_COMPACTED} select entity_id, arrival, attempt_id, outcome, version, deleted from fold where step > 4")
+def mutations_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries; between them the receipts are dropped and entity rows stay."""
+    log = _dense_log(spark, sf_dir).withColumn("user_id", F.col("entity_id") % 97)
+    early = F.col("arrival") % 7 < 4
+    known = state.entity_rows(fold.apply_mutations(log.filter(early)))
+    known = known.withColumn("user_id", F.col("entity_id") % 97)
+    return fold.apply_mutations(log.filter(~early), known).drop("mutation_id")
 
 
 @query(
