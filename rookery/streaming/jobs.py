@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rookery import schemas
-from rookery.operators import feed, fold, ingest
+from rookery.operators import feed, ingest
+from rookery.streaming import mutations
 
 
 def _read_before(
@@ -108,61 +109,16 @@ def changes_since(spark: SparkSession, path: str, per_batch: int | None = None)
     return reader.parquet(path)
 
 
-RECEIPT = T.StructType(
-    [T.StructField("entity_id", T.LongType()), T.StructField("attempt_id", T.StringType())]
-)
-ENTITY = T.StructType(
-    [
-        T.StructField("entity_id", T.LongType()),
-        T.StructField("version", T.LongType()),
-        T.StructField("deleted", T.BooleanType()),
-    ]
-)
-
-
-def stream_mutations(source: DataFrame, root: str, checkpoint: str) -> None:
-    """Compare-and-set state machine over mutation deliveries.
+def stream_mutations(
+    source: DataFrame, root: str, checkpoint: str, receipt_ms: int = mutations.RECEIPT_MS
+) -> None:
+    """Outcomes of mutation deliveries, written to ``{root}/results``.
 
-    A batch folds onto the newest version of each entity it touches and writes
-    outcomes, receipts and new versions. Arrival numbers grow across deliveries.
+    Versions, tombstones and receipts live in the state store beside the checkpoint; a
+    stopped stream goes on from there. Arrival numbers grow across deliveries.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select("entity_id").distinct()
-        versions = _read_before(spark, f"{root}/entities", ENTITY, batch_id)
-        current = (
-            versions.join(touched, "entity_id", "left_semi")
-            .groupBy("entity_id")
-            .agg(F.max("version").alias("version"), F.max_by("deleted", "version").alias("deleted"))
-        )
-        used = _read_before(spark, f"{root}/receipts", RECEIPT, batch_id).join(
-            batch.select("entity_id", "attempt_id").distinct(), ["entity_id", "attempt_id"], "left_semi"
-        )
-        _write(fold.apply_mutations(batch, current, used), f"{root}/results", batch_id)
-        # The written outcomes feed both follow-ups: the fold runs once.
-        done = spark.read.schema(schemas.MUTATION_RESULT).parquet(
-            f"{root}/results/batch_id={batch_id}"
-        )
-        applied = done.filter(F.col("outcome") == "applied")
-        _write(applied.select("entity_id", "attempt_id"), f"{root}/receipts", batch_id)
-        newest = applied.groupBy("entity_id").agg(
-            F.max("version").alias("version"), F.max_by("deleted", "version").alias("deleted")
-        )
-        _write(newest, f"{root}/entities", batch_id)
-
-    run_available(source, checkpoint, each)
-
+    def each(outcomes: DataFrame, batch_id: int) -> None:
+        _write(outcomes, f"{root}/results", batch_id)
 
-def compact_mutation_state(spark: SparkSession, old: str, new: str) -> None:
-    """Carry the state of a stopped mutation stream to a new folder, one row per entity.
-
-    The stream goes on there with its old checkpoint; later batches then read
-    this snapshot and what followed, not the whole history.
-    """
-    versions = read_all(spark, f"{old}/entities", ENTITY)
-    newest = versions.groupBy("entity_id").agg(
-        F.max("version").alias("version"), F.max_by("deleted", "version").alias("deleted")
-    )
-    _write(newest, f"{new}/entities", -1)
-    _write(read_all(spark, f"{old}/receipts", RECEIPT).distinct(), f"{new}/receipts", -1)
+    run_available(mutations.mutation_outcomes(source, receipt_ms), checkpoint, each)

@@ -290,20 +290,31 @@ def test_stream_ingest_is_exactly_once_over_restarts(spark, tmp_path):
 
 
 def test_mutation_stream_carries_state_between_runs(spark, tmp_path):
-    inbox, mark = str(tmp_path / "in"), str(tmp_path / "mark")
-    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    """Tombstones, re-sent attempts and null attempts over restarts; receipts that end."""
+    inbox, root, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
 
-    def deliver(root, *steps):
-        data = [(1, t, f"m{t}", a, b, "put", "n", "v") for t, a, b in steps]
+    def deliver(*steps, receipt_ms=10**9):
+        data = [(e, t, f"m{t}", a, b, kind, "n", "v") for e, t, a, b, kind in steps]
         spark.createDataFrame(data, schemas.MUTATION).coalesce(1).write.mode("append").parquet(inbox)
-        jobs.stream_mutations(spark.readStream.schema(schemas.MUTATION).parquet(inbox), root, mark)
-        return rows(jobs.read_all(spark, f"{root}/results", schemas.MUTATION_RESULT), "arrival", "outcome", "version")
-
-    deliver(one, (0, "a", 0), (1, "b", 1))
-    got = deliver(one, (2, "b", 1), (3, "c", 1), (4, "d", 2))
-    assert got == [(0, "applied", 1), (1, "applied", 2), (2, "already-applied", 2), (3, "conflict", 2), (4, "applied", 3)]
-    jobs.compact_mutation_state(spark, one, two)
-    assert deliver(two, (5, "a", 0), (6, "e", 3)) == [(5, "already-applied", 3), (6, "applied", 4)]
+        source = spark.readStream.schema(schemas.MUTATION).parquet(inbox)
+        jobs.stream_mutations(source, root, mark, receipt_ms)
+        got = jobs.read_all(spark, f"{root}/results", schemas.MUTATION_RESULT)
+        return {r.arrival: (r.outcome, r.version, r.deleted) for r in got.collect()}
+
+    deliver((1, 1, "b", 1, "put"), (1, 0, "a", 0, "put"), (2, 2, "x", 0, "put"), (3, 3, None, 0, "put"))
+    got = deliver((1, 4, "b", 1, "put"), (1, 5, "c", 1, "put"), (2, 6, "y", 1, "delete"), (3, 7, None, 0, "put"))
+    assert got == {
+        0: ("applied", 1, False), 1: ("applied", 2, False), 2: ("applied", 1, False), 3: ("applied", 1, False),
+        4: ("already-applied", 2, False), 5: ("conflict", 2, False), 6: ("applied", 2, True), 7: ("conflict", 1, False),
+    }
+    got = deliver((1, 8, "d", 2, "put"), (2, 9, "z", 2, "put"), (2, 10, "y", 2, "delete"), (1, 11, "a", 3, "put"), receipt_ms=1)
+    assert [got[k] for k in (8, 9, 10, 11)] == [
+        ("applied", 3, False), ("conflict", 2, True), ("already-applied", 2, True), ("already-applied", 3, False)
+    ]
+    # The timer of the last delivery ends all receipts of entity 1; its row still knows "d".
+    deliver((5, 12, "p", 0, "put"), receipt_ms=1)
+    got = deliver((1, 13, "d", 3, "put"), (1, 14, "a", 3, "put"), receipt_ms=1)
+    assert got[13] == ("already-applied", 3, False) and got[14] == ("applied", 4, False)
 
 
 def steps(**changed):
