@@ -19,6 +19,7 @@ cell is counted too, exactly, so it costs work and never a result.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ _TABLE = bytes(
     0xFF if k in _ENDS else 0x20 if k == 9 else k + 32 if 65 <= k <= 90 else k for k in range(256)
 )
 #: Bytes of text that a task counts at once.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 #: log2 of the cells of a frontier; 32,768 cells are a page.
 CELL_BITS, _PAGE = 23, 32_768
 _FIRST, _SECOND = 668_265_263, 374_761_393
@@ -96,10 +97,18 @@ class Flags:
     """Cells of a frontier: the flags of all words, or pairs of words, that hash there."""
 
     def __init__(self, pages: dict[tuple[int, int], bytes]):
-        self.cells = np.zeros(1 << CELL_BITS, np.uint8)
-        for (flag, page), bits in pages.items():
+        self.pages = pages
+
+    def __getstate__(self) -> dict:
+        return {"pages": self.pages}  # the cells are laid out where they are used
+
+    @functools.cached_property
+    def cells(self) -> np.ndarray:
+        cells = np.zeros(1 << CELL_BITS, np.uint8)
+        for (flag, page), bits in self.pages.items():
             part = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-            self.cells[page * _PAGE : (page + 1) * _PAGE] |= part * np.uint8(flag)
+            cells[page * _PAGE : (page + 1) * _PAGE] |= part * np.uint8(flag)
+        return cells
 
     def of(self, first: np.ndarray, second: np.ndarray | int = 0) -> np.ndarray:
         """Flags of words, or of pairs, given by the check sums of their words."""
