@@ -17,12 +17,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm.components import components
@@ -378,6 +379,24 @@ def _more(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialise(components(links), "labels")
 
 
+#: Look-ups of few rows filter the other side by a Bloom filter of up to 8 MB.
+_FILTERS = {"creationSideThreshold": "256MB", "expectedNumItems": "4000000", "numBits": str(1 << 26)}
+
+
+@contextlib.contextmanager
+def _filtered(spark: SparkSession) -> Iterator[None]:
+    """Wider filters while the jobs of a block run."""
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in _FILTERS.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``.
 
@@ -394,8 +413,9 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame
     sets = materialise(filled.groupBy("digest", "digest2").agg(F.min("row").alias("node")), "sets")
     nodes = filled.join(sets.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     nodes = materialise(nodes.select("node", "doc_id", "text_hash", "n", "signature"), "nodes")
-    posted = _posted(nodes, least_matches(percent))
-    groups = _tied(posted, _texts_of(posted, nodes, texts), size, percent)
+    with _filtered(docs.sparkSession):
+        posted = _posted(nodes, least_matches(percent))
+        groups = _tied(posted, _texts_of(posted, nodes, texts), size, percent)
     rows = split_join(filled.select("row", "doc_id", "digest", "digest2"), sets, ["digest", "digest2"])
     grouped = split_join(rows.select("row", "doc_id", "node"), groups, ["node"], "left").select(
         "row", "doc_id", F.coalesce("component", "node").alias("component")
