@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators import fold, ingest, merge, projection, state
+from rookery.operators import clears, fold, ingest, merge, projection, state
 from rookery.operators import rules as R
 from rookery.plans.catalog import query
 from rookery.plans.retention_queries import state_log
 from rookery.plans.rule_queries import SAMPLE_RULES, membership, user_filter
+from rookery.session import materialise
 from rookery.sources import tables as T
 
 # The fold as a recursion over arrivals, one step per turn.
@@ -129,6 +130,69 @@ def advance_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.advance_watermark(known, candidates, T.NOW_MS)
 
 
+# Clears of five hundred users and more: twenty rows each, bases that often match, retries.
+T.VIEW_SQL["clear_turn"] = """
+ select (seq - 1) // 20 as user_id, seq - 1 as arrival, concat('c', case when (seq - 1) % 9 = 4 then seq - 2 else seq - 1 end) as attempt_id,
+  (seq - 1) % 20 // 2 as base_version, row_number() over (partition by (seq - 1) // 20 order by seq) as step,
+  case when (seq - 1) % 50 = 0 then 1706659200000 else least(1706659200000, greatest(published_ms - 86400000, created_ms + (seq % 9) * 86400000)) end as cand
+ from activity"""
+T.VIEW_SQL["clear_known"] = "select distinct (seq - 1) // 20 as user_id, cast(1704500000000 as bigint) as cleared_ms, cast(1 as bigint) as version from activity where (seq - 1) // 20 % 7 = 3"
+_CLEARS = """with recursive clear as (
+  select u.user_id, cast(0 as bigint) as step, k.cleared_ms, coalesce(k.version, 0) as version, cast([] as varchar[]) as applied,
+   cast(null as bigint) as arrival, cast(null as varchar) as attempt_id, cast(null as varchar) as outcome, false as stepped
+  from (select distinct user_id from clear_turn) u left join clear_known k on k.user_id = u.user_id
+  union all
+  select user_id, step, case when hit and grew then cand else cleared_ms end, case when hit and grew then version + 1 else version end,
+   case when hit then list_append(applied, attempt_id) else applied end, arrival, attempt_id,
+   case when again then 'already-applied' when hit then 'applied' else 'conflict' end, hit and grew
+  from (select *, not again and base_version = version as hit, cleared_ms is null or cand > cleared_ms as grew
+   from (select c.user_id, t.step, c.cleared_ms, c.version, c.applied, t.arrival, t.attempt_id, t.base_version, t.cand,
+     list_contains(c.applied, t.attempt_id) as again
+    from clear c join clear_turn t on t.user_id = c.user_id and t.step = c.step + 1)))"""
+
+
+def _clears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("seq") - 1
+    rows = T.activity(spark, sf_dir)
+    log = rows.select(
+        F.floor(n / 20).alias("user_id"),
+        n.alias("arrival"),
+        F.concat(F.lit("m"), n).alias("mutation_id"),
+        F.concat(F.lit("c"), F.when(n % 9 == 4, n - 1).otherwise(n)).alias("attempt_id"),
+        F.floor(n % 20 / 2).alias("base_version"),
+        F.when(n % 50 != 0, F.col("published_ms") - T.DAY_MS).alias("anchor_ms"),
+        (F.col("created_ms") + (F.col("seq") % 9) * T.DAY_MS).alias("candidate_ms"),
+    )
+    user = F.floor(n / 20)
+    known = rows.filter(user % 7 == 3).select(user.alias("user_id")).distinct()
+    known = known.withColumns({"cleared_ms": F.lit(1704500000000).cast("long"), "version": F.lit(1).cast("long")})
+    none = spark.createDataFrame([], "user_id long, attempt_id string")
+    return clears.apply_clears(log, known, none, T.NOW_MS)
+
+
+@query(f"{_CLEARS} select user_id, arrival, attempt_id, outcome, cleared_ms, version, stepped from clear where step > 0")
+def clear_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clears of all users as compare-and-set with base versions and re-sent attempts."""
+    return _clears(spark, sf_dir).drop("mutation_id")
+
+
+@query(
+    _CLEARS.replace("with recursive clear", _FOLD.replace(" turn t", " dense_turn t").replace("from mutation)", "from dense_turn)") + ", clear")
+    + """ select user_id, cast(row_number() over (partition by user_id order by arrival, entity_kind, entity_id) as bigint) as seq, entity_kind, entity_id, version, arrival from (
+      select entity_id % 250 as user_id, 'filter' as entity_kind, cast(entity_id as varchar) as entity_id, version, arrival from fold where outcome = 'applied'
+      union all select user_id, 'feed-state', 'feed', version, arrival from clear where outcome = 'applied' and stepped)"""
+)
+def write_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all users from outcomes in two deliveries, the second of which brings
+    all of the first again."""
+    filters = fold.apply_mutations(_dense_log(spark, sf_dir)).withColumn("user_id", F.col("entity_id") % 250)
+    changes = materialise(clears.state_changes(filters, _clears(spark, sf_dir)), "changes")
+    half = changes.agg(F.max("arrival")).first()[0] // 2
+    empty = spark.createDataFrame([], "user_id long, seq long, entity_kind string, entity_id string, version long, arrival long")
+    first = materialise(clears.write_state_log(empty, changes.filter(F.col("arrival") <= half)), "log")
+    return first.unionByName(clears.write_state_log(first, changes))
+
+
 @query("select user_id, max(seq) as head_seq, count(*) as n from state_log group by user_id")
 def state_log_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.log_heads(state_log(spark, sf_dir))
