@@ -72,6 +72,7 @@ class _Builder(HTMLParser):
         self.nodes = [Node("", -1)]
         self.nodes[0].tag = "root"
         self.open: list[tuple[str, int]] = [("root", 0)]  # tag, block it belongs to
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.hidden = 0
         self.links = 0
         self.run: list[str] = []
@@ -97,7 +98,7 @@ class _Builder(HTMLParser):
                 self._close_until(_HIDDEN_CLOSES[tag], _LIMITS)
             # What is still hidden is kept open too, so that its end tags find it.
             if self.hidden:
-                self.open.append((tag, self.open[-1][1]))
+                self._push(tag, self.open[-1][1])
                 self.hidden += tag in _HIDDEN and tag != "head"
                 self.links += tag == "a"
                 return
@@ -105,7 +106,7 @@ class _Builder(HTMLParser):
             self._close_until({"head"}, set())
         if tag in _HIDDEN:
             self.flush()
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             self.hidden += tag != "head"
             return
         if tag in ("br", "img", "wbr"):
@@ -122,12 +123,27 @@ class _Builder(HTMLParser):
             values = {k: v or "" for k, v in attrs}
             names = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower()
             number = self._add(tag, names=names, label=values.get("data-label"))
-            self.open.append((tag, number))
+            self._push(tag, number)
         elif tag not in _VOID:
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             self.links += tag == "a"
 
+    def _push(self, tag: str, block: int) -> None:
+        self.open.append((tag, block))
+        self.count[tag] += 1
+
+    def parse_marked_section(self, i, report=1):
+        """Whatever begins with ``<![`` is a comment that ends at the next ``>``."""
+        return self.parse_bogus_comment(i)
+
+    def parse_comment(self, i, report=True):
+        """A comment without an end takes the rest of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def _close_until(self, tags: set[str], limits: set[str]) -> None:
+        if not any(self.count[tag] for tag in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
                 self._close_from(k)
@@ -141,11 +157,14 @@ class _Builder(HTMLParser):
         for tag, _ in self.open[at:]:
             self.links -= tag == "a" and self.links > 0
             self.hidden -= tag in _HIDDEN and tag != "head" and self.hidden > 0
+            self.count[tag] -= 1
         del self.open[at:]
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.run.append(" ")
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 self._close_from(k)
@@ -154,7 +173,7 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.hidden or any(tag == "head" or tag == "title" for tag, _ in self.open):
+        if self.hidden or self.count["head"] or self.count["title"]:
             return
         self.run.append(data)
         self.run_linked += len(data.strip()) if self.links else 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -253,3 +254,21 @@ def test_empty_tables(spark, docs, model):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extracted(pages, model).count() == 0
     assert html_text.trained(pages).weights
+
+
+def test_broken_pages_are_pages():
+    """Any text is a page, and takes time in proportion to its length."""
+    rng = random.Random(6)
+    parts = ["<![ foo", "<![foo[x]]>", "<![CDATA[y]]>", "<!--", "-->", "<!", "<?", "</", "<p", "<p>", "</p>", "<b>", "<div id=x>", "</div>"]
+    parts += ["<script>", "</script>", "<title>", "<select><option>", "&#xD83D;", "&#99999999;", "<a href='", '">', ">", "<", "text", "\0", "é"]
+    for _ in range(10_000):
+        html_text.tree("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))))
+    article = "<article><p>One.</p><p>Two.</p></article>"
+    texts = lambda page: [n.text for n in html_text.tree(page) if n.text]
+    assert texts("<![ foo" + article + "<![foo[x]]><p>Three.") == ["One.", "Two.", "Three."] or texts(
+        "<![foo[x]]>" + article
+    ) == ["One.", "Two."]
+    for part in ("<!--", "<b>", "</i>", "<b>x", "<![", "<p>", "<div>x", "</p>"):
+        began = time.perf_counter()
+        html_text.tree(part * (200_000 // len(part)))
+        assert time.perf_counter() - began < 5, part
