@@ -53,6 +53,36 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.merged_stats(spark, f"{root}/deltas", "actor_key", "type")
 
 
+@query(
+    """select 'actor_type' as level, null as viewer_id, actor_key, type, count(*) as n, max(published_ms) as latest_ms from activity where not hidden group by actor_key, type
+    union all select 'type', null, null, type, count(*), max(published_ms) from activity where not hidden group by type
+    union all select 'member', m.viewer_id, m.actor_key, null, count(*), max(a.published_ms) from activity a
+     join membership m on m.key = a.actor_key and m.revision = 'r2' where not a.hidden group by m.viewer_id, m.actor_key"""
+)
+def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels of statistics over two deliveries, between which follow lists change."""
+    root = scratch_path(spark, "levels")
+    rows = T.activity(spark, sf_dir)
+    half = ingest.head_seq(rows) // 2
+    for revision, part in ((T.PREVIOUS, F.col("seq") <= half), (T.ACTIVE, F.col("seq") > half)):
+        rows.filter(part).write.mode("append").parquet(f"{root}/inbox")
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/inbox")
+        jobs.stream_levels(source, membership(spark, sf_dir, revision), root, f"{root}/checkpoint")
+    none = F.lit(None)
+    levels = [
+        jobs.merged_stats(spark, f"{root}/deltas", "actor_key", "type").select(
+            F.lit("actor_type").alias("level"), none.cast("int").alias("viewer_id"), "actor_key", "type", "n", "latest_ms"
+        ),
+        jobs.merged_stats(spark, f"{root}/deltas", "type").select(
+            F.lit("type").alias("level"), none.cast("int").alias("viewer_id"), none.cast("string").alias("actor_key"), "type", "n", "latest_ms"
+        ),
+        jobs.member_stats(spark, root).select(
+            F.lit("member").alias("level"), "viewer_id", F.col("member_key").alias("actor_key"), none.cast("string").alias("type"), "n", "latest_ms"
+        ),
+    ]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
 @query(
     """select actor_key, count(*) as n, max(seq) as last_seq, count(distinct case when seq <= (select max(seq) // 2 from activity_change) then 0 else 1 end) as n_runs
     from activity_change group by actor_key"""

@@ -317,6 +317,38 @@ def test_mutation_stream_carries_state_between_runs(spark, tmp_path):
     assert got[13] == ("already-applied", 3, False) and got[14] == ("applied", 4, False)
 
 
+def test_member_statistics_follow_aliases_between_runs(spark, tmp_path):
+    """After each run the member level equals a recount under the membership of that run."""
+    root, mark, inbox = (str(tmp_path / n) for n in ("root", "mark", "in"))
+    stored: list[tuple] = []
+
+    def run(new, membership):
+        data = [(f"a{len(stored) + k}", key, "t", at, False) for k, (key, at) in enumerate(new)]
+        stored.extend(data)
+        schema = "activity_id string, actor_key string, type string, published_ms long, hidden boolean"
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(inbox)
+        keys = spark.createDataFrame(membership, jobs.MEMBERSHIP)
+        jobs.stream_levels(spark.readStream.schema(schema).parquet(inbox), keys, root, mark)
+        want = {}
+        for viewer, key, member in set(membership):
+            for _, actor, _, at, _ in stored:
+                if actor == key:
+                    n, latest = want.get((viewer, member), (0, 0))
+                    want[viewer, member] = (n + 1, max(latest, at))
+        got = {(r.viewer_id, r.member_key): (r.n, r.latest_ms) for r in jobs.member_stats(spark, root).collect()}
+        assert got == want
+        return got
+
+    run([("x", 5), ("x", 9), ("old-x", 20), ("y", 1)], [(1, "x", "x"), (1, "y", "y"), (2, "y", "y")])
+    # An alias is found, a member leaves, another viewer follows; no new activity of them.
+    got = run([("z", 3)], [(1, "x", "x"), (1, "old-x", "x"), (2, "y", "y"), (2, "x", "x")])
+    assert got[1, "x"] == (3, 20) and (1, "y") not in got
+    # The alias goes again: the latest time falls back; a repeated row is no second key.
+    got = run([], [(1, "x", "x"), (1, "x", "x"), (3, "z", "z")])
+    assert got == {(1, "x"): (2, 9), (3, "z"): (1, 3)}
+    run([("x", 30)], [(1, "x", "x")])
+
+
 def steps(**changed):
     order = []
     plain = {
