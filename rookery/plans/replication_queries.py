@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.operators import identity, ingest
+from rookery.operators import coverage as C
 from rookery.operators import replication as P
 from rookery.plans.catalog import query
 from rookery.plans.identity_queries import positions
@@ -185,3 +186,36 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("event_id") % 3 == 0).alias("is_end"),
         )
     )
+
+
+T.VIEW_SQL["page_read"] = """
+ select user_id as scope, event_id as nth, case event_type when 'error' then 'gap' when 'purchase' then 'gap' when 'signup' then 'delta' else 'history' end as kind,
+  event_id * 7 % 400 as low, event_id * 7 % 400 + event_id % 41 - 2 as high, event_id % 3 = 0 as is_end from events where user_id % 11 <> 5 or event_type <> 'view' and event_type <> 'click'"""
+
+
+@query(
+    """with recursive point as (select scope, kind, nth, unnest(range(low, high + 1)) as seq from page_read),
+     state as (select scope, seq, max(nth) filter (kind <> 'gap') as read_at, max(nth) filter (kind = 'gap') as gap_at from point group by scope, seq),
+     missing as (select scope, count(*) as n, min(seq) as first from state where gap_at > coalesce(read_at, -1) group by scope),
+     known as (select scope, count(*) as n from state where read_at is not null group by scope)
+    select f.scope, case when f.has_history then 'initialized' else 'pending' end as bootstrap,
+     case when not f.has_history then 'unchecked' when f.last_end then 'exhausted' else 'may-have-more' end as remote_window,
+     case when m.n > 0 then 'gap-detected' else 'continuous' end as integrity, coalesce(k.n, 0) as n_covered, coalesce(m.n, 0) as n_missing, m.first as first_missing
+    from (select scope, bool_or(kind = 'history') as has_history, arg_max(is_end, nth) filter (kind = 'history') as last_end from page_read group by scope) f
+    left join missing m on m.scope = f.scope left join known k on k.scope = f.scope"""
+)
+def coverage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of all scopes from overlapping windows; the twin looks at every sequence."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    outcome = F.when(kind.isin("error", "purchase"), C.GAP).when(kind == "signup", C.DELTA).otherwise(C.HISTORY)
+    events = T.read(spark, sf_dir, "events").filter((F.col("user_id") % 11 != 5) | ~kind.isin("view", "click"))
+    return C.coverage_facts(
+        events.select(
+            F.col("user_id").alias("scope"),
+            n.alias("at"),
+            outcome.alias("kind"),
+            (n * 7 % 400).alias("low"),
+            (n * 7 % 400 + n % 41 - 2).alias("high"),
+            (n % 3 == 0).alias("is_end"),
+        )
+    )
