@@ -151,6 +151,10 @@ def test_scalars(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
     assert value(X.decode_entities(F.lit("&#0000000065;&#x000000000041;&#xD83D;"))) == "AA\ufffd"
+    for pair in ("&#xD83D;&#xDE00;", "&#x00d83d;&#xde00;", "&#55357;&#56832;", "&#055357;&#56832;"):
+        assert value(X.decode_entities(F.lit(f"a{pair}b{pair}{pair}"))) == "a\U0001f600b\U0001f600\U0001f600"
+    halves = "&#xDE00;&#xD83D;&#xD83D;&#xDE00;&#xDE00;&#xD83D; &#xDE00;x"
+    assert value(X.decode_entities(F.lit(halves))) == "\ufffd\ufffd\U0001f600\ufffd\ufffd \ufffdx"
     assert value(X.decode_entities(F.lit("&amp;#39; &amp;lt; &#x1F600; &#0x; &#99999999; &"))) == "' &lt; \U0001f600 &#0x; &#99999999; &"
     assert value(X.summarize_html(F.lit("<p> </p>"))) is None
     assert value(X.summarize_html(F.lit("<b>" + "x" * 300))) == "x" * 220
