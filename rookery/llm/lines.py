@@ -1,10 +1,12 @@
 """Line deduplication with a tree of log templates.
 
 A line is parsed to a fixed depth: number of tokens, then its first tokens, with
-tokens that hold digits as variable fields. Lines that reach one leaf from several
-documents are generalised: a token that occurs at its place in one document only is
-a variable field too. Lines that are equal but for digits recur if their constant tokens
-are many enough, identical lines always. Lines whose remaining constant tokens are many enough and
+tokens that hold digits as variable fields. The different lines that reach one leaf are
+generalised: a token is constant at its place if several documents have it there and it
+stands in more than a share of the leaf's lines; all others are variable fields. The bar
+is a share, so at most ``1 / RARE`` tokens of a place are constant however many lines a
+leaf has. Lines that are equal but for digits recur if their constant tokens are many
+enough, identical lines always. Lines whose remaining constant tokens are many enough and
 equal share a template; a template that recurs is kept in its first document and
 dropped from all others. Documents with the same whole text count as one here, so
 copies keep their lines and are left to the deduplication of documents. Built-in
@@ -23,144 +25,143 @@ from rookery.session import materialise
 DEPTH = 3
 #: Share of a template's tokens that must be constant.
 CONSTANT = 0.7
+#: Percentage of a leaf's lines above which a token is constant at its place.
+RARE = 5
 #: Lines with fewer tokens keep only digits as variable fields.
 LEAST_TOKENS = 6
 FIELD = "<*>"
-FILTER_PAGES, _PAGE_BITS = 256, 32_768
-_SPACES = r"[ \t]+"
+#: Words of 64 bits in the filter of look-ups: two megabytes in all whatever the data.
+FILTER_WORDS = 1 << 17
+_SPACES = r"[ \t]{2,}|\t"
+# Whole tokens with a digit, each tried at its start only.
+_FIELDS = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
+_LINE = ["line", "check"]
+_ROW = ["id", "hash"]
 
 
-def _single(line: Column) -> Column:
-    """The line with single blanks for runs of blanks and tabs, none at its ends."""
-    return F.trim(F.regexp_replace(line, _SPACES, " "))
-
-
-def _masked(line: Column) -> Column:
-    """The single-blank line with tokens that hold digits as variable fields."""
-    single = _single(line)
-    fields = F.regexp_replace(single, r"\S*[0-9]\S*", FIELD)
-    return F.when(line.rlike("[0-9]"), fields).otherwise(single)
+def _single(text: Column | str) -> Column:
+    """The text with single blanks for runs of blanks and tabs."""
+    return F.regexp_replace(text, _SPACES, " ")
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """Lines that are not blank, as hashes: ``row, doc_id, line_no, masked``, the leaf that
-    parsing reaches, ``shape`` (of the masked line) and ``line``, by which lines are equal:
-    of the masked line if enough of its tokens are constant, of the line itself if not."""
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masked = lines.select(
-        "row", "doc_id", "line_no", _single(F.col("line")).alias("single"), _masked(F.col("line")).alias("masked")
+    """Lines that are not blank, as hashes: ``id, hash, line_no``, ``line, check`` (96 bits by
+    which lines are equal: of the line with its fields masked if enough of its tokens are
+    constant, of the line itself if not) and the ``leaf`` that parsing reaches (null if the
+    line is too short for a template or has too few constant tokens)."""
+    # On whole texts, before they are cut: one call of the patterns for each document.
+    single = rows.select(*_ROW, _single("text").alias("single"))
+    masked = single.select(*_ROW, "single", F.regexp_replace("single", _FIELDS, FIELD).alias("masked"))
+    both = F.arrays_zip(F.split("single", "\n").alias("single"), F.split("masked", "\n").alias("masked"))
+    cut = masked.select(*_ROW, F.posexplode(both).alias("line_no", "cut")).select(
+        *_ROW, "line_no", F.trim("cut.single").alias("single"), F.trim("cut.masked").alias("masked")
     )
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     padded = F.concat(F.lit(" "), F.replace("masked", F.lit(" "), F.lit("  ")), F.lit(" "))
     fields = (F.length(padded) - F.length(F.replace(padded, F.lit(f" {FIELD} "), F.lit("")))) / (len(FIELD) + 2)
-    few = F.col("masked").contains(FIELD) & ((tokens - fields) / tokens < CONSTANT)
-    return masked.filter("masked <> ''").select(
-        "row",
-        "doc_id",
+    counted = cut.filter("masked <> ''").withColumn("tokens", tokens)
+    few = F.col("masked").contains(FIELD) & ((F.col("tokens") - fields) / F.col("tokens") < CONSTANT)
+    keyed = counted.withColumn("few", few)
+    key = F.when(F.col("few"), F.col("single")).otherwise(F.col("masked"))
+    leaf = F.xxhash64("tokens", F.substring_index("masked", " ", DEPTH))
+    return keyed.select(
+        *_ROW,
         "line_no",
-        "masked",
-        tokens.alias("tokens"),
-        F.xxhash64("masked").alias("shape"),
-        F.xxhash64(F.when(few, F.col("single")).otherwise(F.col("masked"))).alias("line"),
-        F.xxhash64(tokens, F.substring_index("masked", " ", DEPTH)).alias("leaf"),
+        F.xxhash64(key).alias("line"),
+        F.hash(key).alias("check"),
+        F.when(~F.col("few") & (F.col("tokens") >= LEAST_TOKENS), leaf).alias("leaf"),
     )
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """``line, first_row``: every line (by the hash that ``_lines`` gives it) that several
-    rows hold or whose template they share, and the first of these rows.
+def recurring(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``line, check, first``: every line (as ``_lines`` names it) that several documents hold
+    or whose template they share, and the first of these documents (``id, hash, line_no``).
 
-    ``rows`` has ``row`` (an order of the documents), ``doc_id`` and ``text``.
+    ``rows`` has ``id, hash`` (an order of the documents) and ``text``; ``lines`` are theirs.
     """
-    lines = _lines(rows)
-    # Per distinct line its first document and the range of text hashes it occurs in, which
+    # Per distinct line its first place and the range of text hashes it occurs in, which
     # is a single value if no other text has it; summed before the shuffle.
     each = materialise(
-        lines.groupBy("leaf", "shape", "line", "tokens").agg(
-            F.min("row").alias("first_row"), F.min("row.hash").alias("low"), F.max("row.hash").alias("high")
+        lines.groupBy(*_LINE, "leaf").agg(
+            F.min(F.struct(*_ROW, "line_no")).alias("first"),
+            F.min("hash").alias("low"),
+            F.max("hash").alias("high"),
         ),
         "lines",
     )
-    equal = each.filter("low < high").select("line", "first_row")
-    # Leaves that hold different lines of different documents.
+    equal = each.filter("low < high").select(*_LINE, "first")
+    # Leaves that hold different lines of different documents, with the number of lines.
+    parsed = each.filter(F.col("leaf").isNotNull())
     mixed = (
-        each.filter(F.col("tokens") >= LEAST_TOKENS)
-        .groupBy("leaf")
-        .agg(F.min("shape").alias("least"), F.max("shape").alias("most"), *_range())
-        .filter("least < most and low < high")
-        .select("leaf")
-    )
-    # Lines of one shape are one line here; templates reach the share with ``line`` = ``shape`` only.
-    asked = materialise(
-        split_join(each, mixed, ["leaf"])
-        .groupBy("leaf", F.col("shape").alias("line"))
-        .agg(F.min("first_row").alias("first_row"), *_range()),
-        "leaves",
+        parsed.groupBy("leaf")
+        .agg(F.count("*").alias("n_lines"), *_range())
+        .filter("n_lines > 1 and low < high")
+        .select("leaf", "n_lines")
     )
-    # The texts of these lines only; most others are left out before the shuffle.
-    texts = (
-        _likely(lines.select(F.col("shape").alias("line"), F.col("row").alias("first_row"), "masked"), asked)
-        .join(asked.select("line", "first_row"), ["line", "first_row"])
-        .dropDuplicates(["line"])
-        .drop("first_row")
+    asked = materialise(split_join(parsed, mixed, ["leaf"]), "leaves")
+    placed = materialise(_placed(rows, asked), "tokens")
+    constant = (
+        placed.filter(F.col("spot").isNotNull())
+        .groupBy("spot")
+        .agg(F.count("*").alias("n"), F.max("n_lines").alias("n_lines"), *_range())
+        .filter(f"low < high and 100 * n > {RARE} * n_lines")
+        .select("spot")
     )
-    # Tokens by place with the documents they occur in.
-    placed = materialise(
-        texts.join(asked, "line").select(
-            "leaf", "line", "first_row", "low", "high",
-            F.posexplode(F.split("masked", " ")).alias("place", "token"),
-        ),
-        "tokens",
-    )
-    common = (
-        placed.filter(F.col("token") != FIELD)
-        .groupBy("leaf", "place", "token")
-        .agg(*_range())
-        .filter("low < high")
-        .select("leaf", "place", "token", F.lit(True).alias("constant"))
-    )
-    known = split_join(placed, common, ["leaf", "place", "token"], "left").withColumn(
-        "constant", F.coalesce("constant", F.lit(False))
-    )
-    shown = F.when(F.col("constant"), F.col("token")).otherwise(FIELD)
-    templates = (
-        known.groupBy("leaf", "line")
-        .agg(
-            F.min("first_row").alias("first_row"),
-            *_range(),
-            F.avg(F.col("constant").cast("int")).alias("share"),
-            F.sum(F.xxhash64("place", shown).cast("decimal(20,0)")).alias("template"),
-        )
-        .filter(F.col("share") >= CONSTANT)
+    shapes = (
+        split_join(placed.select(*_LINE, "tokens", "spot"), constant, ["spot"])
+        .groupBy(*_LINE, "tokens")
+        .agg(F.count("*").alias("n_constant"), F.bit_xor("spot").alias("template"))
+        .filter(F.col("n_constant") >= CONSTANT * F.col("tokens"))
+        .drop("tokens")
     )
+    templates = asked.join(shapes, _LINE)
+    template = ["leaf", "template", "n_constant"]
     shared = (
-        templates.groupBy("leaf", "template")
-        .agg(F.min("first_row").alias("first_row"), *_range())
+        templates.groupBy(*template)
+        .agg(F.min("first").alias("first"), *_range())
         .filter("low < high")
-        .select("leaf", "template", "first_row")
+        .select(*template, "first")
     )
-    like = split_join(templates.select("leaf", "template", "line"), shared, ["leaf", "template"])
-    found = equal.unionByName(like.select("line", "first_row"))
-    return found.groupBy("line").agg(F.min("first_row").alias("first_row"))
+    like = split_join(templates.select(*template, *_LINE), shared, template)
+    found = equal.unionByName(like.select(*_LINE, "first"))
+    return found.groupBy(*_LINE).agg(F.min("first").alias("first"))
+
+
+def _placed(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Tokens of the ``asked`` lines: ``line, check, n_lines, tokens, low, high`` and ``spot``,
+    the hash of leaf, place and token, null for a variable field."""
+    place = [*_ROW, "line_no"]
+    at = F.xxhash64(*place).alias("at")
+    wanted = asked.select("*", *(F.col(f"first.{c}") for c in place)).drop("first")
+    cut = rows.select(*_ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    # Lines at these places only; most others are left out before the shuffle. Rows with one
+    # id and one text have the same lines.
+    found = _likely(cut.select("*", at), wanted.select(at), "at").select(*place, "text").dropDuplicates(place)
+    masked = F.regexp_replace(F.trim(_single("text")), _FIELDS, FIELD)
+    tokens = wanted.join(found, place).withColumn("words", F.split(masked, " "))
+    exploded = tokens.select(
+        *_LINE, "leaf", "n_lines", "low", "high",
+        F.size("words").alias("tokens"), F.posexplode("words").alias("place", "token"),
+    )
+    spot = F.when(F.col("token") != FIELD, F.xxhash64("leaf", "place", "token"))
+    return exploded.select(*_LINE, "n_lines", "low", "high", "tokens", spot.alias("spot"))
 
 
-def _likely(lines: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose hash may be among those ``asked``.
+def _likely(lines: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of ``lines`` whose hash ``key`` may be among those ``asked``.
 
-    The asked hashes set bits of ``FILTER_PAGES`` bitmaps of 32,768 bits each, a megabyte
-    in all whatever the data, which may be sent to every task. Whoever shares a bit stays
-    in; the join after this decides.
+    The asked hashes set bits of at most ``FILTER_WORDS`` words, which may be sent to every
+    task. Whoever shares a bit stays in; the join after this decides.
     """
-    page = F.pmod(F.shiftrightunsigned("line", 20), F.lit(FILTER_PAGES)).alias("_page")
-    bit = F.pmod(F.col("line"), F.lit(_PAGE_BITS)).alias("_bit")
-    pages = (
-        asked.select(page, bit).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    word = F.pmod(F.col(key), F.lit(FILTER_WORDS)).alias("_word")
+    bit = F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    words = (
+        asked.select(word, bit)
+        .groupBy("_word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     )
-    place = F.expr("cast(_bit div 8 as int) + 1")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), place, F.lit(1))), 16, 10).cast("long")
-    flag = F.expr("element_at(array(1, 2, 4, 8, 16, 32, 64, 128), cast(_bit % 8 as int) + 1)")
-    kept = lines.select("*", page, bit).join(F.broadcast(pages), "_page")
-    return kept.filter(byte.bitwiseAND(flag) != 0).select(*lines.columns)
+    kept = lines.select("*", word, bit).join(F.broadcast(words), "_word")
+    return kept.filter(F.expr("bit_get(_bits, _bit) = 1")).select(*lines.columns)
 
 
 def _range() -> list[Column]:
@@ -198,27 +199,22 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """``doc`` (the given row), ``text`` after dropping, ``n_lines`` and ``n_dropped``."""
     last = F.lit((1 << 63) - 1).cast("long")
-    hashed = F.struct(
-        F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64("text").alias("hash")
-    )
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), hashed.alias("row"))
-    keyed = docs.select("doc_id", "text", hashed.alias("row"))
-    drop = materialise(recurring(keyed), "recurring")
-    narrow = _likely(_lines(keyed).select("row", "line_no", "line"), drop)
-    found = split_join(narrow, drop, ["line"]).filter(
-        F.col("row.hash") != F.col("first_row.hash")
-    )
+    row = [F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64("text").alias("hash")]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *row)
+    keyed = docs.select(*row, "text")
+    lines = materialise(_lines(keyed), "line-hashes")
+    drop = materialise(recurring(keyed, lines).select(*_LINE, F.col("first.hash").alias("kept_in")), "recurring")
+    found = split_join(_likely(lines.drop("leaf"), drop, "line"), drop, _LINE).filter("hash <> kept_in")
     # The numbers of a document's own dropped lines.
-    dropped = found.groupBy("row").agg(F.collect_set("line_no").alias("numbers"))
+    dropped = found.groupBy(*_ROW).agg(F.collect_set("line_no").alias("numbers"))
     text = F.col("doc.text")
-    lines = F.split(text, "\n")
-    numbers = F.coalesce("numbers", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
-    joined = F.array_join(F.transform(kept, lambda k: F.get(F.col("lines"), k)), "\n")
-    filled = F.size(F.filter(lines, lambda x: _single(x) != ""))
-    return packed.join(dropped, "row", "left").withColumn("lines", lines).select(
+    cut = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("numbers"))
+    joined = F.array_join(F.transform(kept, lambda k: F.get(cut, k)), "\n")
+    filled = F.regexp_count(text, F.lit(r"[^ \t\n][^\n]*"))
+    return packed.join(dropped, _ROW, "left").select(
         "doc",
-        F.when(text.isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
-        F.size(numbers).cast("long").alias("n_dropped"),
+        F.coalesce(filled, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(text.isNull() | F.col("numbers").isNull(), text).otherwise(joined).alias("text"),
     )

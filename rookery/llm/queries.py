@@ -251,47 +251,53 @@ with split as (
     unnest(range(len(string_split(text, chr(10))))) as line_no
   from documents),
 single as (
-  select *, regexp_replace(trim(line, ' '), '[ \t]+', ' ', 'g') as s from split),
+  select *, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') as s from split),
 masked as (
-  select doc_id, hash, line_no, case when regexp_matches(line, '[0-9]')
+  select doc_id, hash, line_no, s, case when regexp_matches(line, '[0-9]')
     then regexp_replace(s, '\S*[0-9]\S*', '<*>', 'g') else s end as masked
   from single),
-lines as (
+counted as (
   select *, string_split(masked, ' ') as t, len(string_split(masked, ' ')) as tokens,
-    array_to_string(string_split(masked, ' ')[1:3], ' ') as lead
-  from masked where masked <> ''),
+    len(string_split(masked, ' ')) - (length(padded) - length(replace(padded, ' <*> ', ''))) // 5 as fixed
+  from (select *, ' ' || replace(masked, ' ', '  ') || ' ' as padded from masked)),
+lines as (
+  select *, case when contains(masked, '<*>') and fixed < 0.7 * tokens then s else masked end as line,
+    case when tokens >= 6 and not (contains(masked, '<*>') and fixed < 0.7 * tokens)
+      then array_to_string(t[1:3], ' ') end as lead
+  from counted where masked <> ''),
 each as (
-  select lead, tokens, masked, t, min(doc_id) as first_id, min(hash) as low, max(hash) as high
-  from lines group by all),
+  select line, lead, tokens, any_value(t) as t, min(doc_id) as first_id, min(hash) as low, max(hash) as high
+  from lines group by line, lead, tokens),
 leaves as (
-  select lead, tokens from each where tokens >= 6 group by all having count(*) > 1 and min(low) < max(high)),
+  select lead, tokens, count(*) as n_lines from each where lead is not null
+  group by all having count(*) > 1 and min(low) < max(high)),
 placed as (
-  select lead, tokens, masked, first_id, low, high, unnest(t) as token, unnest(range(len(t))) as place
-  from each semi join leaves using (lead, tokens)),
+  select lead, tokens, line, first_id, low, high, n_lines, unnest(t) as token, unnest(range(len(t))) as place
+  from each join leaves using (lead, tokens)),
 common as (
   select lead, tokens, place, token from placed where token <> '<*>'
-  group by all having min(low) < max(high)),
+  group by all having min(low) < max(high) and 100 * count(*) > 5 * max(n_lines)),
 known as (
   select placed.*, common.place is not null as constant
   from placed left join common using (lead, tokens, place, token)),
 templates as (
-  select lead, tokens, masked, min(first_id) as first_id, min(low) as low, max(high) as high,
+  select lead, tokens, line, min(first_id) as first_id, min(low) as low, max(high) as high,
     string_agg(case when constant then token else '<*>' end, ' ' order by place) as template
-  from known group by lead, tokens, masked having avg(constant::int) >= 0.7),
+  from known group by lead, tokens, line having count(*) filter (where constant) >= 0.7 * tokens),
 shared as (
   select lead, tokens, template, min(first_id) as first_id
   from templates group by all having min(low) < max(high)),
 recurring as (
-  select r.masked, r.first_id, md5(d.text) as first_hash from (
-    select masked, min(first_id) as first_id from (
-      select masked, first_id from each where low < high
+  select r.line, r.first_id, md5(d.text) as first_hash from (
+    select line, min(first_id) as first_id from (
+      select line, first_id from each where low < high
       union all
-      select t.masked, s.first_id from templates t join shared s using (lead, tokens, template))
-    group by masked) r join documents d on r.first_id = d.doc_id),
+      select t.line, s.first_id from templates t join shared s using (lead, tokens, template))
+    group by line) r join documents d on r.first_id = d.doc_id),
 judged as (
-  select s.doc_id, s.line_no, s.line, m.masked <> '' as filled, coalesce(s.hash <> r.first_hash, false) as dropped
-  from split s join masked m on s.doc_id = m.doc_id and s.line_no = m.line_no
-  left join recurring r on m.masked = r.masked and m.masked <> ''),
+  select s.doc_id, s.line_no, s.line, l.line is not null as filled, coalesce(s.hash <> r.first_hash, false) as dropped
+  from split s left join lines l on s.doc_id = l.doc_id and s.line_no = l.line_no
+  left join recurring r on l.line = r.line),
 rest as (
   select doc_id, count(*) filter (where filled) as n_lines, count(*) filter (where dropped) as n_dropped,
     coalesce(string_agg(line, chr(10) order by line_no) filter (where not dropped), '') as text

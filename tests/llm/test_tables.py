@@ -241,6 +241,16 @@ def test_lines_of_fields_recur_only_if_identical(spark):
     assert lines.cleaned(docs).count() == len(rows)
 
 
+def test_fields_of_small_vocabularies_recur(spark):
+    line = "the daily summary for {} in {} arrived"
+    pairs = [(f"n{chr(97 + a)}", f"c{chr(97 + b)}") for a in range(20) for b in range(20)]
+    rows = [(i, line.format(*p) + f"\nown {chr(97 + i // 26)}{chr(97 + i % 26)} words") for i, p in enumerate(pairs)]
+    rows += [(1000 + i, line.format(f"m{i}", f"d{i}").replace("daily", "other")) for i in range(2)]
+    docs = prepared(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.kept_lines(docs).collect()}
+    assert got == {i: int(0 < i < 400 or i == 1001) for i, _ in rows}
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
