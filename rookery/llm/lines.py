@@ -39,9 +39,21 @@ _LINE = ["line", "check"]
 _ROW = ["id", "hash"]
 
 
-def _single(text: Column | str) -> Column:
+def _single(text: str) -> Column:
     """The text with single blanks for runs of blanks and tabs."""
-    return F.regexp_replace(text, _SPACES, " ")
+    given = F.col(text)
+    return F.when(given.contains("  ") | given.contains("\t"), F.regexp_replace(given, _SPACES, " ")).otherwise(given)
+
+
+def _without(text: Column, part: str) -> Column:
+    """The number of bytes that the text loses without ``part``."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+
+
+def _filled(line: Column) -> Column:
+    """Whether a line holds more than blanks and tabs; the pattern runs where a tab comes first."""
+    trimmed = F.trim(line)
+    return (trimmed != "") & (~trimmed.startswith("\t") | trimmed.rlike(r"[^ \t]"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -56,9 +68,9 @@ def _lines(rows: DataFrame) -> DataFrame:
     cut = masked.select(*_ROW, F.posexplode(both).alias("line_no", "cut")).select(
         *_ROW, "line_no", F.trim("cut.single").alias("single"), F.trim("cut.masked").alias("masked")
     )
-    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    tokens = _without(F.col("masked"), " ") + 1
     padded = F.concat(F.lit(" "), F.replace("masked", F.lit(" "), F.lit("  ")), F.lit(" "))
-    fields = (F.length(padded) - F.length(F.replace(padded, F.lit(f" {FIELD} "), F.lit("")))) / (len(FIELD) + 2)
+    fields = _without(padded, f" {FIELD} ") / (len(FIELD) + 2)
     counted = cut.filter("masked <> ''").withColumn("tokens", tokens)
     few = F.col("masked").contains(FIELD) & ((F.col("tokens") - fields) / F.col("tokens") < CONSTANT)
     keyed = counted.withColumn("few", few)
@@ -211,10 +223,10 @@ def _judged(docs: DataFrame) -> DataFrame:
     cut = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("numbers"))
     joined = F.array_join(F.transform(kept, lambda k: F.get(cut, k)), "\n")
-    filled = F.regexp_count(text, F.lit(r"[^ \t\n][^\n]*"))
+    filled = F.size(F.filter(cut, _filled))
     return packed.join(dropped, _ROW, "left").select(
         "doc",
-        F.coalesce(filled, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
         F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(text.isNull() | F.col("numbers").isNull(), text).otherwise(joined).alias("text"),
     )
