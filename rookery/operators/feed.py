@@ -144,6 +144,23 @@ def _classes(
     return R.with_hits(base(activity), followed, held), edges
 
 
+def rule_counts(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
+    """``viewer_id, rule_text, n_rows``: rows of followed accounts on which a viewer's rule is
+    TRUE, for rules with such rows. Rows are counted by (account, rule) before the follow
+    lists meet them.
+    """
+    followed = membership.select("viewer_id", F.col("key").alias("actor_key")).distinct()
+    held = R.held_rules(rules)
+    rows = R.with_hits(base(activity), followed, held)
+    counts = (
+        rows.select("actor_key", F.explode("hits").alias("rule_id"))
+        .groupBy("actor_key", "rule_id")
+        .agg(F.count("*").alias("n_rows"))
+    )
+    mine = counts.join(followed, "actor_key").groupBy("viewer_id", "rule_id").agg(F.sum("n_rows").alias("n_rows"))
+    return held.join(mine, ["viewer_id", "rule_id"]).drop("rule_id")
+
+
 def _unhidden(joined: DataFrame) -> DataFrame:
     mine = F.coalesce("rule_ids", F.array().cast("array<bigint>"))
     return joined.filter(~F.arrays_overlap("hits", mine))

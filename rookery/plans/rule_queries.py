@@ -184,13 +184,24 @@ def rule_on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select viewer_id, concat('rule', rule_ix) as rule_id, concat('name', 99 - rule_ix) as name, rule_ix < 11 as is_valid,
-     row_number() over (partition by viewer_id order by concat('name', 99 - rule_ix), concat('rule', rule_ix)) - 1 as place
-    from user_filter where not deleted"""
+     row_number() over (partition by viewer_id order by concat('name', 99 - rule_ix), concat('rule', rule_ix)) - 1 as place,
+     coalesce(n_rows, 0) as n_rows
+    from user_filter left join (
+      select m.viewer_id, h.rule_ix, count(*) as n_rows
+      from (select distinct viewer_id, key from membership where revision = 'r2') m
+      join activity a on a.actor_key = m.key and not a.hidden
+      join rule_hit h on h.activity_id = a.activity_id
+      group by all) using (viewer_id, rule_ix)
+    where not deleted"""
 )
 def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live rules by name with validity, invalid ones included."""
-    listed = R.list_rules(user_filter(spark, sf_dir))
-    return listed.select("viewer_id", "rule_id", "name", "is_valid", "place")
+    """Live rules by name with validity, invalid ones included, and the rows of the viewer's
+    accounts on which each is true."""
+    rules = user_filter(spark, sf_dir)
+    counts = feed.rule_counts(T.activity(spark, sf_dir), membership(spark, sf_dir), rules)
+    listed = R.list_rules(rules).join(counts, ["viewer_id", "rule_text"], "left")
+    n_rows = F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows")
+    return listed.select("viewer_id", "rule_id", "name", "is_valid", "place", n_rows)
 
 
 _VISIBLE_PAIRS = """
