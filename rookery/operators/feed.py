@@ -131,17 +131,13 @@ def following_stats_all(
 def _classes(
     activity: DataFrame, membership: DataFrame, rules: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Activity with rule hits, and follow edges with the rules of their viewer.
+    """Activity with rule hits, and follow edges.
 
     A rule is tried on the activity of an account once, however many of the account's
-    followers hold it. The rules join the edges, not the fan-out, so no fanned-out row
-    is exchanged for them.
+    followers hold it.
     """
     followed = membership.select("viewer_id", F.col("key").alias("actor_key"))
-    held = R.held_rules(rules)
-    mine = held.groupBy("viewer_id").agg(F.collect_set("rule_id").alias("rule_ids"))
-    edges = split_join(followed, mine, ["viewer_id"], "left")
-    return R.with_hits(base(activity), followed, held), edges
+    return R.with_hits(base(activity), followed, R.held_rules(rules)), followed
 
 
 def rule_counts(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
@@ -161,9 +157,19 @@ def rule_counts(activity: DataFrame, membership: DataFrame, rules: DataFrame) ->
     return held.join(mine, ["viewer_id", "rule_id"]).drop("rule_id")
 
 
-def _unhidden(joined: DataFrame) -> DataFrame:
-    mine = F.coalesce("rule_ids", F.array().cast("array<bigint>"))
-    return joined.filter(~F.arrays_overlap("hits", mine))
+def _unhidden(classes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Classes with every follower none of whose rules hit them. Hits meet the followers one
+    by one: no list of a viewer's rules travels."""
+    held = R.held_rules(rules).select("viewer_id", "rule_id")
+    hit = classes.select("actor_key", "hits").filter(F.size("hits") > 0).distinct()
+    hidden = (
+        hit.withColumn("rule_id", F.explode("hits"))
+        .join(edges.distinct(), "actor_key")
+        .join(held, ["viewer_id", "rule_id"], "left_semi")
+        .select("viewer_id", "actor_key", "hits")
+        .distinct()
+    )
+    return classes.join(edges, "actor_key").join(hidden, ["viewer_id", "actor_key", "hits"], "left_anti")
 
 
 def visible_counts_all(activity: DataFrame, membership: DataFrame, rules: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def visible_counts_all(activity: DataFrame, membership: DataFrame, rules: DataFr
     rows, edges = _classes(activity, membership, rules)
     classes = stats_by(rows, "actor_key", "type", "hits")
     return (
-        _unhidden(classes.join(edges, "actor_key"))
+        _unhidden(classes, edges, rules)
         .groupBy("viewer_id", "type")
         .agg(F.sum("n").alias("n"), F.max("latest_ms").alias("latest_ms"))
     )
@@ -192,8 +198,7 @@ def visible_newest_all(
     rows, edges = _classes(activity, membership, rules)
     narrow = rows.select("activity_id", "actor_key", "type", "published_ms", "hits")
     candidates = top_n(narrow, ["actor_key", "hits"], newest_first(), n)
-    joined = candidates.join(edges, "actor_key")
-    return top_n(_unhidden(joined), ["viewer_id"], newest_first(), n, "position")
+    return top_n(_unhidden(candidates, edges, rules), ["viewer_id"], newest_first(), n, "position")
 
 
 def paginate_all(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:

@@ -17,6 +17,7 @@ over it. For users of several blocks the two questions are told apart:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,27 +100,30 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entities: dict[int, tuple[int, bool]] = {}
     took: set[str] = set()
     last: dict[int, str] = {}
+    answers: Counter[str] = Counter()  # how many entities answer for an attempt
     for batch in batches:
         out: list[tuple] = []
         columns = (c.to_pylist() for c in batch.columns)
         for owner, entity, arrival, mutation, attempt, base, kind, flag in zip(*columns, strict=True):
             if owner != user:
-                user, entities, took, last = owner, {}, set(), {}
+                user, entities, took, last, answers = owner, {}, set(), {}, Counter()
             if kind == "entry":
                 entities[entity] = (base, flag)
                 if attempt is not None:
+                    answers[last.pop(entity, None)] -= 1
                     last[entity] = attempt
+                    answers[attempt] += 1
                 continue
             if kind == "receipt":
                 took.add(attempt)
                 continue
             version, deleted = entities.get(entity, (0, False))
-            if attempt is not None and (attempt in took or attempt in last.values()):
+            if attempt is not None and (attempt in took or answers[attempt] > 0):
                 outcome = "already-applied"
             elif applies(version, deleted, base, kind):
                 outcome, version, deleted = "applied", version + 1, kind == "delete"
                 entities[entity] = (version, deleted)
-                last.pop(entity, None)
+                answers[last.pop(entity, None)] -= 1
                 if attempt is not None:
                     took.add(attempt)
             else:

@@ -187,6 +187,48 @@ def test_no_pair_of_row_and_rule_in_the_plan(spark, activity):
     assert names and not any("rule_text" in n and "title" in n for n in names)
 
 
+def test_rows_go_only_to_rules_whose_text_they_hold(spark, activity, monkeypatch):
+    """Blocks that a row is sent to follow from its own values, not from the number of rules."""
+
+    def sent(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column("activity_id").drop_null()
+            ones = pa.array([[1]] * len(ids), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, ones], ["activity_id", "hits"])
+
+    monkeypatch.setattr(R, "_tried", sent)
+    monkeypatch.setattr(R, "BLOCK_RULES", 1)
+    keyed = activity.withColumn("actor_key", F.lit("k"))
+    texts = [rule(leaf("title", "contains", f"user{k}")) for k in range(50)]
+    texts += [rule(leaf("title", "startsWith", "Alice"), leaf("type", "equals", "push"))]
+    followed = spark.createDataFrame([(1, "k")], "viewer_id int, actor_key string")
+    held = spark.createDataFrame([(1, t, k) for k, t in enumerate(texts)], "viewer_id int, rule_text string, rule_id long")
+    got = {r.activity_id: len(r.hits) for r in R.with_hits(keyed, followed, held).collect()}
+    assert got == {"a1": 1, "a2": 1, "b1": 0}
+
+
+def test_anchors_of_a_rule():
+    words = lambda text: (lambda found: found and [x["args"][0] for x in found])(R.anchors(R.parse_rule(text)))
+    one, two = leaf("type", "equals", "click"), leaf("title", "contains", "User12")
+    lacks = leaf("repo", "notContains", "a")
+    assert words(rule(one, two, lacks)) == ["User12"]
+    assert words(rule(one, two, op="or")) == ["click", "User12"]
+    assert words(rule(one, lacks, op="or")) is None and words(rule(lacks)) is None
+    assert words(rule(lacks, invert=True)) == ["a"] and words(rule(one, invert=True)) is None
+    assert words(rule(group("and", one, invert=True))) == ["click"]
+    assert words(rule(leaf("title", "contains", ""))) is None and words(rule(leaf("title", "equals", ""))) == [""]
+
+
+def test_no_list_of_a_viewers_rules_travels(spark, activity):
+    keyed = activity.withColumns({"hidden": F.lit(False), "actor_key": F.col("actor_login")})
+    membership = spark.createDataFrame([(1, "alice", "alice")], "viewer_id int, key string, actor_key string")
+    table = spark.createDataFrame([(1, rule(leaf("type", "equals", "star")), False)], "viewer_id int, rule_text string, deleted boolean")
+    plan = feed.visible_counts_all(keyed, membership, table)._jdf.queryExecution().toString()
+    assert "collect_set" not in plan
+
+
 def test_many_viewers_with_invalid_and_missing_rules(spark, activity):
     activity = activity.withColumn("hidden", F.lit(False)).withColumn(
         "actor_key", F.concat(F.lit("k-"), "actor_login")
