@@ -1,9 +1,9 @@
 """Compare-and-set fold over a mutation log, for entities and users of any size.
 
 A mutation applies when its base version is the version of its entity, unless its
-attempt took effect before, on whichever entity of the user. The log is cut into blocks
-of bounded size by user and arrival. A user who lies in one block is settled by one pass
-over it. For users of several blocks the two questions are told apart:
+attempt took effect before, on whichever entity of the user. A user with no more rows than
+a block holds is settled by one pass over them. For users of more the log is cut into blocks
+of bounded size by entity and arrival, and the two questions are told apart:
 
 * Versions: rows are cut by entity and arrival. A block that its entity begins in an
   earlier one is reduced to the map "version on entry -> version on exit"; the maps are
@@ -342,19 +342,19 @@ def apply_mutations(
         (_owner(state) if named else none).alias("owner"), "entity_id", "version", "deleted", attempt.alias("attempt_id")
     )
     earlier = receipts.select(_owner(receipts), "attempt_id").distinct()
-    rows = _cut(log.select(_owner(log), *_ROW), "owner", block_rows)
-    users = rows.groupBy("owner").agg((F.min("part") < F.max("part")).alias("wide"))
+    rows = materialise(log.select(_owner(log), *_ROW).filter("owner is not null"), "log")
+    users = rows.groupBy("owner").agg((F.count("*") > block_rows).alias("wide"))
     users = materialise(users, "users")
-    narrow = split_join(rows.drop("part"), users.filter("not wide").select("owner"), ["owner"])
-    settled = _one_pass(narrow, known, earlier)
     wide = users.filter("wide").select("owner")
     if wide.isEmpty():
-        return settled
-    return settled.unionByName(_in_rounds(split_join(rows.drop("part"), wide, ["owner"]), known, earlier, block_rows))
+        return _one_pass(rows, known, earlier)
+    narrow = split_join(rows, users.filter("not wide").select("owner"), ["owner"])
+    hot = _in_rounds(split_join(rows, wide, ["owner"]), known, earlier, block_rows)
+    return _one_pass(narrow, known, earlier).unionByName(hot)
 
 
 def _one_pass(rows: DataFrame, known: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Outcomes of users whose rows lie in one block each."""
+    """Outcomes of users with no more rows than a block."""
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     here = rows.select("owner", "entity_id").distinct()
     facts = known.drop("owner").join(here, "entity_id").select("owner", "entity_id", "version", "deleted", "attempt_id")
@@ -380,7 +380,7 @@ def _one_pass(rows: DataFrame, known: DataFrame, earlier: DataFrame) -> DataFram
 
 
 def _in_rounds(rows: DataFrame, known: DataFrame, earlier: DataFrame, block_rows: int) -> DataFrame:
-    """Outcomes of users of several blocks."""
+    """Outcomes of users with more rows than a block."""
     rows, state = _cut(rows, "entity_id", block_rows), known
     last = known.filter("attempt_id is not null").select(*_ATTEMPT, "entity_id")
     attempts = rows.filter("attempt_id is not null").groupBy(*_ATTEMPT).agg(F.count("*").alias("n"))

@@ -130,3 +130,28 @@ def test_last_attempt_answers_until_the_row_moves(spark):
         (0, "already-applied", 3), (1, "already-applied", 0), (2, "applied", 1),
         (3, "applied", 4), (4, "conflict", 4), (5, "already-applied", 4),
     ]
+
+
+def test_users_of_few_rows_take_one_pass_wherever_the_log_is_cut(spark, monkeypatch):
+    """Rounds are for users with more rows than a block holds, not for those that lie on the
+    border of two blocks or tasks. Of two rows that answer for an attempt one may move."""
+
+    def refused(*_):
+        raise AssertionError("in rounds")
+
+    monkeypatch.setattr(fold, "_in_rounds", refused)
+    known = [(e, 1, False, e % 3, f"old{e % 2}") for e in range(12)]
+    rng, steps = random.Random(5), []
+    for t in range(120):
+        entity = rng.randrange(12)
+        attempt = rng.choice(["old0", "old1", f"a{t}", f"a{t - 3}"])
+        steps.append((entity % 3, entity, t, attempt, rng.randint(0, 3), "put"))
+    log = spark.createDataFrame(
+        [(u, e, t, f"m{t}", a, b, k) for u, e, t, a, b, k in steps],
+        "user_id long, entity_id long, arrival long, mutation_id string, attempt_id string, base_version long, kind string",
+    ).repartition(7)
+    state_rows = spark.createDataFrame(
+        known, "entity_id long, version long, deleted boolean, user_id long, last_attempt_id string"
+    )
+    got = fold.apply_mutations(log, state_rows, None, 60)
+    assert rows(got, "arrival", "outcome", "version", "deleted") == sorted(in_order(steps, known), key=repr)
