@@ -103,10 +103,12 @@ def _posted(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _texts_of(posted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node, n, text`` of the posted nodes, written once for all confirmations."""
+    """``node, n, text`` of the posted nodes, written once for all confirmations. Spark
+    filters the texts by their hashes before it shuffles them; it builds such a filter only
+    from a side that is filtered itself."""
     keys = posted.select("node").join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
     keys = materialise(keys.withColumnRenamed("doc_id", "key_id"), "keys")
-    found = texts.withColumn("text_hash", F.xxhash64("text")).join(keys, "text_hash")
+    found = texts.withColumn("text_hash", F.xxhash64("text")).join(keys.filter("node >= 0"), "text_hash")
     same = found.filter(F.col("doc_id").eqNullSafe(F.col("key_id")))
     return materialise(same.select("node", "n", "text").dropDuplicates(["node"]), "texts")
 
@@ -379,13 +381,14 @@ def _more(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialise(components(links), "labels")
 
 
-#: Look-ups of few rows filter the other side by a Bloom filter of up to 8 MB.
-_FILTERS = {"creationSideThreshold": "256MB", "expectedNumItems": "4000000", "numBits": str(1 << 26)}
+#: Look-ups of few rows filter the other side by a Bloom filter of 1 MB (Spark's own size; one
+#: of 8 MB took the driver above 1,500 MB), also where the keys are a larger table.
+_FILTERS = {"creationSideThreshold": "256MB"}
 
 
 @contextlib.contextmanager
 def _filtered(spark: SparkSession) -> Iterator[None]:
-    """Wider filters while the jobs of a block run."""
+    """Filters also from larger tables while the jobs of a block run."""
     names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in _FILTERS.items()}
     before = {k: spark.conf.get(k) for k in names}
     try:

@@ -82,3 +82,27 @@ def test_each_pair_of_a_list_is_counted_once():
         if (base[a] == base[b]).sum() >= 32
     }
     assert len(found) == len({p[:2] for p in found}) and {p[:2] for p in found} == want
+
+
+def test_texts_are_filtered_before_they_are_shuffled(monkeypatch, spark, tmp_path):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB"}
+    before = {name: spark.conf.get(name) for name in names}
+    prepared(spark).range(200).selectExpr("id as doc_id", "concat('a b c ', id) as text").write.parquet(f"{tmp_path}/docs")
+    texts = spark.read.parquet(f"{tmp_path}/docs")
+    nodes = texts.selectExpr("doc_id as node", "doc_id", "xxhash64(text) as text_hash", "5 as n")
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        plans, write = [], minhash.materialise
+
+        def seen(df, label):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return write(df, label)
+
+        monkeypatch.setattr(minhash, "materialise", seen)
+        found = minhash._texts_of(nodes.select("node").filter("node < 9"), nodes, texts)
+        assert "might_contain" in plans[-1]
+        assert sorted(r.text for r in found.collect()) == [f"a b c {k}" for k in range(9)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
