@@ -13,12 +13,14 @@ Exact for any data. The steps:
    dual traversal drops pairs of nodes by the largest overlap they can have.
 5. Pairs that are left are compared by their whole sets; links give components. In a
    round every node first offers its most promising pairs of a block; when these have
-   tied what belongs together, the rest of the block is compared in full.
+   tied what belongs together, the rest of the block is searched by wider bitmaps. The
+   few pairs that these leave count once, in however many blocks they are; a block with
+   many such pairs is compared in full.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,10 @@ TILE = 2000
 LEAF = 8
 #: Pairs that a node offers in a block, and rounds before all pairs are compared that are
 #: not tied by then. Only a matter of cost.
-OFFERS, ROUNDS = 2, 2
+OFFERS, ROUNDS = 2, 1
+#: Pairs for each node of a tile that leave it to be compared; with more, the texts of all
+#: nodes come to the tile. Only a matter of cost.
+FEW = 4
 #: Bits for each shingle in the bitmaps of the blocks that are compared in full.
 WIDE, MOST_BITS = 16, 1 << 15
 
@@ -136,14 +141,20 @@ def width_of(size: int) -> int:
     return 1 << max(6, (size * 2 // 3).bit_length())
 
 
+def wider_of(size: int) -> int:
+    """Bits of the wider bitmap of a set: two to four for each token, so that sets with
+    four fifths in common and less are mostly told apart."""
+    return 1 << max(6, (size * 2).bit_length())
+
+
 def candidates(
-    entries: list[tuple[int, int, int, int]], percent: int
+    entries: list[tuple[int, int, int, int]], percent: int, width_by: Callable[[int], int] = width_of
 ) -> Iterator[tuple[int, int, float]]:
     """Candidate pairs among entries of any sizes: one tree for each bitmap width, and
     one of the wider neighbours' bitmaps folded, as linked sizes may differ."""
     by_width: dict[int, list] = {}
     for entry in sorted(entries):
-        by_width.setdefault(width_of(entry[0]), []).append(entry)
+        by_width.setdefault(width_by(entry[0]), []).append(entry)
     for width, own in by_width.items():
         tree = Tree(own)
         yield from search(tree, tree, percent)
@@ -203,13 +214,10 @@ def profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 n = len(found)
                 kept = n - -(-percent * n // 100) + 1 if n else 0
                 order = np.lexsort((found, rare[(found >> shift).astype(np.int64)]))[:kept]
-                width = width_of(n) if n else 64
-                cells = np.zeros(width, np.uint8)
-                cells[(found & np.uint64(width - 1)).astype(np.int64)] = 1
                 minima = [(found * m).min() for m in odd] if n else []
                 signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
                 digest = signed([found.sum(dtype=np.uint64), mix(found).sum(dtype=np.uint64)])
-                bitmap = np.packbits(cells, bitorder="little").tobytes()
+                bitmap = _packed(found, width_of(n) if n else 64)
                 rows.append((*digest, n, signed(found[order]), signed(minima), bitmap))
             names = ["digest", "digest2", "n", "prefix", "minima", "bitmap"]
             longs = pa.list_(pa.int64())
@@ -231,17 +239,21 @@ def profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
 # --- comparing pairs ------------------------------------------------------------
 
 
-def _texts(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node, text`` of the asked nodes, written once. While these are few, Spark filters
-    the texts by their hashes before it shuffles them."""
+def _found(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` of the asked nodes. While these are few, Spark filters the texts by
+    their hashes before it shuffles them; repeated rows meet where they are joined."""
+    place = ["text_hash", "place"]
     keys = materialise(asked.join(nodes.select("node", "doc_id", "text_hash"), "node"), "asked")
-    found = (
-        texts.withColumn("text_hash", F.xxhash64("text"))
-        .join(keys.filter("node >= 0").withColumnRenamed("doc_id", "key_id"), ["text_hash"])
-        .filter(F.col("doc_id").eqNullSafe(F.col("key_id")))
-        .select("node", "text")
-    )
-    return materialise(found.dropDuplicates(["node"]), "texts")
+    keys = keys.filter("node >= 0").withColumn("place", F.xxhash64("doc_id")).withColumnRenamed("doc_id", "key_id")
+    rows = texts.withColumns({"text_hash": F.xxhash64("text"), "place": F.xxhash64("doc_id")}).join(keys, place)
+    none = F.col("doc_id").isNull() & F.col("key_id").isNull()
+    same = rows.filter(F.coalesce(F.col("doc_id") == F.col("key_id"), none))
+    return same.select(*place, "node", "text").dropDuplicates([*place, "node"]).select("node", "text")
+
+
+def _texts(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` of the asked nodes, written once."""
+    return materialise(_found(asked, nodes, texts), "texts")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -266,12 +278,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _widened(asked: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``node, bitmap``: the wider bitmaps of the asked nodes, written once."""
+
+    def describe(batches):
+        for batch in batches:
+            maps = [_packed(found, wider_of(len(found))) for found in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["node", "bitmap"])
+
+    return materialise(_found(asked, nodes, texts).mapInArrow(describe, "node long, bitmap binary"), "widened")
+
+
 def _compared(
     blocks: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int
 ) -> DataFrame:
-    """Links between nodes of the given tiles that are not tied: all pairs that trees of
-    wide bitmaps leave, by whole sets. A link whose ends the tile has tied is not given."""
-    own = _texts(blocks.select("node").distinct(), nodes, texts)
+    """Links between nodes of the given tiles that are not tied: all pairs that the wider
+    bitmaps leave, by whole sets. Texts go to the distinct pairs, as a node may be in as many
+    tiles as its prefix is long; they go to tiles only where these have many pairs."""
+    wider = _widened(blocks.select("node").distinct(), nodes, texts, size)
+    found = materialise(_searched(blocks, labels, wider, percent, None, wider_of), "searched")
+    pairs = materialise(found.filter("a is not null").select("a", "b").distinct(), "pairs")
+    links = _verified(pairs, nodes, texts, size, percent)
+    rest = found.filter("a is null").select("shingle", "i", "j")
+    if rest.isEmpty():
+        return links
+    dense = materialise(split_join(blocks, rest, ["shingle", "i", "j"]), "dense")
+    own = _texts(dense.select("node").distinct(), nodes, texts)
+    return links.unionByName(_compared_whole(dense, labels, own, size, percent))
+
+
+def _compared_whole(blocks: DataFrame, labels: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between nodes of the given tiles that are not tied, of all pairs of a tile. A
+    link whose ends the tile has tied is not given."""
     labelled = split_join(blocks, labels, ["node"], "left").withColumn(
         "label", F.coalesce("component", F.col("node"))
     )
@@ -334,10 +372,14 @@ def _compared(
     )
 
 
-def _bitmap(found: np.ndarray, width: int) -> int:
+def _packed(found: np.ndarray, width: int) -> bytes:
     cells = np.zeros(width, np.uint8)
     cells[(found & np.uint64(width - 1)).astype(np.int64)] = 1
-    return int.from_bytes(np.packbits(cells, bitorder="little").tobytes(), "little")
+    return np.packbits(cells, bitorder="little").tobytes()
+
+
+def _bitmap(found: np.ndarray, width: int) -> int:
+    return int.from_bytes(_packed(found, width), "little")
 
 
 def _fit(n: Column | str, m: Column | str, percent: int) -> Column:
@@ -369,7 +411,7 @@ def _anchored(nodes: DataFrame, percent: int) -> DataFrame:
 def _blocks(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Rows of the blocks to be searched: ``shingle, i, j, chunk, node, n``.
     Blocks whose nodes are tied already, or too far apart in size, are left out by sums
-    over the block; blocks above ``TILE`` nodes are cut into tiles of two chunks."""
+    over the block, and of blocks with the same nodes all but one; blocks above ``TILE`` nodes are cut into tiles of two chunks."""
     labelled = nodes.join(labels, "node", "left").withColumn(
         "label", F.coalesce("component", F.col("node"))
     )
@@ -382,9 +424,12 @@ def _blocks(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             F.max("label").alias("last"),
             F.min("n").alias("low"),
             F.max("n").alias("high"),
+            *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (0, 1)),
         )
         .filter("first <> last")
         .filter((F.col("members") > 2) | _fit("low", "high", percent))
+        .groupBy("members", "same0", "same1")
+        .agg(F.min("shingle").alias("shingle"))
         .select("shingle", F.ceil(F.col("members") / TILE).cast("int").alias("chunks"))
     )
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -420,11 +465,27 @@ def _offered(pairs: Iterator[tuple[int, int, float]], most: int) -> tuple[set[tu
     return kept, len(kept) < count
 
 
+def _all_if_few(pairs: Iterator[tuple[int, int, float]], most: int) -> tuple[set[tuple[int, int]], bool]:
+    """All pairs, or none if there are more than ``most``, and whether there are others."""
+    kept = set()
+    for a, b, _ in pairs:
+        kept.add((a, b))
+        if len(kept) > most:
+            return set(), True
+    return kept, False
+
+
 def _searched(
-    blocks: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, offers: int
+    blocks: DataFrame,
+    labels: DataFrame,
+    nodes: DataFrame,
+    percent: int,
+    offers: int | None,
+    width_by: Callable[[int], int] = width_of,
 ) -> DataFrame:
-    """Candidate pairs ``a, b`` that the nodes of all tiles offer, and rows ``shingle, i, j``
-    of the tiles that have more pairs than that."""
+    """Candidate pairs ``a, b`` that the nodes of all tiles offer (without ``offers`` all of a
+    tile, if they are few), and rows ``shingle, i, j`` of the tiles that have more pairs than
+    that."""
     labelled = blocks.join(labels, "node", "left").withColumn(
         "label", F.coalesce("component", F.col("node"))
     )
@@ -433,10 +494,10 @@ def _searched(
     def pairs_of(same: bool, chunks: dict[int, list]) -> Iterator[tuple[int, int, float]]:
         if same:
             for entries in chunks.values():
-                yield from candidates(entries, percent)
+                yield from candidates(entries, percent, width_by)
         elif len(chunks) == 2:
             first = {e[2] for e in chunks[min(chunks)]}
-            for a, b, share in candidates([e for c in chunks.values() for e in c], percent):
+            for a, b, share in candidates([e for c in chunks.values() for e in c], percent, width_by):
                 if (a in first) != (b in first):
                     yield a, b, share
 
@@ -446,7 +507,11 @@ def _searched(
         def close():
             if current is None or len({e[1] for c in chunks.values() for e in c}) < 2:
                 return
-            kept, more = _offered(pairs_of(current[1] == current[2], chunks), offers)
+            pairs = pairs_of(current[1] == current[2], chunks)
+            if offers is None:
+                kept, more = _all_if_few(pairs, FEW * sum(len(c) for c in chunks.values()))
+            else:
+                kept, more = _offered(pairs, offers)
             out.extend((a, b, None, None, None) for a, b in kept)
             if more:
                 out.append((None, None, *current))

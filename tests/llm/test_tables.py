@@ -95,6 +95,57 @@ def test_jaccard_components(monkeypatch, corpus, size, percent, tile):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("few", [0, 4])
+def test_jaccard_of_the_rest_compares_a_pair_once(monkeypatch, corpus, few):
+    seen, verified = [], jaccard._verified
+
+    def counted(pairs, *args):
+        seen.append(sorted(tuple(r) for r in pairs.collect()))
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)  # all blocks go the way of the rest
+    monkeypatch.setattr(jaccard, "_promising", lambda pairs, nodes, percent: pairs.limit(0))
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    rows = corpus.collect()
+    sets = [shingles(r.text, 4) for r in rows]
+    least, found = {}, components_of(sets, 85)
+    for r, c in zip(rows, found, strict=True):
+        if r.doc_id is not None:
+            least[c] = min(r.doc_id, least.get(c, r.doc_id))
+    want = [(r.doc_id, len(s), least.get(c) if s else r.doc_id) for r, s, c in zip(rows, sets, found, strict=True)]
+    got = [tuple(r) for r in jaccard.similar(corpus, 4, 85).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(seen) == 2 and len(seen[1]) == len(set(seen[1])) and bool(seen[1]) == bool(few)
+
+
+def test_blocks_with_the_same_nodes_are_searched_once(spark):
+    rows = [(1, 200, list(range(30))), (2, 201, list(range(30))), (3, 200, list(range(20, 50))), (4, 199, [99])]
+    nodes = spark.createDataFrame(rows, "node long, n int, prefix array<long>")
+    labels = spark.createDataFrame([], "node long, component long")
+    found = sorted((r.shingle, r.node) for r in jaccard._blocks(nodes, labels, 85).collect())
+    assert found == [(0, 1), (0, 2), (20, 1), (20, 2), (20, 3)]
+
+
+def test_wider_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[len(base) // 12 :])]
+    entries = [
+        (len(s), k, k, int.from_bytes(jaccard._packed(s, jaccard.wider_of(len(s))), "little")) for k, s in enumerate(sets)
+    ]
+    found = {(a, b) for a, b, _ in jaccard.candidates(entries, 85, jaccard.wider_of)}
+    links = {
+        (i, j)
+        for i, a in enumerate(sets)
+        for j in range(i + 1, len(sets))
+        if 100 * len(np.intersect1d(a, sets[j])) >= 85 * len(np.union1d(a, sets[j]))
+    }
+    assert links and links <= found
+
+
 def test_one_of_each_component_stays(corpus):
     rows = corpus.collect()
     sets = [shingles(r.text, 5) for r in rows]
