@@ -65,8 +65,13 @@ def rejects(entries: DataFrame) -> DataFrame:
     return entries.filter("bad_date")
 
 
-def to_activities(entries: DataFrame, users: DataFrame, source: str, ingest_ms: int) -> DataFrame:
-    """Extracted entries as storable activities with their canonical actor key."""
+def to_activities(
+    entries: DataFrame, users: DataFrame, source: str, ingest_ms: int, *carried: str
+) -> DataFrame:
+    """Extracted entries as storable activities with their canonical actor key.
+
+    ``carried``: further columns of the entries that stay with their activity.
+    """
     stored = users.select("login", F.col("id").alias("stored_id"))
     known = F.coalesce("feed_id", "stored_id")
     return (
@@ -87,6 +92,7 @@ def to_activities(entries: DataFrame, users: DataFrame, source: str, ingest_ms:
             F.lit(False).alias("hidden"),
             "published_ms",
             F.lit(ingest_ms).cast("long").alias("created_ms"),
+            *carried,
         )
     )
 

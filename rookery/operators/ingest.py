@@ -18,14 +18,18 @@ class RejectedLoad(ValueError):
     pass
 
 
-def unseen(batch: DataFrame, store: DataFrame, key: list[str]) -> DataFrame:
+def unseen(
+    batch: DataFrame, store: DataFrame, key: list[str], keys: DataFrame | None = None
+) -> DataFrame:
     """Rows of a delivery whose key is not stored.
 
     The store is first narrowed to the keys of the delivery. Its side of that
     join only streams when the delivery is small, so the whole store is not
-    exchanged for every small delivery.
+    exchanged for every small delivery. ``keys`` holds the keys where they cost less
+    than another run of ``batch``.
     """
-    held = store.select(*key).join(batch.select(*key).distinct(), key, "left_semi")
+    delivered = (batch if keys is None else keys).select(*key).distinct()
+    held = store.select(*key).join(delivered, key, "left_semi")
     return batch.join(held, key, "left_anti")
 
 
@@ -40,7 +44,8 @@ def ingest_activity(store: DataFrame, batch: DataFrame) -> DataFrame:
     rest = [c for c in batch.columns if c not in ("activity_id", "created_ms", "published_ms")]
     order = [F.asc(c) for c in ("created_ms", "published_ms", *sorted(rest))]
     single = first_by(batch, ["activity_id"], order)
-    return unseen(single, store, ["activity_id"])
+    # The keys come from the delivery itself, so whole rows are exchanged once.
+    return unseen(single, store, ["activity_id"], batch)
 
 
 def head_seq(changes: DataFrame, stored_head: int = 0) -> int:
@@ -58,7 +63,7 @@ def append_changes(changes: DataFrame, rows: DataFrame, stored_head: int = 0) ->
     columns = [*key, "actor_key", "actor_id", "created_ms"]
     order = [F.asc("created_ms"), F.asc("actor_key"), F.asc("actor_id")]
     single = first_by(rows.select(*columns), key, order)
-    fresh = unseen(single, changes, key)
+    fresh = unseen(single, changes, key, rows)
     ranked = numbered(fresh, [F.col("created_ms"), F.col("activity_id"), F.col("source")])
     start = head_seq(changes, stored_head) + 1
     return ranked.select((F.lit(start) + F.col("rank")).alias("seq"), *columns)

@@ -174,8 +174,16 @@ def repair_changes(changes: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def sequence_missing(activity: DataFrame, changes: DataFrame, stored_head: int = 0) -> DataFrame:
-    """Log rows for activities that have none, in (created, id) order."""
-    return append_changes(changes, activity.filter(F.col("actor_key") != ""), stored_head)
+    """Log rows for activities that have none, in (created, id) order.
+
+    The activities without a log row are found first and written, so that copies,
+    order and sequence are a matter of these few rows.
+    """
+    rows = activity.filter(F.col("actor_key") != "")
+    missing = rows.select(*_KEY, "actor_key", "actor_id", "created_ms").join(
+        changes.select(*_KEY), _KEY, "left_anti"
+    )
+    return append_changes(changes, materialise(missing, "missing"), stored_head)
 
 
 def upsert_retention(retention: DataFrame, activity: DataFrame) -> DataFrame:
@@ -217,14 +225,26 @@ def drop_orphans(
 ) -> tuple[DataFrame, DataFrame]:
     """(log without orphans, retention with raised floors).
 
-    Orphans with a blank key stay, and keep the audit from passing.
+    Orphans with a blank key stay, and keep the audit from passing. Log and activity
+    meet once; the orphans are written and the log is read without their keys.
     """
-    floors = orphan_floor(changes, activity)
-    known = changes.join(activity.select(*_KEY), _KEY, "left_semi")
-    blank = changes.filter(F.col("actor_key") == "").join(
-        activity.select(*_KEY), _KEY, "left_anti"
+    orphans = changes.select(*_KEY, "actor_key", "seq").join(activity.select(*_KEY), _KEY, "left_anti")
+    orphans = materialise(orphans, "orphans")
+    floors = (
+        orphans.filter(F.col("actor_key") != "")
+        .groupBy("actor_key")
+        .agg(F.max("seq").alias("floor_seq"))
+    )
+    # A missing part of a key equals nothing: such a row is an orphan, though no join finds it.
+    whole = F.col(_KEY[0]).isNotNull() & F.col(_KEY[1]).isNotNull()
+    blank = F.col("actor_key") == ""
+    gone = orphans.select(*_KEY).distinct().withColumn("_gone", F.lit(True))
+    log = (
+        changes.join(gone, _KEY, "left")
+        .filter((whole & F.col("_gone").isNull()) | blank)
+        .select(*changes.columns)
     )
-    return known.unionByName(blank), _raise_floors(retention, floors, oldest_by_actor(activity))
+    return log, _raise_floors(retention, floors, oldest_by_actor(activity))
 
 
 def retention_run(

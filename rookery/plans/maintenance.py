@@ -143,16 +143,45 @@ def _audit(store: Store) -> Row:
     return retention.audit(*tables).first()
 
 
+# The place of an extracted entry. Rows of one id are ordered by all their columns in
+# the order of the names: this one is the last of them, so it decides between equal rows.
+_ENTRY = "written_at"
+
+
+def _keyed(entries: DataFrame, users: DataFrame, source: str, now_ms: int) -> DataFrame:
+    """Entries as activities. A body decides between entries of one id only, so the
+    others leave it behind: bodies do not travel to accounts and stored ids."""
+    several = entries.groupBy("activity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that its size is known: few ids go to the entries, not the reverse.
+    several = materialise(several.select("activity_id", F.lit(True).alias("_several")), "several")
+    slim = entries.join(several, "activity_id", "left").withColumn(
+        "content", F.when(F.col("_several"), F.col("content"))
+    )
+    return extract.to_activities(slim, users, source, now_ms, _ENTRY)
+
+
+def _entries_of(entries: DataFrame, fresh: DataFrame, n_fresh: int) -> DataFrame:
+    """The entries that became rows, by the shorter list: of those, or of the others."""
+    places = fresh.select(_ENTRY)
+    others = materialise(entries.select(_ENTRY).join(places, _ENTRY, "left_anti"), "others")
+    if others.count() < n_fresh:
+        return entries.join(others, _ENTRY, "left_anti")
+    return entries.join(places, _ENTRY, "left_semi")
+
+
 def refresh(store: Store, raw_feed: DataFrame, users: DataFrame, source: str, now_ms: int) -> int:
     """Extract raw documents, append unseen activities, their bodies and log rows."""
-    entries = extract.extract_entries(raw_feed, now_ms)
+    entries = extract.extract_entries(raw_feed, now_ms).drop("actor_name")
     # Extraction is the costly part: written once, read for keys, rows and bodies.
-    batch = materialise(extract.to_activities(entries, users, source, now_ms), "extracted")
-    fresh = materialise(ingest.ingest_activity(store.read("activity"), batch), "fresh")
+    entries = materialise(entries.withColumn(_ENTRY, F.monotonically_increasing_id()), "extracted")
+    batch = materialise(_keyed(entries, users, source, now_ms), "keyed")
+    fresh = ingest.ingest_activity(store.read("activity"), batch).drop("content")
+    fresh = materialise(fresh, "fresh")
+    n_fresh = fresh.count()
     head = _head(store)
     log = materialise(ingest.append_changes(store.read("change"), fresh, head), "sequenced")
     cleaner = extract.HTML_CLEANER
-    bodies = fresh.select(
+    bodies = _entries_of(entries, fresh, n_fresh).select(
         "activity_id",
         "summary",
         cleaner.clean(F.col("content")).alias("content"),
@@ -166,7 +195,7 @@ def refresh(store: Store, raw_feed: DataFrame, users: DataFrame, source: str, no
             "body": bodies,
         }
     )
-    return fresh.count()
+    return n_fresh
 
 
 def cleanup(store: Store, n: int, now_ms: int) -> int:

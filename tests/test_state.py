@@ -1,13 +1,16 @@
 """State, retention, replication, store, streams and maintenance on literals."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.functions import digest
-from rookery.operators import identity, projection, replication, retention, state
+from rookery.operators import identity, ingest, projection, replication, retention, state
 from rookery.plans import maintenance
 from rookery.plans.rule_queries import leaf, rule
+from rookery.session import materialise
 from rookery.sources.store import Store, maintain_generation
 from rookery.streaming import jobs
 from tests.conftest import rows
@@ -392,3 +395,75 @@ def test_sequences_are_never_reused_after_the_log_shrinks(spark, tmp_path):
     assert maintenance.cleanup(store, 1, 1001) == 2
     assert rows(store.read("activity"), "activity_id") == [("c",)]
     assert store.read("head").first()["head_seq"] == 10
+
+
+def exchanged(df):
+    """The columns of every exchange in the plan of ``df``."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [re.findall(r"(\w+)#", found) for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)]
+
+
+def entry(i, title, at, body):
+    return (
+        f"<entry><id>tag:github.com,2008:PushEvent/{i}</id><published>2024-01-0{at}T00:00:00Z</published>"
+        f'<title>{title}</title><content type="html">{body}</content></entry>'
+    )
+
+
+def test_refresh_takes_the_body_of_the_kept_entry_and_moves_no_body(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    held = activity(spark, ("tag:github.com,2008:PushEvent/0", "github:1", 1)).withColumns(
+        {c: F.lit(None).cast("string") for c in ("title", "link", "repo")}
+    )
+    empty = spark.createDataFrame([], schemas.ACTIVITY_CHANGE)
+    store.publish({"activity": held.select(*schemas.ACTIVITY.names), "change": empty})
+    feed = spark.createDataFrame(
+        [
+            ("user1", entry(0, "stored", 1, "s") + entry(1, "one", 2, "late") + entry(1, "one", 1, "early")),
+            # Alike but for the body, then but for the title: the first by name of column wins.
+            ("user1", entry(2, "a", 1, "zz") + entry(2, "b", 1, "yy") + entry(2, "c", 1, "yy")),
+            ("user2", entry(3, "alone", 1, "whole") + entry(4, "no date", "x", "n")),
+        ],
+        "login string, feed_xml string",
+    )
+    users = spark.createDataFrame([("user1", "1"), ("user1", "7")], "login string, id string")
+    written = {}
+
+    def spy(df, label="table"):
+        written[label] = df
+        return materialise(df, label)
+
+    monkeypatch.setattr(maintenance, "materialise", spy)
+    assert maintenance.refresh(store, feed, users, "s", 1000) == 3
+    body = rows(store.read("body"), "activity_id", "content", "summary")
+    assert [(i[-1], c, s) for i, c, s in body] == [("1", "early", "early"), ("2", "yy", "yy"), ("3", "whole", "whole")]
+    new = rows(store.read("activity").filter("title is not null"), "activity_id", "title", "actor_key")
+    assert [(i[-1], t, k) for i, t, k in new] == [
+        ("1", "one", "github:1"), ("2", "b", "github:1"), ("3", "alone", "legacy-atom-login:user2")
+    ]
+    assert rows(store.read("change"), "seq") == [(1,), (2,), (3,)]
+    assert all("content" not in columns for columns in exchanged(written["extracted"]))
+
+
+def test_ingestion_exchanges_whole_rows_once(spark, tmp_path):
+    columns = "activity_id string, created_ms long, published_ms long, content string"
+    spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 1, "y"), ("b", 1, 1, "z")], columns).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    new = ingest.ingest_activity(batch.filter("activity_id = 'b'"), batch)
+    assert rows(new, "activity_id", "content") == [("a", "x")]
+    assert sum("content" in columns for columns in exchanged(new)) == 1
+
+
+def test_repair_moves_log_and_activity_once_each(spark, tmp_path):
+    act = activity(spark, ("a", "k:1", 1), ("a", "k:1", 1), ("b", "k:2", 2), ("b", "k:2", 2), ("c", "", 3))
+    log = changes(
+        spark, (1, "a", "k:1"), (2, "a", "k:1"), (3, "gone", "k:1"), (4, "gone", "k:2"), (5, "blank", ""), (6, None, "k:2"), (7, None, "")
+    )
+    for name, df in (("act", act), ("log", log)):
+        df.write.parquet(str(tmp_path / name))
+    act, log = (spark.read.parquet(str(tmp_path / name)) for name in ("act", "log"))
+    kept, marks = retention.drop_orphans(log, act, retention.upsert_retention(no_marks(spark), act))
+    assert rows(kept, "seq") == [(1,), (2,), (5,), (7,)]
+    assert rows(marks, "actor_key", "compacted_through_seq") == [("k:1", 3), ("k:2", 6)]
+    assert not any("seq" in columns for columns in exchanged(kept))
+    assert rows(retention.sequence_missing(act, log), "seq", "activity_id") == [(8, "b")]
